@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import warc
+from tidemark.llm import secrets, warc
 
 
 def queries() -> dict:
-    return {"op9_warc": warc.op9_warc}
+    return {"op3_secret_scan": secrets.op3_secret_scan, "op9_warc": warc.op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
