@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import secrets, warc
+from tidemark.llm import bpe, secrets, warc
 
 
 def queries() -> dict:
-    return {"op3_secret_scan": secrets.op3_secret_scan, "op9_warc": warc.op9_warc}
+    return {"op5_byte_bpe": bpe.op5_byte_bpe, "op3_secret_scan": secrets.op3_secret_scan, "op9_warc": warc.op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
