@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, quality, secrets, simhash, warc
+from tidemark.llm import bpe, pii, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
-    return {"op4_simhash": simhash.op4_simhash, "op2_quality_rules": quality.op2_quality_rules, "op5_byte_bpe": bpe.op5_byte_bpe, "op3_secret_scan": secrets.op3_secret_scan, "op9_warc": warc.op9_warc}
+    return {"op4_simhash": simhash.op4_simhash, "op2_quality_rules": quality.op2_quality_rules, "op5_byte_bpe": bpe.op5_byte_bpe, "op3_secret_scan": secrets.op3_secret_scan, "op6_pii": pii.op6_pii, "op9_warc": warc.op9_warc}
 
 
 def oracle_sql() -> dict[str, str]:
