@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, pii, quality, secrets, simhash, warc
+import corpus_pipeline
+from tidemark.llm import bpe, decontaminate, pii, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
-    return {"op4_simhash": simhash.op4_simhash, "op2_quality_rules": quality.op2_quality_rules, "op5_byte_bpe": bpe.op5_byte_bpe, "op3_secret_scan": secrets.op3_secret_scan, "op6_pii": pii.op6_pii, "op9_warc": warc.op9_warc}
+    return {
+        "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_quality_rules": quality.op2_quality_rules,
+        "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_simhash": simhash.op4_simhash,
+        "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_pii": pii.op6_pii,
+        "op9_warc": warc.op9_warc,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE_SQL}
+    found = {"op9_warc": warc.ORACLE_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
