@@ -7,13 +7,24 @@ answers meet the chunk's own rows again at the chunk's key.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+LIBC = ctypes.CDLL(None)
 #: Bytes of text in a chunk; a longer document is a chunk by itself.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
+#: Rows of an Arrow batch that are turned into Python values at a time.
+SLICE = 256
+#: Numbers of one byte, and of two, in :func:`pack_ranks`.
+ONE, TWO = 192, 48 << 8
 
 
 def squeeze(data: bytes, level: int = 1) -> bytes:
@@ -36,6 +47,32 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def by_frequency(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers with the most frequent of 0..n-1 called 0, and so on; and the old number of each new one."""
+    order = np.argsort(-np.bincount(numbers, minlength=n), kind="stable")
+    rank = np.empty(n, dtype=np.uint32)
+    rank[order] = np.arange(n, dtype=np.uint32)
+    return rank[numbers], order
+
+
+def pack_ranks(ranks: np.ndarray) -> list[bytes]:
+    """Ranks of which most are small: streams of first, second and further bytes."""
+    ranks = ranks.astype(np.uint32)
+    rest = ranks - np.uint32(ONE)
+    two, more = (ranks >= ONE) & (rest < TWO), (ranks >= ONE) & (rest >= TWO)
+    lead = np.where(two, ONE + (rest >> 8), np.where(more, 255, ranks)).astype(np.uint8)
+    return [squeeze(lead.tobytes(), 6), squeeze((rest[two] & 255).astype(np.uint8).tobytes(), 3), pack(rest[more])]
+
+
+def unpack_ranks(streams: list[bytes]) -> np.ndarray:
+    lead = np.frombuffer(unsqueeze(streams[0]), dtype=np.uint8).astype(np.uint32)
+    second, rest = np.frombuffer(unsqueeze(streams[1]), dtype=np.uint8), unpack(streams[2], np.uint32)
+    two, more = (lead >= ONE) & (lead < 255), lead == 255
+    lead[two] = ONE + ((lead[two] - ONE) << 8) + second
+    lead[more] = rest + np.uint32(ONE)
+    return lead
+
+
 def pack_rising(numbers: np.ndarray) -> bytes:
     """Numbers that never fall, by their differences."""
     return pack(np.diff(numbers, prepend=numbers[:1] * 0))
@@ -76,22 +113,25 @@ def chunked(batches, limit: int = CHUNK_BYTES):
     number = (task.partitionId() if task else 0) << 32
     ids, texts, size = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            t = t.encode() if t else b""
-            if texts and size + len(t) > limit:
-                yield number, ids, texts
-                number, ids, texts, size = number + 1, [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                t = t.encode() if t else b""
+                if texts and size + len(t) > limit:
+                    yield number, ids, texts
+                    number, ids, texts, size = number + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
     if texts:
         yield number, ids, texts
 
 
 def rows_of(batches):
-    """The rows of Arrow batches as tuples."""
+    """The rows of Arrow batches as tuples; only one row is copied at a time."""
     for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns))
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in b.columns)
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -99,7 +139,7 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def batches_of(rows, schema: pa.Schema, limit: int = 8 << 20):
+def batches_of(rows, schema: pa.Schema, limit: int = 4 << 20):
     """Arrow batches of about ``limit`` bytes of binary values each."""
     held, size = [], 0
     for r in rows:
@@ -112,9 +152,81 @@ def batches_of(rows, schema: pa.Schema, limit: int = 8 << 20):
         yield batch_of(held, schema)
 
 
+def join_blobs(blobs: list[bytes]) -> bytes:
+    return np.array([len(blobs), *map(len, blobs)], dtype=np.uint32).tobytes() + b"".join(blobs)
+
+
+def split_blobs(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, dtype=np.uint32, count=1)[0])
+    out, at = [], 4 + 4 * n
+    for size in np.frombuffer(data, dtype=np.uint32, count=n, offset=4).tolist():
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
+def tidy() -> None:
+    """Give a finished task's freed memory back: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The stretches flat[start : start + length], one after another."""
     lengths = lengths.astype(np.int64)
     total = int(lengths.sum())
     before = np.cumsum(lengths) - lengths
     return flat[np.repeat(starts - before, lengths) + np.arange(total)]
+
+
+TABLE_SCHEMA = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("texts", pa.binary())])
+REQUEST = "part int, chunk long, n int, data binary, more binary"
+REQUEST_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
+
+
+def _collect(batches):
+    rows = ((chunk, len(ids), pack_ids(ids), squeeze(join_blobs(texts), 3)) for chunk, ids, texts in chunked(batches))
+    yield from batches_of(rows, TABLE_SCHEMA)
+    tidy()
+
+
+def chunk_table(docs: DataFrame, label: str, parts: int) -> DataFrame:
+    """The documents (id, text) as one row per chunk, in a table of the warehouse bucketed by chunk.
+
+    Later joins on the chunk find the texts where they are: only what is asked and answered is shuffled.
+    """
+    spark = docs.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    rows = docs.mapInArrow(_collect, "chunk long, n int, ids binary, texts binary")
+    # the blobs are compressed already
+    rows.write.option("compression", "none").bucketBy(parts, "chunk").saveAsTable(name)
+    return spark.table(name)
+
+
+def documents_of(n: int, ids: bytes, texts: bytes) -> tuple[list, list[bytes]]:
+    return unpack_ids(ids, n), split_blobs(unsqueeze(texts))
+
+
+def answers(requests: DataFrame, answer, parts: int) -> DataFrame:
+    """(chunk, answers): what ``answer`` yields for the requests of each part, gathered by chunk, in order of parts.
+
+    There is one answer for each part at most, so a chunk's list is bounded by the number of parts.
+    """
+    found = requests.repartitionById(parts, F.col("part")).mapInArrow(answer, REQUEST)
+    return found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n", "data", "more"))).alias("answers"))
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; rises with the hash."""
+    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def requests_of(chunk: int, hashes: np.ndarray, parts: int, more):
+    """One request for each part of the rising ``hashes``; ``more(from, to)`` is what goes with them."""
+    ends = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1)).tolist()
+    for p in range(parts):
+        a, b = ends[p], ends[p + 1]
+        if a < b:
+            yield p, chunk, b - a, pack_rising(hashes[a:b]), more(a, b)

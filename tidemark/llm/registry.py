@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, pii, quality, secrets, simhash, warc
+from tidemark.llm import bpe, decontaminate, pii, quality, secrets, simhash, substrings, warc
 
 
 def queries() -> dict:
@@ -15,12 +15,13 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_pii": pii.op6_pii,
         "op9_warc": warc.op9_warc,
+        "op10_debruijn": substrings.op10_debruijn,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op9_warc": warc.ORACLE_SQL}
+    found = {"op9_warc": warc.ORACLE_SQL, "op10_debruijn": substrings.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
