@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, pii, quality, secrets, simhash, substrings, suffixes, warc
+from tidemark.llm import bpe, decontaminate, lm, pii, quality, secrets, simhash, substrings, suffixes, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_pii": pii.op6_pii,
         "op7_difference_cover": suffixes.op7_difference_cover,
+        "op8_recurrent_lm": lm.op8_recurrent_lm,
         "op9_warc": warc.op9_warc,
         "op10_debruijn": substrings.op10_debruijn,
         "pipeline": corpus_pipeline.run,
