@@ -26,7 +26,10 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import batches_of, chunked, gather, pack, pack_ids, pack_rising, pack_strings, rows_of, unpack, unpack_ids, unpack_rising, unpack_strings
+from tidemark.llm.chunks import (
+    batches_of, by_frequency, chunked, gather, join_blobs, pack, pack_ids, pack_ranks, pack_rising, pack_strings,
+    rows_of, split_blobs, tidy, unpack, unpack_ids, unpack_ranks, unpack_rising, unpack_strings,
+)
 from tidemark.llm.common import partitions, table
 
 HOP = "key int, chunk long, part int, n int, data binary, more binary"
@@ -57,8 +60,10 @@ def _explode(pattern: str, parts: int):
                             numbers[w] = len(numbers)
                     sequences.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
                 lengths = np.array([len(s) for s in sequences], dtype=np.uint32)
-                yield chunk % parts, chunk, OWN, len(ids), pack(np.concatenate(sequences)), pack(lengths) + b"|ids|" + pack_ids(ids)
-                words = [w.encode() for w in numbers]
+                ranks, order = by_frequency(np.concatenate(sequences), len(numbers))
+                yield chunk % parts, chunk, OWN, len(ids), join_blobs(pack_ranks(ranks)), join_blobs([pack(lengths), pack_ids(ids)])
+                words = list(numbers)
+                words = [words[i].encode() for i in order.tolist()]
                 where = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) % parts
                 order = np.argsort(where, kind="stable")
                 ends = np.searchsorted(where[order], np.arange(parts + 1))
@@ -68,6 +73,7 @@ def _explode(pattern: str, parts: int):
                         yield p, chunk, p, len(own), pack_strings([words[i] for i in own.tolist()]), pack_rising(own.astype(np.uint32))
 
         yield from batches_of(rows(), HOP_SCHEMA)
+        tidy()
 
     return run
 
@@ -90,10 +96,11 @@ def _encode(ranks, pattern: str):
                         found.append(ids)
                     lengths = np.fromiter(map(len, found), dtype=np.uint32, count=n)
                     flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32)
-                    data, more = pack(flat), pack(lengths) + b"|at|" + more
+                    data, more = pack(flat), join_blobs([pack(lengths), more])
                 yield key, chunk, part, n, data, more
 
         yield from batches_of(rows(), HOP_SCHEMA)
+        tidy()
 
     return run
 
@@ -106,12 +113,12 @@ def _reassemble(batches):
 
     def documents(own, answers):
         _, _, _, n, data, more = own
-        lengths, _, ids = more.partition(b"|ids|")
-        words, ids = unpack(data, np.uint32), unpack_ids(ids, n)
+        lengths, ids = split_blobs(more)
+        words, ids = unpack_ranks(split_blobs(data)), unpack_ids(ids, n)
         total = sum(a[3] for a in answers)
         starts, sizes, flats, at = np.zeros(total, np.int64), np.zeros(total, np.int64), [], 0
         for _, _, _, _, tokens, places in answers:
-            size, _, places = places.partition(b"|at|")
+            size, places = split_blobs(places)
             size, tokens, places = unpack(size, np.uint32).astype(np.int64), unpack(tokens, np.uint32), unpack_rising(places, np.uint32)
             sizes[places] = size
             starts[places] = at + np.cumsum(size) - size
@@ -138,6 +145,7 @@ def _reassemble(batches):
             yield from documents(own, answers)
 
     yield from batches_of(rows(), ENCODED)
+    tidy()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,6 +183,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 ends = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else [0]
                 out.append(found.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if len(found) else b"")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
