@@ -1,9 +1,5 @@
 """Registered queries of the retention operators and their DuckDB equivalents."""
 
+from tidemark.plans.queries import oracle_sql, queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["oracle_sql", "queries"]
