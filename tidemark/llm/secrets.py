@@ -6,8 +6,8 @@ Two first-order character models are trained from labelled samples: strings know
 counts of all samples are summed by Spark; what reaches the driver is one count per pair of
 characters and label, at most 2 * 97 * 97 rows whatever the size of the corpus.
 
-Defined cases: a null text is empty and has no spans; texts are scanned whole; with no samples of a
-label its model is uniform, so nothing is added by it alone; repeated rows give repeated results;
+Defined cases: a null text is empty and has no spans; texts are scanned whole; with no samples of
+either label the models are equal, so nothing is added; repeated rows give repeated results;
 further columns of the documents are ignored by :func:`scan` except those that it is asked to keep.
 """
 
@@ -120,12 +120,17 @@ def labelled_samples(samples: DataFrame) -> DataFrame:
     return samples.select("text", "random").mapInArrow(_count_labelled, "random boolean, pair int, n long").groupBy("random", "pair").agg(F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, smoothing: float = 0.5) -> np.ndarray:
-    """Table of log P_random(b | a) - log P_ordinary(b | a) by symbol pair."""
+def train(counts: DataFrame, smoothing: float = 0.5, prior: float = 4.0) -> np.ndarray:
+    """Table of log P_random(b | a) - log P_ordinary(b | a) by symbol pair.
+
+    Pairs back off to the frequency of their second symbol with the weight of ``prior`` samples.
+    """
     table_ = np.zeros((2, SYMBOLS, SYMBOLS))
     for random, pair, n in counts.collect():  # at most 2 * SYMBOLS ** 2 rows
         table_[int(random)].flat[pair] = n
-    p = np.log((table_ + smoothing) / (table_.sum(axis=2, keepdims=True) + smoothing * SYMBOLS))
+    single = table_.sum(axis=1, keepdims=True) + smoothing
+    single /= single.sum(axis=2, keepdims=True)
+    p = np.log((table_ + prior * single) / (table_.sum(axis=2, keepdims=True) + prior))
     return p[1] - p[0]
 
 

@@ -204,12 +204,13 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id, among equals one row."""
-    named = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = near_duplicates(named, ("doc_id", "_row"))
+    row = "_row" + "_" * max(len(c) for c in docs.columns)  # no column has this name
+    named = docs.withColumn(row, F.monotonically_increasing_id())
+    found = near_duplicates(named.select("doc_id", F.col(row).alias("_row"), "text"), ("doc_id", "_row"))
     stay = found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first")
     )
-    return named.join(written(stay.select(F.col("first._row").alias("_row")), "simhash-kept"), "_row", "left_semi").drop("_row")
+    return named.join(written(stay.select(F.col("first._row").alias(row)), "simhash-kept"), row, "left_semi").drop(row)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
