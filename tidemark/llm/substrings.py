@@ -1,13 +1,22 @@
-"""Repeated word spans: token k-mers as the edges of a De Bruijn graph, found by a global exchange.
+"""Repeated word spans: token k-mers as the edges of a De Bruijn graph, compacted to paths.
 
-Every window of K consecutive words is an edge between the runs of its first and its last K - 1 words.
-A chunk of documents sends each edge it holds once, with the smallest document that has it, to the
-part of the graph that the edge's hash falls in. A part knows all places of its edges and answers each
-edge whether a smaller document has it elsewhere. Back at the chunk, consecutive edges that repeat
-are compacted to paths: the spans, by source coordinates, that are removed.
+1. Every window of K consecutive words is an edge between the runs of its first and its last K - 1 words.
+   A chunk of documents sends each edge it holds once, with the place where it comes first (smallest
+   document, first word), to the part of the graph that the edge's hash falls in. The part answers where
+   the edge comes first of all, if that is in a smaller document than the chunk's own.
+2. Edges of a document that repeat, and that follow each other both there and at their first places, form a
+   nonbranching path: where a path branches, the first places stop following each other. A path is one row:
+   its own coordinates, those of its source, and a 128-bit hash of its words.
+3. Paths are joined in Spark to the chunks of their sources. The distinct claims (source coordinates, length
+   and words) are checked against the words that are there; only verified paths are joined back.
+4. A document's verified paths are joined to its chunk, and the words that they cover go.
 
-An edge is sent once per chunk, however many copies a chunk holds, so no edge is hot, and an answer is
-one bit. Edges are compared by 64-bit hashes of 64-bit word hashes.
+An edge is sent once per chunk and a claim is checked once, however many copies hold them, so neither is hot;
+claims with very many paths are joined by broadcast, of which there are at most 1 / HOT_SHARE. Texts stay in
+a table bucketed by chunk and are never shuffled.
+
+Edges are found by 64-bit hashes of 64-bit word hashes, and a path is removed only if its words are those of
+its source; a path in which two different edges share a hash would stay.
 
 Defined cases: a null text has no words; documents of under K words keep all; a null id counts as
 larger than any other and is the source of no removal; rows with the same id aren't smaller than each
@@ -18,35 +27,46 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import REQUEST, REQUEST_SCHEMA, answers, batches_of, chunk_table, documents_of, pack, requests_of, rows_of, squeeze, tidy, unpack, unpack_rising, unsqueeze
-from tidemark.llm.common import partitions, table
+from tidemark.llm.chunks import (
+    REQUEST, REQUEST_SCHEMA, answers, batches_of, chunk_table, documents_of, join_blobs, pack, requests_of, rows_of, split_blobs, squeeze, tidy, unpack,
+    unpack_ids, unpack_rising, unsqueeze,
+)
+from tidemark.llm.common import lookup, partitions, table, written
 from tidemark.llm.decontaminate import shingle_hashes, word_hashes
 
 K = 13
 LAST = np.iinfo(np.int64).max
-RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first_word:int,n_words:int>>"
-SPAN = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32())]))
-RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", SPAN)])
+SPAN = "first_word:int,n_words:int,source:bigint,source_word:int"
+RESULT = f"doc_id long, n_words long, n_removed long, kept string, spans array<struct<{SPAN}>>"
+SPAN_TYPE = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64()), ("source_word", pa.int32())]))
+RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", SPAN_TYPE)])
+PATH = "chunk long, row int, first_word int, n_words int, source long, source_word int, content binary"
+PATH_SCHEMA = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64()), ("source_word", pa.int32()), ("content", pa.binary())])
+
 
+class Edges:
+    """The edges of a chunk's documents in order of the documents' ids, and their distinct hashes with first places."""
+
+    def __init__(self, ids: list, texts: list[bytes], k: int):
+        keys = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
+        self.order = np.argsort(keys, kind="stable")
+        self.words = [t.split() for t in texts]
+        hashes = [shingle_hashes(word_hashes(self.words[d]), k) for d in self.order.tolist()]
+        self.counts = np.array([len(h) for h in hashes], dtype=np.int64)
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        hashes.clear()
+        self.docs = np.repeat(keys[self.order], self.counts)
+        self.distinct, first, self.inverse = np.unique(every, return_index=True, return_inverse=True)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        self.first_doc, self.first_word = self.docs[first], place[first].astype(np.uint32)
 
-def edges_of(ids: list, texts: list[bytes], k: int):
-    """Words per document, and of all edges: hash, document (in order of ids) and number of each distinct edge.
 
-    Returns (words, order of the documents, edge counts per document in that order, distinct hashes,
-    inverse, smallest document of each distinct hash).
-    """
-    keys = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
-    order = np.argsort(keys, kind="stable")
-    words = [t.split() for t in texts]
-    hashes = [shingle_hashes(word_hashes(words[d]), k) for d in order.tolist()]
-    counts = np.array([len(h) for h in hashes], dtype=np.int64)
-    edges = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    docs = np.repeat(keys[order], counts)
-    distinct, first, inverse = np.unique(edges, return_index=True, return_inverse=True)
-    return words, order, counts, distinct, inverse, docs[first] if len(docs) else docs, docs
+def content(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 def covered(flags: np.ndarray, size: int, k: int) -> np.ndarray:
@@ -68,11 +88,10 @@ def _ask(parts: int, k: int):
     def run(batches):
         def rows():
             for chunk, n, ids, texts in rows_of(batches):
-                ids, texts = documents_of(n, ids, texts)
-                *_, distinct, _, smallest, _ = edges_of(ids, texts, k)
-                sources, number = np.unique(smallest, return_inverse=True)
+                edges = Edges(*documents_of(n, ids, texts), k)
+                sources, number = np.unique(edges.first_doc, return_inverse=True)
                 number, head = number.astype(np.uint32), squeeze(sources.tobytes())
-                yield from requests_of(chunk, distinct, parts, lambda a, b: np.uint32(len(head)).tobytes() + head + pack(number[a:b]))
+                yield from requests_of(chunk, edges.distinct, parts, lambda a, b: join_blobs([head, pack(number[a:b]), pack(edges.first_word[a:b])]))
 
         yield from batches_of(rows(), REQUEST_SCHEMA)
         tidy()
@@ -81,62 +100,152 @@ def _ask(parts: int, k: int):
 
 
 def _answer(batches):
-    """One bit per edge and chunk: whether a smaller document has the edge elsewhere."""
-    where, hashes, docs = [], [], []
+    """Per chunk: a bit for each edge that comes in a smaller document elsewhere, and the first places of those."""
+    where, hashes, docs, words = [], [], [], []
     for part, chunk, n, data, more in rows_of(batches):
-        size = int(np.frombuffer(more, dtype=np.uint32, count=1)[0])
-        sources = np.frombuffer(unsqueeze(more[4 : 4 + size]), dtype=np.int64)
+        sources, number, word = split_blobs(more)
         where.append((part, chunk, n))
         hashes.append(unpack_rising(data, np.uint64))
-        docs.append(sources[unpack(more[4 + size :], np.uint32)])
+        docs.append(np.frombuffer(unsqueeze(sources), dtype=np.int64)[unpack(number, np.uint32)])
+        words.append(unpack(word, np.uint32))
     if where:
-        edge, doc = np.concatenate(hashes), np.concatenate(docs)
-        hashes.clear()
-        docs.clear()
+        edge, doc, word = np.concatenate(hashes), np.concatenate(docs), np.concatenate(words)
+        for held in (hashes, docs, words):
+            held.clear()
         order = np.argsort(edge, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(edge[order]) != 0]))
-        smallest = np.minimum.reduceat(doc[order], starts)
+        edge, own = edge[order], doc[order]
+        starts = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
+        sizes = np.diff(np.append(starts, len(edge)))
+        least = np.repeat(np.minimum.reduceat(own, starts), sizes)
+        at = np.flatnonzero(own == least)
+        at = at[np.searchsorted(at, starts)]  # the first that has the smallest document
         smaller = np.empty(len(edge), dtype=bool)
-        smaller[order] = np.repeat(smallest, np.diff(np.append(starts, len(edge))))  < doc[order]
-        ends = np.cumsum([n for _, _, n in where])
-        rows = ((p, c, n, squeeze(np.packbits(smaller[e - n : e]).tobytes()), b"") for (p, c, n), e in zip(where, ends.tolist()))
-        yield from batches_of(rows, REQUEST_SCHEMA)
+        smaller[order] = least < own
+        first_doc, first_word = np.empty_like(doc), np.empty_like(word)
+        first_doc[order], first_word[order] = least, np.repeat(word[order][at], sizes)
+
+        def rows():
+            end = 0
+            for part, chunk, n in where:
+                begin, end = end, end + n
+                mark = smaller[begin:end]
+                sources, number = np.unique(first_doc[begin:end][mark], return_inverse=True)
+                places = join_blobs([squeeze(sources.tobytes()), pack(number.astype(np.uint32)), pack(first_word[begin:end][mark])])
+                yield part, chunk, n, squeeze(np.packbits(mark).tobytes()), places
+
+        yield from batches_of(rows(), REQUEST_SCHEMA)
     tidy()
 
 
-def _remove(k: int):
+def _compact(k: int):
+    """Repeated edges that follow each other here and at their first places become one path."""
+
     def run(batches):
         def rows():
             for chunk, n, ids, texts, found in rows_of(batches):
-                ids, texts = documents_of(n, ids, texts)
-                words, order, counts, distinct, inverse, smallest, docs = edges_of(ids, texts, k)
-                bits = [np.unpackbits(np.frombuffer(unsqueeze(a["data"]), np.uint8), count=a["n"]) for a in found or []]
-                elsewhere = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
-                flags = (elsewhere[inverse] | (smallest[inverse] < docs)) if len(docs) else elsewhere
-                end = 0
-                for d, m in zip(order.tolist(), counts.tolist()):
-                    at, end = end, end + m
-                    w = words[d]
-                    gone = covered(flags[at:end], len(w), k) if m and flags[at:end].any() else None
-                    if gone is None:
-                        yield ids[d], len(w), 0, b" ".join(w).decode(), []
-                    else:
-                        keep = [x for x, g in zip(w, gone.tolist()) if not g]
-                        spans = [{"first_word": a, "n_words": b} for a, b in zip(*map(np.ndarray.tolist, runs(gone)))]
-                        yield ids[d], len(w), int(gone.sum()), b" ".join(keep).decode(), spans
-
-        yield from batches_of(((*r[:3], r[3], r[4]) for r in rows()), RESULT_SCHEMA, 512 << 10)
+                edges = Edges(*documents_of(n, ids, texts), k)
+                doc, word, end = edges.first_doc.copy(), edges.first_word.astype(np.int64), 0
+                for a in found or []:
+                    at = end + np.flatnonzero(np.unpackbits(np.frombuffer(unsqueeze(a["data"]), np.uint8), count=a["n"]))
+                    sources, number, places = split_blobs(a["more"])
+                    doc[at], word[at] = np.frombuffer(unsqueeze(sources), dtype=np.int64)[unpack(number, np.uint32)], unpack(places, np.uint32)
+                    end += a["n"]
+                source, place, end = doc[edges.inverse], word[edges.inverse], 0
+                repeats = source < edges.docs
+                for d, m in zip(edges.order.tolist(), edges.counts.tolist()):
+                    begin, end = end, end + m
+                    at = np.flatnonzero(repeats[begin:end])
+                    if not len(at):
+                        continue
+                    s, p, w = source[begin:end][at], place[begin:end][at], edges.words[d]
+                    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(s) != 0) | (np.diff(p) != 1)) + 1
+                    starts = np.concatenate([[0], cut])
+                    for a, b in zip(starts.tolist(), np.append(cut, len(at)).tolist()):
+                        first, size = int(at[a]), b - a + k - 1
+                        yield chunk, d, first, size, int(s[a]), int(p[a]), content(w[first : first + size])
+
+        yield from batches_of(rows(), PATH_SCHEMA, 1 << 20)
         tidy()
 
     return run
 
 
+OWNER_SCHEMA = pa.schema([("source", pa.int64()), ("chunk", pa.int64())])
+
+
+def _owners(batches):
+    for chunk, n, ids in rows_of(batches):
+        known = sorted({i for i in unpack_ids(ids, n) if i is not None})
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array([chunk] * len(known), pa.int64())], schema=OWNER_SCHEMA)
+
+
+CLAIM = "source long, source_word int, n_words int, content binary"
+CLAIM_SCHEMA = pa.schema([("source", pa.int64()), ("source_word", pa.int32()), ("n_words", pa.int32()), ("content", pa.binary())])
+
+
+def _verify(batches):
+    """The claims whose words are at their source's coordinates."""
+
+    def rows():
+        for n, ids, texts, claims in rows_of(batches):
+            ids, texts = documents_of(n, ids, texts)
+            asked: dict[int, list] = {}
+            for c in claims:
+                asked.setdefault(c["source"], []).append(c)
+            for i, text in zip(ids, texts):
+                if i in asked:
+                    w = text.split()
+                    for c in asked[i]:
+                        part = w[c["source_word"] : c["source_word"] + c["n_words"]]
+                        if content(part) == c["content"]:
+                            yield c["source"], c["source_word"], c["n_words"], c["content"]
+
+    yield from batches_of(rows(), CLAIM_SCHEMA, 1 << 20)
+    tidy()
+
+
+def _remove(batches):
+    def rows():
+        for n, ids, texts, found in rows_of(batches):
+            ids, texts = documents_of(n, ids, texts)
+            spans: dict[int, list] = {}
+            for s in found or []:
+                spans.setdefault(s["row"], []).append({c: s[c] for c in ("first_word", "n_words", "source", "source_word")})
+            for d, (i, text) in enumerate(zip(ids, texts)):
+                w, own = text.split(), spans.get(d, [])
+                if own:
+                    steps = np.zeros(len(w) + 1, dtype=np.int64)
+                    np.add.at(steps, [s["first_word"] for s in own], 1)
+                    np.add.at(steps, [s["first_word"] + s["n_words"] for s in own], -1)
+                    gone = (np.cumsum(steps[:-1]) > 0).tolist()
+                    yield i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode(), own
+                else:
+                    yield i, len(w), 0, b" ".join(w).decode(), []
+
+    yield from batches_of(rows(), RESULT_SCHEMA, 512 << 10)
+    tidy()
+
+
+def paths(rows: DataFrame, k: int, parts: int) -> DataFrame:
+    """The verified paths of a chunk table: chunk, row and coordinates, with those of the source."""
+    found = answers(rows.mapInArrow(_ask(parts, k), REQUEST), _answer, parts)
+    every = written(rows.join(found, "chunk", "left").select("chunk", "n", "ids", "texts", "answers").mapInArrow(_compact(k), PATH), "debruijn-paths")
+    claim = F.concat_ws(":", F.hex("content"), "source", "source_word", "n_words")
+    sizes = every.groupBy("source", "source_word", "n_words", "content").agg(F.count(F.lit(1)).alias("_n"))
+    claims = written(sizes, "debruijn-claims")
+    owners = rows.select("chunk", "n", "ids").mapInArrow(_owners, "source long, chunk long")
+    asked = claims.join(owners, "source").groupBy("chunk").agg(F.collect_list(F.struct("source", "source_word", "n_words", "content")).alias("claims"))
+    checked = rows.join(asked, "chunk").select("n", "ids", "texts", "claims").mapInArrow(_verify, CLAIM).distinct()
+    good = written(checked.join(claims, ["source", "source_word", "n_words", "content"]).select(claim.alias("claim"), "_n"), "debruijn-verified")
+    return lookup(every.withColumn("claim", claim), good, "claim", every.count(), how="inner").drop("claim", "content")
+
+
 def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by spaces) and the removed spans of each document."""
+    """doc_id, n_words, n_removed, kept (the words left, joined by spaces) and the removed paths of each document."""
     parts = partitions(docs.sparkSession)
     rows = chunk_table(docs.select(F.col(id_col).cast("long"), text_col), "word_chunks", parts)
-    found = answers(rows.mapInArrow(_ask(parts, k), REQUEST), _answer, parts)
-    return rows.join(found, "chunk", "left").select("chunk", "n", "ids", "texts", "answers").mapInArrow(_remove(k), RESULT)
+    own = paths(rows, k, parts).groupBy("chunk").agg(F.collect_list(F.struct("row", "first_word", "n_words", "source", "source_word")).alias("spans"))
+    return rows.join(own, "chunk", "left").select("n", "ids", "texts", "spans").mapInArrow(_remove, RESULT)
 
 
 def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
