@@ -39,6 +39,8 @@ from tidemark.llm.common import table
 SHINGLE, THRESHOLD, RADIUS, ITEMS = 5, 0.8, 20, 20_000
 BLOCK_ENDS = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles whose bits are summed at a time.
+PIECE = 1 << 14
 #: Bits of a shingle's hash that address the table of benchmark shingles.
 ADDRESS = 20
 
@@ -63,12 +65,18 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def simhashes(shingles: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """SimHash of the ``m`` shingles from each start."""
-    low, high = int(starts.min()), int(starts.max()) + m
-    bits = np.unpackbits(shingles[low:high].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    return np.packbits(2 * (sums[starts - low + m] - sums[starts - low]) > m, axis=1).view(">u8").astype(np.uint64).reshape(-1)
+def simhashes(shingles: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash of the ``counts`` shingles from each of the ``starts``; sums are kept for PIECE shingles at a time."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for piece in np.unique(starts // PIECE).tolist() if len(starts) else []:
+        at = np.flatnonzero(starts // PIECE == piece)
+        begin, end = starts[at], starts[at] + counts[at]
+        low, high = int(begin.min()), int(end.max())
+        bits = np.unpackbits(shingles[low:high].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+        most = 2 * (sums[end - low] - sums[begin - low]) > counts[at][:, None]
+        out[at] = np.packbits(most, axis=1).view(">u8").astype(np.uint64).reshape(-1)
+    return out
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -82,33 +90,39 @@ def shingle_counts(w: list[bytes]) -> Counter:
 
 
 class Index:
-    """The items of one block of the benchmark, by size."""
+    """The items of one block of the benchmark, in a multi-index by size and fingerprint block."""
 
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
-        by_size: dict[int, list[int]] = {}
-        for k, w in enumerate(self.words):
-            if w:
-                by_size.setdefault(len(w), []).append(k)
-        self.sizes, known = {}, {}
-        for n, members in sorted(by_size.items()):
-            size = min(SHINGLE, n)
-            hashes = [shingle_hashes(word_hashes(self.words[k]), size) for k in members]
-            known.setdefault(size, []).extend(hashes)
-            prints = np.concatenate([simhashes(h, np.array([0]), len(h)) for h in hashes])
-            blocks = []
-            for a, b in zip(BLOCK_ENDS, BLOCK_ENDS[1:]):
-                value = prints >> np.uint64(a) & np.uint64((1 << b - a) - 1)
-                order = np.argsort(value, kind="stable")
-                blocks.append((value[order], order))
-            self.sizes[n] = (np.array(members), prints, blocks)
+        self.counts = [shingle_counts(w) for w in self.words]
+        self.members = np.array([k for k, w in enumerate(self.words) if w], dtype=np.int64)
+        lengths = np.array([len(self.words[k]) for k in self.members], dtype=np.int64)
+        self.sizes = np.unique(lengths)
+        known: dict[int, list[np.ndarray]] = {}
+        prints = []
+        for k in self.members.tolist():
+            size = min(SHINGLE, len(self.words[k]))
+            hashes = shingle_hashes(word_hashes(self.words[k]), size)
+            known.setdefault(size, []).append(hashes)
+            prints.append(simhashes(hashes, np.array([0]), np.array([len(hashes)])))
+        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+        self.blocks = []
+        for block in range(RADIUS + 1):
+            keys = self.keys(np.searchsorted(self.sizes, lengths), self.prints, block)
+            order = np.argsort(keys, kind="stable")
+            self.blocks.append((keys[order], order))
         self.known = {size: np.unique(np.concatenate(h)) for size, h in known.items()}
         self.table = {}
         for size, h in self.known.items():
             self.table[size] = np.zeros(1 << ADDRESS, dtype=bool)
             self.table[size][h >> np.uint64(64 - ADDRESS)] = True
-        self.least = min((self.need(n, n) for n in self.sizes if n >= SHINGLE), default=1 << 60)
+
+    @staticmethod
+    def keys(sizes: np.ndarray, prints: np.ndarray, block: int) -> np.ndarray:
+        """Size and block of each fingerprint in one number."""
+        a, b = BLOCK_ENDS[block], BLOCK_ENDS[block + 1]
+        return sizes.astype(np.uint64) << np.uint64(b - a) | prints >> np.uint64(a) & np.uint64((1 << b - a) - 1)
 
     @staticmethod
     def need(a: int, b: int) -> int:
@@ -116,55 +130,67 @@ class Index:
         count = lambda n: n - min(SHINGLE, n) + 1
         return int(np.ceil(THRESHOLD / (1 + THRESHOLD) * (count(a) + count(b)) - 1e-9))
 
-    def near(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of size ``n`` within RADIUS bits, by the blocks that are equal."""
-        members, own, blocks = self.sizes[n]
-        found = []
-        for (a, b), (values, order) in zip(zip(BLOCK_ENDS, BLOCK_ENDS[1:]), blocks):
-            value = prints >> np.uint64(a) & np.uint64((1 << b - a) - 1)
-            start, end = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
+    def near(self, sizes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of equal size within RADIUS bits, by the blocks that are equal."""
+        seen = []
+        for block, (keys, order) in enumerate(self.blocks):
+            own = self.keys(sizes, prints, block)
+            start, end = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
             count = end - start
             at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-            found.append(np.repeat(np.arange(len(prints)), count) * len(own) + order[at])
-        pair = np.unique(np.concatenate(found))
-        window, item = pair // len(own), pair % len(own)
-        close = np.bitwise_count(prints[window] ^ own[item]) <= RADIUS
-        return window[close], members[item[close]]
-
-    def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of the best window of each item that the text holds."""
-        w = words(text)
-        if not w or not self.sizes:
-            return []
-        hashes, hits = None, {}
+            window, item = np.repeat(np.arange(len(prints)), count), order[at]
+            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
+            seen.append(window[close] * len(self.prints) + item[close])
+        pair = np.unique(np.concatenate(seen))
+        return pair // len(self.prints), self.members[pair % len(self.prints)]
+
+    def hits(self, w: list[bytes]):
+        """By shingle length: the text's shingles, and running counts of those that the benchmark has."""
+        out, hashes = {}, None
         for size, h in self.known.items():
             if len(w) < size:
                 continue
             hashes = word_hashes(w) if hashes is None else hashes
             grams = shingle_hashes(hashes, size)
-            hit = self.table[size][grams >> np.uint64(64 - ADDRESS)]
-            if hit.any():
-                hit[hit] = np.isin(grams[hit], h)
-                if hit.any():
-                    hits[size] = (grams, np.concatenate([[0], np.cumsum(hit)]))
+            at = np.flatnonzero(self.table[size][grams >> np.uint64(64 - ADDRESS)])
+            if len(at):
+                place = np.minimum(np.searchsorted(h, grams[at]), len(h) - 1)
+                hit = np.zeros(len(grams) + 1, dtype=np.int64)
+                hit[at[h[place] == grams[at]] + 1] = 1
+                out[size] = (grams, np.cumsum(hit))
+        return out
+
+    def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
+        """(item, similarity, first word, words) of the best window of each item that the text holds."""
+        w = words(text)
+        if not w or not len(self.sizes):
+            return []
         best: dict[int, tuple[float, int, int]] = {}
-        counts: dict[int, Counter] = {}
-        for n in self.sizes:
-            size = min(SHINGLE, n)
-            if size not in hits:
-                continue
-            grams, sums = hits[size]
-            length = min(n, len(w))
-            m = length - size + 1
-            starts = np.flatnonzero(sums[m:] - sums[:-m] >= self.need(n, length)) if sums[-1] else []
-            if not len(starts):
+        for size, (grams, sums) in self.hits(w).items():
+            found = []
+            for k, n in enumerate(self.sizes.tolist()):
+                if min(SHINGLE, n) != size:
+                    continue
+                length = min(n, len(w))
+                need, m = self.need(n, length), length - size + 1
+                if sums[-1] < need:
+                    if n <= len(w):
+                        break  # larger sizes need more
+                    continue
+                starts = np.flatnonzero(sums[m:] - sums[:-m] >= need)
+                if len(starts):
+                    found.append(np.stack([starts, np.full(len(starts), m), np.full(len(starts), k), np.full(len(starts), length)]))
+            if not found:
                 continue
-            for k, item in zip(*self.near(n, simhashes(grams, starts, m))):
-                at, item = int(starts[k]), int(item)
-                if item not in counts:
-                    counts[item] = shingle_counts(self.words[item])
-                score = similarity(shingle_counts(w[at : at + length]), counts[item])
-                if score >= THRESHOLD and (item not in best or score > best[item][0]):
+            starts, counts, sizes, lengths = np.concatenate(found, axis=1)
+            windows: dict[tuple[int, int], Counter] = {}
+            for k, item in zip(*map(np.ndarray.tolist, self.near(sizes, simhashes(grams, starts, counts)))):
+                at, length = int(starts[k]), int(lengths[k])
+                own = windows.get((at, length))
+                if own is None:
+                    own = windows[at, length] = shingle_counts(w[at : at + length])
+                score = similarity(own, self.counts[item])
+                if score >= THRESHOLD and (item not in best or (-score, at) < (-best[item][0], best[item][1])):
                     best[item] = (score, at, length)
         return [(i, *b) for i, b in best.items()]
 
