@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,16 +20,23 @@ def crc_table(polynomial: int = POLYNOMIAL) -> list[int]:
     return [reduce(lambda c, _: c >> 1 ^ (polynomial if c & 1 else 0), range(8), i) for i in range(256)]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crc32c(text: Column, reverse_bytes: bool = False) -> Column:
     """CRC-32C of a string's UTF-8 bytes as eight hex digits, most significant byte first unless reversed."""
-    table, digits = F.array(*[F.lit(x).cast("long") for x in crc_table()]), F.hex(text.cast("binary"))
+    table = F.array(*[F.lit(x).cast("long") for x in crc_table()])
+    bytes_ = F.filter(F.split(F.decode(text.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")  # one character for each byte
+
+    def whole(entries: Column) -> Column:
+        def step(crc: Column, c: Column) -> Column:
+            return F.shiftright(crc, 8).bitwiseXOR(F.get(entries, crc.bitwiseXOR(F.ascii(c).cast("long")).bitwiseAND(F.lit(255)).cast("int")))
 
-    def step(crc: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
-        return F.shiftright(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(byte).bitwiseAND(F.lit(255)).cast("int")))
+        return F.aggregate(bytes_, F.lit(0xFFFFFFFF).cast("long"), step).bitwiseXOR(F.lit(0xFFFFFFFF).cast("long"))
 
-    at = F.when(F.length(digits) > 0, F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    value = F.aggregate(at, F.lit(0xFFFFFFFF).cast("long"), step).bitwiseXOR(F.lit(0xFFFFFFFF).cast("long"))
+    value = bound(table, whole)
     out = F.lower(F.lpad(F.hex(value), 8, "0"))
     return F.concat(*[F.substring(out, k, 2) for k in (7, 5, 3, 1)]) if reverse_bytes else out
 

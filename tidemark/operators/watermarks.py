@@ -17,10 +17,12 @@ def judged(table: DataFrame, expected: str | None = None) -> DataFrame:
 
     ``expected`` names the column with the server type that a token's place asks for.
     """
-    fields = table.withColumn("_fields", tokens.decode(F.col("token")))
     want: Column | None = F.col(expected) if expected else None
-    rows = fields.withColumn("verdict", tokens.verdict(F.col("_fields"), want))
-    return rows.select(*table.columns, "_fields.server_type", "_fields.started_at_ms", "verdict")
+    found = tokens.bound(
+        tokens.decode(F.col("token")),
+        lambda f: F.struct(f["server_type"].alias("server_type"), f["started_at_ms"].alias("started_at_ms"), tokens.verdict(f, want).alias("verdict")),
+    )
+    return table.select("*", found.alias("_token")).select(*table.columns, "_token.server_type", "_token.started_at_ms", "_token.verdict")
 
 
 def boundaries(watermarks: DataFrame) -> DataFrame:
