@@ -23,7 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op9_warc": warc.ORACLE_SQL, "op10_debruijn": substrings.ORACLE_SQL}
+    found = {"op9_warc": warc.ORACLE_SQL, "op7_difference_cover": suffixes.ORACLE_SQL, "op10_debruijn": substrings.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

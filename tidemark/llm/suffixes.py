@@ -264,3 +264,18 @@ def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of LENGTH bytes or more in every whole text of ``documents``."""
     rows = without_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 400 bytes is compared with every other by its digest.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM g) WHERE n > 1),
+s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM f),
+k AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM s) GROUP BY r, run),
+l AS (SELECT r, list(a ORDER BY a) AS al, list(b ORDER BY a) AS bl, sum(b - a) AS gone FROM k GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(al), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN al IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(al) + 1), lambda j:
+    substr(h, 2 * coalesce(bl[j], 0) + 1, 2 * (coalesce(al[j + 1], length(h) // 2) - coalesce(bl[j], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN l ON d.r = l.r
+"""
