@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir, written
+
+__all__ = ["HOT_SHARE", "SPACE", "SPACE_CHARS", "lookup", "partitions", "shared_dir", "table", "words_of", "written"]
+
 #: ASCII white space that separates words, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 #: The same characters, for trim() and translate().
@@ -18,28 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write the frame to the shared folder as Parquet and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
