@@ -186,20 +186,23 @@ REQUEST = "part int, chunk long, n int, data binary, more binary"
 REQUEST_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 
 
-def _collect(batches):
-    rows = ((chunk, len(ids), pack_ids(ids), squeeze(join_blobs(texts), 3)) for chunk, ids, texts in chunked(batches))
-    yield from batches_of(rows, TABLE_SCHEMA)
-    tidy()
+def _collect(limit: int):
+    def run(batches):
+        rows = ((chunk, len(ids), pack_ids(ids), squeeze(join_blobs(texts), 3)) for chunk, ids, texts in chunked(batches, limit))
+        yield from batches_of(rows, TABLE_SCHEMA)
+        tidy()
 
+    return run
 
-def chunk_table(docs: DataFrame, label: str, parts: int) -> DataFrame:
+
+def chunk_table(docs: DataFrame, label: str, parts: int, limit: int = CHUNK_BYTES) -> DataFrame:
     """The documents (id, text) as one row per chunk, in a table of the warehouse bucketed by chunk.
 
     Later joins on the chunk find the texts where they are: only what is asked and answered is shuffled.
     """
     spark = docs.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    rows = docs.mapInArrow(_collect, "chunk long, n int, ids binary, texts binary")
+    rows = docs.mapInArrow(_collect(limit), "chunk long, n int, ids binary, texts binary")
     # the blobs are compressed already
     rows.write.option("compression", "none").bucketBy(parts, "chunk").saveAsTable(name)
     return spark.table(name)

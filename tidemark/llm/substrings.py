@@ -40,6 +40,8 @@ from tidemark.llm.decontaminate import shingle_hashes, word_hashes
 
 K = 13
 LAST = np.iinfo(np.int64).max
+#: Bytes of text in a chunk; an edge takes about ten times the bytes of its word while it is worked on.
+CHUNK_BYTES = 8 << 20
 SPAN = "first_word:int,n_words:int,source:bigint,source_word:int"
 RESULT = f"doc_id long, n_words long, n_removed long, kept string, spans array<struct<{SPAN}>>"
 SPAN_TYPE = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64()), ("source_word", pa.int32())]))
@@ -54,14 +56,14 @@ class Edges:
     def __init__(self, ids: list, texts: list[bytes], k: int):
         keys = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
         self.order = np.argsort(keys, kind="stable")
-        self.words = [t.split() for t in texts]
-        hashes = [shingle_hashes(word_hashes(self.words[d]), k) for d in self.order.tolist()]
+        hashes = [shingle_hashes(word_hashes(texts[d].split()), k) for d in self.order.tolist()]
         self.counts = np.array([len(h) for h in hashes], dtype=np.int64)
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         hashes.clear()
         self.docs = np.repeat(keys[self.order], self.counts)
         self.distinct, first, self.inverse = np.unique(every, return_index=True, return_inverse=True)
-        place = np.arange(len(every)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        del every
+        place = np.arange(len(self.docs)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.first_doc, self.first_word = self.docs[first], place[first].astype(np.uint32)
 
 
@@ -143,7 +145,8 @@ def _compact(k: int):
     def run(batches):
         def rows():
             for chunk, n, ids, texts, found in rows_of(batches):
-                edges = Edges(*documents_of(n, ids, texts), k)
+                ids, texts = documents_of(n, ids, texts)
+                edges = Edges(ids, texts, k)
                 doc, word, end = edges.first_doc.copy(), edges.first_word.astype(np.int64), 0
                 for a in found or []:
                     at = end + np.flatnonzero(np.unpackbits(np.frombuffer(unsqueeze(a["data"]), np.uint8), count=a["n"]))
@@ -151,13 +154,14 @@ def _compact(k: int):
                     doc[at], word[at] = np.frombuffer(unsqueeze(sources), dtype=np.int64)[unpack(number, np.uint32)], unpack(places, np.uint32)
                     end += a["n"]
                 source, place, end = doc[edges.inverse], word[edges.inverse], 0
+                del doc, word, edges.distinct, edges.inverse, edges.first_doc, edges.first_word
                 repeats = source < edges.docs
                 for d, m in zip(edges.order.tolist(), edges.counts.tolist()):
                     begin, end = end, end + m
                     at = np.flatnonzero(repeats[begin:end])
                     if not len(at):
                         continue
-                    s, p, w = source[begin:end][at], place[begin:end][at], edges.words[d]
+                    s, p, w = source[begin:end][at], place[begin:end][at], texts[d].split()
                     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(s) != 0) | (np.diff(p) != 1)) + 1
                     starts = np.concatenate([[0], cut])
                     for a, b in zip(starts.tolist(), np.append(cut, len(at)).tolist()):
@@ -243,7 +247,7 @@ def paths(rows: DataFrame, k: int, parts: int) -> DataFrame:
 def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by spaces) and the removed paths of each document."""
     parts = partitions(docs.sparkSession)
-    rows = chunk_table(docs.select(F.col(id_col).cast("long"), text_col), "word_chunks", parts)
+    rows = chunk_table(docs.select(F.col(id_col).cast("long"), text_col), "word_chunks", parts, CHUNK_BYTES)
     own = paths(rows, k, parts).groupBy("chunk").agg(F.collect_list(F.struct("row", "first_word", "n_words", "source", "source_word")).alias("spans"))
     return rows.join(own, "chunk", "left").select("n", "ids", "texts", "spans").mapInArrow(_remove, RESULT)
 
