@@ -61,7 +61,7 @@ def _explode(pattern: str, parts: int):
                     sequences.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
                 lengths = np.array([len(s) for s in sequences], dtype=np.uint32)
                 ranks, order = by_frequency(np.concatenate(sequences), len(numbers))
-                yield chunk % parts, chunk, OWN, len(ids), join_blobs(pack_ranks(ranks)), join_blobs([pack(lengths), pack_ids(ids)])
+                yield (chunk + (chunk >> 32)) % 2**32 % parts, chunk, OWN, len(ids), join_blobs(pack_ranks(ranks)), join_blobs([pack(lengths), pack_ids(ids)])
                 words = list(numbers)
                 words = [words[i].encode() for i in order.tolist()]
                 where = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) % parts
