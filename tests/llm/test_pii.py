@@ -52,3 +52,12 @@ def test_redaction(spark):
     rows = [(1, "é write a@b.co or 10.1.2.3 now", 30), (2, "nothing", 7), (3, None, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.without_personal_data(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
     assert got == {1: ("é write [EMAIL] or [IP] now", 27), 2: ("nothing", 7), 3: (None, None)}
+
+
+def test_the_classifier_decides_without_a_cue(spark):
+    """Numbers in a list have no cue word, but all else is as in the ones that have one."""
+    rows = [(i, f"text {i} her ssn 5{i}-12-3456 today") for i in range(10, 70)]
+    rows += [(i, f"text {i} order number 9{i - 100}-00-0000 today") for i in range(110, 170)]
+    rows += [(i, f"row {i} 5{i - 200}-12-3456 and so on") for i in range(210, 220)]
+    got = listed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(("ssn" in a) == (i < 100 or i >= 200) for i, (_, a) in got.items())

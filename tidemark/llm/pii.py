@@ -7,7 +7,7 @@ names after a title). Three labelers vote on every candidate (1 yes, -1 no, 0 do
 *context* (cue words before it). Expectation-maximisation over the counts of vote patterns estimates
 each labeler's reliability and each kind's share of true spans; its posteriors are the soft labels of
 a naive Bayes span classifier over bucketed span features, and that classifier decides which
-candidates are added.
+candidates are added, except that none is against the vote of the context labeler.
 
 What reaches the driver is one count per kind and vote pattern (at most 8 * 27 rows) and one sum per
 kind, feature and bucket (a few hundred rows), whatever the size of the corpus.
@@ -241,8 +241,9 @@ def train(found: DataFrame) -> dict[str, tuple[float, dict[tuple[str, int], floa
 def spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), add_at: float = ADD_AT) -> DataFrame:
     """The columns ``keep``, and base_spans and added_spans: arrays of (kind, start, end) in order of start.
 
-    A candidate that fails a fixed form, or has a loose one, is added where the context labeler votes
-    for it and the classifier gives it a probability of ``add_at`` or more.
+    A candidate that fails a fixed form, or has a loose one, is added where the classifier gives it a
+    probability of ``add_at`` or more, with a cue word or without; only where the context labeler
+    votes against it (a word of ANTI and no cue) it is never added.
     """
     found = written(candidates(docs, keep), "pii-candidates")
     model = train(found)
@@ -254,7 +255,7 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), add_at: float =
         terms = [F.coalesce(weights[F.concat_ws("|", s["kind"], F.lit(f), s[f])], F.lit(0.0)) for f in FEATURES]
         return sum(terms, F.coalesce(odds[s["kind"]], F.lit(0.0)))
 
-    added = F.filter("loose", lambda s: (s["context"] == 1) & (score(s) >= math.log(add_at / (1 - add_at))))
+    added = F.filter("loose", lambda s: (s["context"] >= 0) & (score(s) >= math.log(add_at / (1 - add_at))))
     slim = lambda x: F.transform(ordered(x), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.select(
