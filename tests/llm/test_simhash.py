@@ -77,3 +77,25 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sum(r.doc_id == 100 for r in kept.collect()) == 1
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_row_numbers_survive_a_change_of_cores(spark, docs, monkeypatch, tmp_path):
+    """The splits of a file scan follow the cores; here they change before each write."""
+    twice = docs.union(docs.withColumn("doc_id", docs.doc_id + 1_000_000))
+    twice.repartition(8).write.parquet(f"{tmp_path}/docs")
+    rows = spark.read.parquet(f"{tmp_path}/docs")
+    want = {r.component_id for r in simhash.near_duplicates(docs).select("component_id").distinct().collect()}
+    keep, cores, old = simhash.written, iter([4, 2, 1, 3, 8] * 20), spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+
+    def other_cores(df, label):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", next(cores))
+        return keep(df, label)
+
+    monkeypatch.setattr(simhash, "written", other_cores)
+    try:
+        kept = simhash.deduplicated(rows)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 5)
+        got = [r.doc_id for r in kept.select("doc_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if old is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", old)
+    assert len(got) == len(set(got)) and set(got) == want

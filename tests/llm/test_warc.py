@@ -62,3 +62,23 @@ def test_lookup_of_hot_keys_loses_no_row(spark):
     found = rows.where("k IS NOT NULL").groupBy("k").agg(F.max("v").alias("m"), F.count(F.lit(1)).alias("_n"))
     assert lookup(rows, found, "k", 5001).count() == 5001
     assert lookup(rows, found, "k", 5001, how="inner").where("m IS NULL").count() == 0
+
+
+def test_links_survive_a_change_of_cores(spark, monkeypatch, tmp_path):
+    """Row numbers link revisits to captures; the splits of the scan change before each write."""
+    pages = [(i, f"http://h/{i}", f"<p>{i % 40}</p>") for i in range(400)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8).write.parquet(f"{tmp_path}/in")
+    keep, cores = warc.written, iter([4, 2, 1, 3] * 20)
+
+    def other_cores(df, label):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", next(cores))
+        return keep(df, label)
+
+    monkeypatch.setattr(warc, "written", other_cores)
+    try:
+        warc.write_archives(spark.read.parquet(f"{tmp_path}/in"), f"{tmp_path}/w")
+        rows = warc.assemble(warc.read_records(spark, f"{tmp_path}/w")).collect()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    got = {r.metadata.page_id: (r.capture.warc_type, r.metadata.refers_to_page) for r in rows}
+    assert got == {i: ("response", None) if i < 40 else ("revisit", i % 40) for i in range(400)}

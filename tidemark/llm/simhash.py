@@ -203,9 +203,13 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate component: the one with the smallest doc_id, among equals one row."""
+    """One document of each near-duplicate component: the one with the smallest doc_id, among equals one row.
+
+    The rows are numbered and written once: row numbers follow the splits of a scan, which follow the
+    number of cores, so two evaluations may number the same rows differently.
+    """
     row = "_row" + "_" * max(len(c) for c in docs.columns)  # no column has this name
-    named = docs.withColumn(row, F.monotonically_increasing_id())
+    named = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-numbered")
     found = near_duplicates(named.select("doc_id", F.col(row).alias("_row"), "text"), ("doc_id", "_row"))
     stay = found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first")

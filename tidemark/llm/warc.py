@@ -85,13 +85,11 @@ def revisits(pages: DataFrame, total: int, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0) -> None:
     """Write ``pages`` (page_id, url, html) to gzip archives below ``path``.
 
-    ``pages`` must read the same rows in the same partitions each time (a file scan does): its row
-    numbers link a revisit to the capture that it repeats.
+    The captures are numbered and written once: row numbers follow the splits of a scan, which follow
+    the number of cores, and they link a revisit to the capture that it repeats.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("seq"), "page_id", "url", body.alias("html"),
-    )
+    rows = written(pages.select(F.monotonically_increasing_id().alias("seq"), "page_id", "url", body.alias("html")), "warc-captures")
     slim = written(
         rows.select("seq", "page_id", sha1_base32(F.col("html")).alias("digest"), F.octet_length("html").alias("n_bytes")),
         "warc-digests",
