@@ -17,16 +17,21 @@ def crc(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
+def digits(data: bytes) -> str:
+    """Least significant byte first."""
+    return crc(data).to_bytes(4, "little").hex()
+
+
 def made(server, ms, check=None):
-    body = json.dumps({"server_type": server, "started_at_ms": ms, "crc32c": check or f"{crc(f'{server}{ms}'.encode()):08x}"}, separators=(",", ":"))
+    body = json.dumps({"server_type": server, "started_at_ms": ms, "crc32c": check or digits(f"{server}{ms}".encode())}, separators=(",", ":"))
     return base64.urlsafe_b64encode(body.encode()).decode().rstrip("=")
 
 
 def test_checksum(spark):
     rows = spark.createDataFrame([("123456789",), ("",), ("é",), ("ledger1745000000000",)], "t string")
     got = [r[0] for r in rows.select(tokens.crc32c(F.col("t"))).collect()]
-    assert got[0] == "e3069283" and got == [f"{crc(t.encode()):08x}" for (t,) in rows.collect()]
-    assert rows.select(tokens.crc32c(F.col("t"), reverse_bytes=True)).first()[0] == "839206e3"
+    assert got[0] == "839206e3" and got == [digits(t.encode()) for (t,) in rows.collect()]
+    assert rows.select(tokens.crc32c(F.col("t"), reverse_bytes=False)).first()[0] == "e3069283"
 
 
 def test_tokens_are_those_of_a_plain_encoder(spark):

@@ -21,7 +21,3 @@ def instant(ms: Column) -> Column:
 
 def lock_boundary(now_ms: int, valid_ms: int = LOCK_VALID_MS) -> int:
     return now_ms - valid_ms
-
-
-def earlier(a: Column, b: Column) -> Column:
-    return F.least(a, b)

@@ -25,8 +25,8 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def crc32c(text: Column, reverse_bytes: bool = False) -> Column:
-    """CRC-32C of a string's UTF-8 bytes as eight hex digits, most significant byte first unless reversed."""
+def crc32c(text: Column, reverse_bytes: bool = True) -> Column:
+    """CRC-32C of a string's UTF-8 bytes as eight hex digits, least significant byte first, as the tokens have it, or most significant first."""
     table = F.array(*[F.lit(x).cast("long") for x in crc_table()])
     bytes_ = F.filter(F.split(F.decode(text.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")  # one character for each byte
 
@@ -41,7 +41,7 @@ def crc32c(text: Column, reverse_bytes: bool = False) -> Column:
     return F.concat(*[F.substring(out, k, 2) for k in (7, 5, 3, 1)]) if reverse_bytes else out
 
 
-def checksum(server: Column, started_at_ms: Column, reverse_bytes: bool = False) -> Column:
+def checksum(server: Column, started_at_ms: Column, reverse_bytes: bool = True) -> Column:
     return crc32c(F.concat(server, started_at_ms.cast("string")), reverse_bytes)
 
 
@@ -56,7 +56,7 @@ def from_base64url(text: Column) -> Column:
     return F.try_to_binary(F.rpad(bare, ((F.length(bare) + 3) / 4).cast("int") * 4, F.lit("=")), F.lit("base64"))
 
 
-def encode(server: Column, started_at_ms: Column, reverse_bytes: bool = False) -> Column:
+def encode(server: Column, started_at_ms: Column, reverse_bytes: bool = True) -> Column:
     body = F.struct(server.alias("server_type"), started_at_ms.cast("long").alias("started_at_ms"), checksum(server, started_at_ms, reverse_bytes).alias("crc32c"))
     return base64url(F.encode(F.to_json(body), "UTF-8"))
 
@@ -66,7 +66,7 @@ def decode(token: Column) -> Column:
     return F.from_json(F.try_validate_utf8(from_base64url(token).cast("string")), SCHEMA)
 
 
-def verdict(fields: Column, expected: Column | None = None, reverse_bytes: bool = False) -> Column:
+def verdict(fields: Column, expected: Column | None = None, reverse_bytes: bool = True) -> Column:
     """OK or a code, in this order: undecodable, unknown server type, wrong checksum, type not expected in its place."""
     server, ms, crc = fields["server_type"], fields["started_at_ms"], fields["crc32c"]
     out = (

@@ -1,31 +1,35 @@
 """The jobs: finalize records, release locks, delete settled proofs and coordinator rows, reconcile.
 
 Each job freezes its boundary before it looks for targets and keeps it in the store's pointer, so a rerun
-works with the same one. A target is published together with its mark of completion. Counts are those of
-the run at hand.
+works with the same one. A target is published together with its mark of completion, and only if no other
+job has changed it meanwhile; otherwise its work is done again on what is live now. Only files that hold
+selected rows are written anew. Counts are those of the run at hand.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import tokens
 from tidemark.functions.times import lock_boundary
 from tidemark.operators import locks as lock_ops
 from tidemark.operators import recovery, retention, watermarks
-from tidemark.operators.audit import unsafe_coordinator_deletes
-from tidemark.operators.predicates import coordinator_deletable, proof_deletable
-from tidemark.schemas import COORDINATOR, DEFAULT_NAMESPACE, LEDGER, LOCKS, PROOFS, TRANSACTION_COLUMNS, TableSpec
-from tidemark.sources.discovery import TooFewTargets
+from tidemark.operators.audit import unsafe_coordinator_deletes, unsafe_proof_deletes
+from tidemark.operators.predicates import coordinator_deletable, guarded, needs_finalization, needs_release, proof_deletable
+from tidemark.schemas import COORDINATOR, DEFAULT_NAMESPACE, LEDGER, LOCKS, PROOFS, TRANSACTION_COLUMNS, WATERMARKS, TableSpec
+from tidemark.sources import discovery
 from tidemark.sources.shared import written
-from tidemark.sources.snapshot import Store
+from tidemark.sources.snapshot import LostUpdate, Store
 
-COORDINATOR_TABLE, PROOF_TABLE, REGISTRY_TABLE = "coordinator_state", "request_proof", "namespace"
-MINIMUM_TABLES = 2
+COORDINATOR_TABLE, PROOF_TABLE, REGISTRY_TABLE, WATERMARK_TABLE = "coordinator_state", "request_proof", "namespace", "watermarks"
+LOCK_TABLE = "asset_lock"
+#: How often a target's work is done again when other jobs change its tables meanwhile.
+TRIES = 5
 
 
 class UnsafeDeletion(RuntimeError):
@@ -59,12 +63,44 @@ def _begin(store: Store, run: str, fresh: dict) -> dict:
     return state
 
 
+def _again(work: Callable[[], None]) -> None:
+    """Do the work anew when another job has changed its tables."""
+    for attempt in range(TRIES):
+        try:
+            return work()
+        except LostUpdate:
+            if attempt == TRIES - 1:
+                raise
+
+
+def _record(spark: SparkSession, store: Store, server: str, started_at_ms: int, domain: str) -> str:
+    """Write the finished run's watermark, once; its token."""
+
+    def work() -> None:
+        row = spark.createDataFrame([(domain, server, started_at_ms)], WATERMARKS.schema)
+        if not store.exists(WATERMARK_TABLE):
+            return store.publish({WATERMARK_TABLE: store.stage(WATERMARK_TABLE, row)}, based_on={WATERMARK_TABLE: None})
+        entry = store.entry(WATERMARK_TABLE)
+        if store.read(WATERMARK_TABLE, entry=entry).join(row, list(WATERMARKS.struct().names), "left_semi").isEmpty():
+            store.publish({WATERMARK_TABLE: store.appended(WATERMARK_TABLE, row, entry)}, based_on={WATERMARK_TABLE: entry})
+
+    _again(work)
+    return watermarks.token(spark, server, started_at_ms)
+
+
 def ledger_tables(store: Store) -> list[str]:
     """Transactional tables of the store, the coordinator's own left out."""
     found = [t for t in store.tables() if t != COORDINATOR_TABLE and set(TRANSACTION_COLUMNS) <= set(store.read(t).columns)]
     return found
 
 
+def catalog_targets(spark: SparkSession, coordinator: str, databases: list[str] | None = None) -> list[str]:
+    """Qualified names of the transactional tables of the session's catalog, the coordinator's own left out."""
+    found = discovery.targets(discovery.catalog_tables(spark, databases), coordinator)
+    # one row for each table of the catalog
+    return discovery.required([r[0] for r in found.select("full_name").orderBy("full_name").collect()])
+
+
 def progress(spark: SparkSession, state: dict) -> DataFrame:
     """One row: completed of all targets."""
     rows = [(t, t in state["completed"]) for t in state["targets"]]
@@ -89,90 +125,133 @@ def _each_target(state: dict, report: RunReport, work) -> None:
         raise first
 
 
-def finalize_records(spark: SparkSession, store: Store, now_ms: int | None = None, expiry_ms: int = recovery.EXPIRY_MS, spec: TableSpec = LEDGER, run: str = "ledger") -> RunReport:
-    """Drive in-doubt records of every transactional table to a final state and emit the ledger's token."""
+def finalize_records(
+    spark: SparkSession, store: Store, now_ms: int | None = None, expiry_ms: int = recovery.EXPIRY_MS, spec: TableSpec = LEDGER, run: str = "ledger",
+    recover_fn: recovery.Recovery | None = None, coordinator_spec: TableSpec = COORDINATOR, domain: str = DEFAULT_NAMESPACE,
+) -> RunReport:
+    """Drive in-doubt records of every transactional table to a final state and emit the ledger's token.
+
+    ``recover_fn`` gives the in-doubt records their action; the default joins them with the transactions'
+    outcomes.
+    """
     started = _now() if now_ms is None else now_ms
     state = store.run(run)
     if state is None:
-        targets = ledger_tables(store)
-        if len(targets) < MINIMUM_TABLES:
-            raise TooFewTargets(f"{len(targets)} transactional tables found; a ledger has {MINIMUM_TABLES} at least")
-        state = _begin(store, run, {"started_at_ms": started, "targets": targets, "completed": []})
+        state = _begin(store, run, {"started_at_ms": started, "targets": discovery.required(ledger_tables(store)), "completed": []})
     boundary = state["started_at_ms"]
-    report = RunReport(boundary)
-
-    def work(target: str) -> None:
-        records, coordinator = spec.check(store.read(target)), COORDINATOR.check(store.read(COORDINATOR_TABLE))
-        resolved = written(recovery.resolve(records, coordinator, boundary, started, expiry_ms, spec, thin=True), "finalize-resolved")
-        row = recovery.counts(resolved).first()
-        aborts = recovery.new_aborts(resolved, max(started, boundary))
-        versions = {target: store.stage(target, recovery.applied(resolved, spec))}
-        if not aborts.isEmpty():
-            versions[COORDINATOR_TABLE] = store.stage(COORDINATOR_TABLE, coordinator.unionByName(aborts.select(*coordinator.columns)))
-        state["completed"].append(target)
-        store.publish(versions, {run: state})
-        report.counts[target] = {"scanned": row["scanned"], "changed": row["finalized"]}
-
-    _each_target(state, report, work)
-    report.token = watermarks.token(spark, tokens.LEDGER, boundary)
+    report, chosen = RunReport(boundary), needs_finalization(boundary, spec.state_col, spec.age_col)
+
+    def resolve(records: DataFrame, coordinator: DataFrame, boundary_ms: int, at_ms: int) -> DataFrame:
+        return recovery.resolve(records, coordinator, boundary_ms, at_ms, expiry_ms, spec, thin=True)
+
+    def once(target: str) -> None:
+        seen = {t: store.entry(t) for t in (target, COORDINATOR_TABLE)}
+        records = spec.check(store.read(target, entry=seen[target]))
+        coordinator = coordinator_spec.named(coordinator_spec.check(store.read(COORDINATOR_TABLE, entry=seen[COORDINATOR_TABLE])))
+        told: list[DataFrame] = []
+
+        def change(rows: DataFrame) -> DataFrame:
+            told.append(written((recover_fn or resolve)(rows.where(chosen), coordinator, boundary, started), "finalize-resolved"))
+            return spec.coded(rows.where(~chosen).unionByName(recovery.applied(told[0], spec)))
+
+        fresh = store.revised(target, seen[target], chosen, change, spec.named)
+        changed, changes = 0, {}
+        if fresh is not None:
+            changed, changes[target] = recovery.counts(told[0]).first()["finalized"], fresh
+            aborts = recovery.new_aborts(told[0], max(started, boundary))
+            if not aborts.isEmpty():
+                rows = coordinator_spec.coded(aborts).select(*coordinator_spec.struct().names)
+                rows = rows.select([F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in coordinator.dtypes])
+                changes[COORDINATOR_TABLE] = store.appended(COORDINATOR_TABLE, rows, seen[COORDINATOR_TABLE])
+        mark = state | {"completed": [*state["completed"], target]}
+        store.publish(changes, {run: mark}, based_on={t: seen[t] for t in changes})
+        state["completed"] = mark["completed"]
+        report.counts[target] = {"scanned": records.count(), "changed": changed}
+
+    _each_target(state, report, lambda target: _again(lambda: once(target)))
+    report.token = _record(spark, store, tokens.LEDGER, boundary, domain)
     return report
 
 
-def lock_namespaces(store: Store) -> list[str]:
-    names = [DEFAULT_NAMESPACE]
-    if store.exists(REGISTRY_TABLE):
-        # one row per namespace of the ledger
-        names += [r[0] for r in store.read(REGISTRY_TABLE).where("partition_id = 0 AND name IS NOT NULL").select("name").distinct().orderBy("name").collect()]
-    return list(dict.fromkeys(names))
+def lock_namespaces(spark: SparkSession, store: Store) -> list[str]:
+    registry = store.read(REGISTRY_TABLE) if store.exists(REGISTRY_TABLE) else None
+    # one row per namespace of the ledger
+    return [r[0] for r in discovery.namespaces(registry, spark).orderBy("ord", "name").collect()]
 
 
 def lock_table(base: str, namespace: str) -> str:
-    return f"{base if namespace == DEFAULT_NAMESPACE else f'{base}_{namespace}'}.asset_lock"
+    return f"{base if namespace == DEFAULT_NAMESPACE else f'{base}_{namespace}'}.{LOCK_TABLE}"
+
+
+def all_locks(store: Store) -> DataFrame | None:
+    """The lock tables of all namespaces as one relation, with the physical namespace in ns."""
+    found = [t for t in store.tables() if t.endswith(f".{LOCK_TABLE}")]
+    return lock_ops.union_namespaces({t.removesuffix(f".{LOCK_TABLE}"): store.read(t) for t in found}) if found else None
 
 
 def finalize_locks(
     spark: SparkSession, store: Store, base: str, now_ms: int | None = None, recover_fn: lock_ops.Recovery = lock_ops.expired,
-    wait_s: float = lock_ops.WAIT_S, run: str = "auditor",
+    wait_s: float = lock_ops.WAIT_S, run: str = "auditor", domain: str = DEFAULT_NAMESPACE,
 ) -> RunReport:
     """Release stranded locks of every namespace and emit the auditor's token."""
     started = lock_boundary(_now() if now_ms is None else now_ms)
-    state = store.run(run) or _begin(store, run, {"started_at_ms": started, "targets": lock_namespaces(store), "completed": []})
+    state = store.run(run) or _begin(store, run, {"started_at_ms": started, "targets": lock_namespaces(spark, store), "completed": []})
     boundary = state["started_at_ms"]
     report = RunReport(boundary)
 
-    def work(namespace: str) -> None:
+    def once(namespace: str) -> None:
         table = lock_table(base, namespace)
-        held = store.read(table).withColumn("ns", F.lit(namespace))
-        LOCKS.check(held)
+        entry, with_ns = store.entry(table), lambda df: df.withColumn("ns", F.lit(namespace))
+        held = LOCKS.check(with_ns(store.read(table, entry=entry)))
         chosen = written(lock_ops.candidates(held, boundary), "lock-candidates")
         done = lock_ops.recover(chosen, recover_fn, wait_s=wait_s)
+        fresh = store.revised(table, entry, needs_release(boundary), lambda rows: lock_ops.released(rows, done, thin=True).drop("ns"), with_ns)
+        mark = state | {"completed": [*state["completed"], namespace]}
+        changes = {} if fresh is None else {table: fresh}
+        store.publish(changes, {run: mark}, based_on={t: entry for t in changes})
+        state["completed"] = mark["completed"]
         report.counts[namespace] = {"scanned": held.count(), "changed": done.count()}
-        state["completed"].append(namespace)
-        store.publish({table: store.stage(table, lock_ops.released(held, done).drop("ns"))}, {run: state})
 
-    _each_target(state, report, work)
-    report.token = watermarks.token(spark, tokens.AUDITOR, boundary)
+    _each_target(state, report, lambda namespace: _again(lambda: once(namespace)))
+    report.token = _record(spark, store, tokens.AUDITOR, boundary, domain)
     return report
 
 
 def _delete(store: Store, run: str, table: str, spec: TableSpec, boundary: int, deletable) -> RunReport:
+    """Delete the selected rows: one pass finds the files that hold any, a second one writes what stays of those."""
     state = store.run(run) or _begin(store, run, {"deletable_before_ms": boundary, "completed": False})
     report = RunReport(state["deletable_before_ms"])
     if state["completed"]:
         return report
-    rows, gone = spec.check(store.read(table)), deletable(state["deletable_before_ms"])
-    retention.tombstones(rows, gone, spec.keys).write.format("noop").mode("overwrite").save()  # a selected row without key fails the job
-    row = retention.counts(rows, gone).first()
-    version = store.stage(table, retention.survivors(rows, gone))
-    store.publish({table: version}, {run: state | {"completed": True}})
-    report.counts[table] = {"scanned": row["scanned"], "changed": row["deleted"]}
+    gone = deletable(state["deletable_before_ms"])
+    keyed = F.struct(*[guarded(k, gone) for k in spec.keys]).isNotNull()  # a selected row without key fails the job
+
+    def once() -> None:
+        entry, seen = store.entry(table), Observation()
+        rows = spec.check(store.read(table, entry=entry))
+        fresh = store.revised(
+            table, entry, gone & keyed, lambda df: retention.survivors(df.observe(seen, F.count_if(gone).alias("n")), gone)
+        )
+        changes = {} if fresh is None else {table: fresh}
+        store.publish(changes, {run: state | {"completed": True}}, based_on={t: entry for t in changes})
+        report.counts[table] = {"scanned": rows.count(), "changed": seen.get["n"] if changes else 0}
+
+    _again(once)
     return report
 
 
 def cleanup_proofs(spark: SparkSession, store: Store, auditor_token: str | None = None, run: str = "proofs") -> RunReport:
-    """Delete proofs registered before the auditor's boundary. A resumed run keeps its own boundary."""
+    """Delete proofs registered before the auditor's boundary, once no write lock needs them.
+
+    A resumed run keeps its own boundary.
+    """
     known = store.run(run)
     boundary = known["deletable_before_ms"] if known else watermarks.read_token(spark, auditor_token, tokens.AUDITOR)
+    held = None if known and known["completed"] else all_locks(store)
+    if held is not None:
+        needed = unsafe_proof_deletes(store.read(PROOF_TABLE), held, proof_deletable(boundary), boundary).first()
+        if needed:
+            raise UnsafeDeletion(f"proof {needed['nonce']} belongs to a write lock that is still held")
     return _delete(store, run, PROOF_TABLE, PROOFS, boundary, proof_deletable)
 
 
@@ -183,15 +262,33 @@ def finalize_auditor(spark: SparkSession, store: Store, base: str, now_ms: int |
     return report
 
 
-def cleanup_coordinator(spark: SparkSession, store: Store, ledger_token: str | None = None, auditor_token: str | None = None, run: str = "coordinator") -> RunReport:
-    """Delete coordinator rows older than both boundaries, once no in-doubt record needs them."""
+def recorded_boundary(store: Store, domain: str = DEFAULT_NAMESPACE) -> int | None:
+    """The boundary below which both servers' recorded runs make deletion safe; None if either is missing."""
+    if not store.exists(WATERMARK_TABLE):
+        return None
+    row = watermarks.boundaries(store.read(WATERMARK_TABLE)).where(F.col("domain") == domain).first()
+    return row["deletable_before_ms"] if row else None
+
+
+def cleanup_coordinator(
+    spark: SparkSession, store: Store, ledger_token: str | None = None, auditor_token: str | None = None, run: str = "coordinator",
+    spec: TableSpec = LEDGER, domain: str = DEFAULT_NAMESPACE,
+) -> RunReport:
+    """Delete coordinator rows older than both boundaries, once no in-doubt record of any table needs them.
+
+    Without tokens the boundary is that of the recorded watermarks.
+    """
     known = store.run(run)
-    if known:
-        boundary = known["deletable_before_ms"]
-    else:
+    boundary = known["deletable_before_ms"] if known else None
+    if boundary is None and ledger_token is None and auditor_token is None:
+        boundary = recorded_boundary(store, domain)
+    if boundary is None:
         boundary = min(watermarks.read_token(spark, ledger_token, tokens.LEDGER), watermarks.read_token(spark, auditor_token, tokens.AUDITOR))
-    if not (known and known["completed"]):
-        for target in ledger_tables(store):
-            if not unsafe_coordinator_deletes(store.read(COORDINATOR_TABLE), store.read(target), coordinator_deletable(boundary), boundary).isEmpty():
-                raise UnsafeDeletion(f"{target} has in-doubt records older than the boundary")
+    targets = [] if known and known["completed"] else ledger_tables(store)
+    if targets:
+        records = discovery.one_relation({t: spec.named(store.read(t)) for t in targets}, *TRANSACTION_COLUMNS)
+        needed = unsafe_coordinator_deletes(store.read(COORDINATOR_TABLE), records, coordinator_deletable(boundary), boundary).first()
+        if needed:
+            names = records.where(needs_finalization(boundary) & (F.col("tx_id") == needed["tx_id"])).select("full_name").distinct().limit(1).first()
+            raise UnsafeDeletion(f"{names[0]} has in-doubt records older than the boundary")
     return _delete(store, run, COORDINATOR_TABLE, COORDINATOR, boundary, coordinator_deletable)

@@ -32,6 +32,15 @@ def reconciled(named: dict[str, tuple[DataFrame, DataFrame, Column]]) -> DataFra
     return out.withColumn("agrees", F.col("n_before") - F.col("n_after") == F.col("n_deleted"))
 
 
+def reconciled_safely(named: dict[str, tuple[DataFrame, DataFrame, Column, DataFrame]]) -> DataFrame:
+    """As :func:`reconciled`, with the number of deleted rows that are still needed (the fourth frame) in n_unsafe."""
+    unsafe = None
+    for name, (*_, needed) in named.items():
+        row = needed.agg(F.count(F.lit(1)).alias("n_unsafe")).select(F.lit(name).alias("tbl"), "n_unsafe")
+        unsafe = row if unsafe is None else unsafe.unionByName(row)
+    return reconciled({name: three for name, (*three, _) in named.items()}).join(unsafe, "tbl")
+
+
 def covered(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Rows of two runs of a scan, those that were delivered twice once."""
     return first.unionByName(second).dropDuplicates([key])

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.predicates import guarded, needs_release
-from tidemark.schemas import LOCK_NONE, LOCK_WRITE
+from tidemark.schemas import LOCK_NONE
 from tidemark.sources.shared import written
 
 SUCCEEDED, NOT_NEEDED, FAILED, NOT_RECOVERABLE = "SUCCEEDED", "NOT_NEEDED", "FAILED", "NOT_RECOVERABLE"
 ATTEMPTS, WAIT_S = 3, 15
+#: Up to this many released locks (about 100 bytes each) are broadcast against the lock table.
+BROADCAST_LOCKS = 200_000
 #: (locks, attempt) to the same keys with an outcome.
 Recovery = Callable[[DataFrame, int], DataFrame]
 
@@ -64,15 +66,17 @@ def recover(locks: DataFrame, recovery: Recovery = expired, attempts: int = ATTE
     raise RecoveryFailed(f"lock {left['ns']}/{left['id']} isn't recoverable after {attempts} attempts")
 
 
-def released(locks: DataFrame, done: DataFrame) -> DataFrame:
-    """The locks, of type NONE where they were released."""
+def released(locks: DataFrame, done: DataFrame, thin: bool = False) -> DataFrame:
+    """The locks, of type NONE where they were released.
+
+    ``thin`` counts the released ones first and broadcasts them where they are few, so that the lock table
+    isn't shuffled.
+    """
     marks = done.select("ns", "id", F.lit(True).alias("_done"))
+    if thin and marks.limit(BROADCAST_LOCKS + 1).count() <= BROADCAST_LOCKS:
+        marks = F.broadcast(marks)
     return locks.join(marks, ["ns", "id"], "left").withColumn("lock_type", F.when(F.col("_done"), LOCK_NONE).otherwise(F.col("lock_type"))).select(*locks.columns)
 
 
 def counts_by_namespace(locks: DataFrame, selected: Column) -> DataFrame:
     return locks.groupBy("ns").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(selected).alias("selected"))
-
-
-def write_locks(locks: DataFrame) -> DataFrame:
-    return locks.where(F.col("lock_type") == LOCK_WRITE)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.predicates import needs_finalization
-from tidemark.schemas import ABORTED, COMMITTED, DELETED, LEDGER, PREPARED, TableSpec
+from tidemark.schemas import ABORTED, COMMITTED, LEDGER, PREPARED, TableSpec
 
 KEEP, SKIP, ROLL_FORWARD, REMOVE = "KEEP", "SKIP", "ROLL_FORWARD", "REMOVE"
 ROLLBACK_REMOVE, ROLLBACK_RESTORE = "ROLLBACK_REMOVE", "ROLLBACK_RESTORE"
 EXPIRY_MS = 15_000
 #: Up to this many transaction ids (about 100 bytes each) are broadcast to thin out the coordinator table.
 BROADCAST_IDS = 200_000
+#: (records, coordinator, boundary, now) to the records with c_state and action.
+Recovery = Callable[[DataFrame, DataFrame, int, int], DataFrame]
 
 
 def outcomes(candidates: DataFrame, coordinator: DataFrame) -> DataFrame:
@@ -80,7 +84,3 @@ def finalized() -> Column:
 def counts(resolved: DataFrame) -> DataFrame:
     """scanned and finalized, in one pass."""
     return resolved.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(finalized()).alias("finalized"))
-
-
-def deleted_state(resolved: DataFrame) -> DataFrame:
-    return resolved.where(F.col("tx_state") == DELETED)

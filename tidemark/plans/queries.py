@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
+from tidemark import jobs
 from tidemark.functions import names, times, tokens
 from tidemark.operators import audit, locks, recovery, retention, watermarks
 from tidemark.operators.predicates import coordinator_deletable, needs_finalization, needs_release, proof_deletable
-from tidemark.schemas import TableSpec
+from tidemark.schemas import LOCK_VALID_MS, TableSpec
 from tidemark.sources import discovery, documents
 from tidemark.sources.shared import shared_dir
+from tidemark.sources.snapshot import Store
 from tidemark.streaming import scan
 
 G, B = fx.LEDGER_MS, fx.LOCK_MS
@@ -233,24 +237,57 @@ def boundary_min(spark, sf_dir):
     return watermarks.boundaries(rows)
 
 
+#: Tokens and their checksums, worked out from the polynomial (2197175160 is 0x82F63B78) byte by byte.
+TOKENS = """
+, crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))
+, issued AS (
+  SELECT event_id, CASE WHEN event_id % 7 = 1 AND {ghosts} THEN 'ghost' WHEN event_id % 2 = 0 THEN 'ledger' ELSE 'auditor' END AS s,
+         CASE WHEN event_id % 2 = 0 THEN 'ledger' ELSE 'auditor' END AS server, epoch_us(ts) // 1000 AS ms FROM events)
+, checked AS (
+  SELECT *, printf('%08x', xor(list_reduce(list_transform(string_split(s || ms, ''), lambda x: ord(x)::BIGINT),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)) AS h FROM issued, crc_table)
+, told AS (SELECT *, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS crc FROM checked)
+, made AS (
+  SELECT *, translate(rtrim(to_base64(encode('{"server_type":"' || s || '","started_at_ms":' || ms || ',"crc32c":"'
+      || CASE WHEN event_id % 7 = 2 AND {ghosts} THEN 'deadbeef0' ELSE crc END || '"}')), '='), '+/', '-_') AS good FROM told)
+"""
+
+
 @query(
-    " SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '002' WHEN event_id % 7 = 1 THEN '003' WHEN event_id % 7 = 2 THEN '001' WHEN event_id % 7 = 3 THEN CASE WHEN event_id % 2 = 0 THEN '006' ELSE '005' END ELSE 'OK' END AS verdict FROM events"
+    TOKENS.replace("{ghosts}", "true")
+    + """
+, given AS (
+  SELECT event_id, s, ms, crc, CASE WHEN event_id % 7 = 0 THEN '!!!not-base64!!!' ELSE good END AS token,
+         CASE WHEN event_id % 7 <> 3 THEN server WHEN server = 'ledger' THEN 'auditor' ELSE 'ledger' END AS expected FROM made)
+, read AS (
+  SELECT *, decode(TRY(from_base64(rpad(translate(token, '-_', '+/'), ((length(token) + 3) // 4 * 4)::INT, '=')))) AS j FROM given)
+SELECT event_id, CASE
+    WHEN j IS NULL THEN '002' WHEN j->>'server_type' NOT IN ('ledger', 'auditor') THEN '003'
+    WHEN j->>'crc32c' <> crc OR (j->>'started_at_ms')::BIGINT <> ms OR j->>'server_type' <> s THEN '001'
+    WHEN expected = 'ledger' AND j->>'server_type' <> 'ledger' THEN '005' WHEN expected = 'auditor' AND j->>'server_type' <> 'auditor' THEN '006'
+    ELSE 'OK' END AS verdict FROM read"""
 )
 def token_verdicts(spark, sf_dir):
     """Verdicts on issued tokens, some of them broken, forged, of an unknown kind or in the wrong place."""
     rows = fx.token_table(spark, sf_dir)
     kind, server = F.col("event_id") % 7, F.col("server_type")
-    good = tokens.encode(server, F.col("started_at_ms"))
     forged = F.to_json(F.struct(server.alias("server_type"), F.col("started_at_ms"), F.lit("deadbeef0").alias("crc32c")))
     other = F.when(server == "ledger", "auditor").otherwise("ledger")
     token = (
-        F.when(kind == 0, "!!!not-base64!!!").when(kind == 1, tokens.encode(F.lit("ghost"), F.col("started_at_ms"))).when(kind == 2, tokens.base64url(F.encode(forged, "UTF-8"))).otherwise(good)
+        F.when(kind == 0, "!!!not-base64!!!")
+        .when(kind == 2, tokens.base64url(F.encode(forged, "UTF-8")))
+        .otherwise(tokens.encode(F.when(kind == 1, "ghost").otherwise(server), F.col("started_at_ms")))
     )
     given = rows.select("event_id", token.alias("token"), F.when(kind == 3, other).otherwise(server).alias("expected"))
     return watermarks.judged(given, "expected").select("event_id", "verdict")
 
 
-@query()
+@query(
+    TOKENS.replace("{ghosts}", "false")
+    + " SELECT event_id, good AS token, server AS server_type, ms AS started_at_ms, 'OK' AS verdict, make_timestamp(ms * 1000) AS started_at FROM made"
+)
 def token_round_trip(spark, sf_dir):
     """Every issued token decodes to what it was made from."""
     rows = fx.token_table(spark, sf_dir)
@@ -295,7 +332,7 @@ def cleanup_summary(spark, sf_dir):
 @query(" SELECT event_id, user_id, event_type FROM events")
 def resumable_scan_resume(spark, sf_dir):
     """A scan that fails in its second batch and is run again delivers every row; each is taken once."""
-    at = f"{shared_dir(spark)}/scan-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
+    at = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
     spec = TableSpec("events", "event_id bigint, user_id bigint, event_type string", ("event_id",), "event_id")
     fx.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").repartition(6, "event_id").write.parquet(f"{at}/in")
     write, broken = scan.write_batch(f"{at}/out"), {"once": True}
@@ -314,6 +351,118 @@ def resumable_scan_resume(spark, sf_dir):
     return scan.latest(spark.read.parquet(f"{at}/out"), ("event_id",)).select("event_id", "user_id", "event_type")
 
 
+PARTY = "CASE WHEN substr(pk, 2)::BIGINT % 2 = 0 THEN 'even' ELSE 'odd' END"
+PHYSICAL = "CASE WHEN ns = 'default' THEN 'auditor' ELSE 'auditor_' || ns END"
+
+
+def _parties(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The ledger's records in two tables."""
+    rows, odd = fx.ledger_records(spark, sf_dir), F.substring("pk", 2, 20).cast("long") % 2
+    return {"even": rows.where(odd == 0), "odd": rows.where(odd == 1)}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with the fixture's tables: two of records, a lock table for each namespace, coordinator, proofs and namespaces."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    held = fx.asset_lock(spark, sf_dir).select("ns", "id", "lock_type", "last_updated_at", "owner_nonces")
+    frames = _parties(spark, sf_dir) | {jobs.COORDINATOR_TABLE: fx.coordinator_state(spark, sf_dir), jobs.PROOF_TABLE: fx.request_proof(spark, sf_dir)}
+    # two namespaces beside the default one, whatever the number of locks
+    frames[jobs.REGISTRY_TABLE] = held.where("ns <> 'default'").select(F.lit(0).alias("partition_id"), F.col("ns").alias("name")).distinct()
+    for ns in ("default", "ns1", "ns2"):
+        frames[jobs.lock_table("auditor", ns)] = held.where(F.col("ns") == ns).drop("ns")
+    store.publish({name: store.stage(name, df) for name, df in frames.items()})
+    return store
+
+
+@query(f" SELECT {PARTY} AS full_name, count(*) AS n FROM ledger_records WHERE {CANDIDATE} GROUP BY 1")
+def in_doubt_by_table(spark, sf_dir):
+    """In-doubt records of all transactional tables as one relation."""
+    rows = discovery.one_relation(_parties(spark, sf_dir), "tx_id", "tx_state", "tx_prepared_at")
+    return rows.where(needs_finalization(G)).groupBy("full_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(" SELECT 'ledger' || (o_orderkey % 2) AS tbl, count(*) AS n_rows FROM orders GROUP BY 1")
+def catalog_targets(spark, sf_dir):
+    """Transactional tables of a database of the session's catalog, and their rows."""
+    db = f"ledger_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {db}")
+    source = f"parquet.`{sf_dir}/orders.parquet`"
+    columns = "o_orderkey AS pk, CAST(o_orderkey AS STRING) AS tx_id, o_orderstatus AS tx_state, o_orderdate AS tx_prepared_at"
+    for name, where in (("ledger0", "o_orderkey % 2 = 0"), ("ledger1", "o_orderkey % 2 = 1"), ("coordinator", "o_orderkey % 4 < 2")):
+        spark.sql(f"CREATE VIEW {db}.{name} AS SELECT {columns} FROM {source} WHERE {where}")
+    spark.sql(f"CREATE VIEW {db}.plain AS SELECT o_orderkey FROM {source}")
+    found = jobs.catalog_targets(spark, f"{db}.coordinator", [db])
+    rows = discovery.one_relation({t.partition(".")[2]: spark.table(t) for t in found}, "pk")
+    return rows.groupBy(F.col("full_name").alias("tbl")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(f"{RESOLVED} SELECT {PARTY} AS full_name, pk, tx_id, tx_state, tx_prepared_at, val FROM snapshot")
+def job_finalize_records(spark, sf_dir):
+    """All records after the job."""
+    store = _store(spark, sf_dir)
+    jobs.finalize_records(spark, store, G)
+    return discovery.one_relation({t: store.read(t) for t in ("even", "odd")}, "pk", "tx_id", "tx_state", "tx_prepared_at", "val")
+
+
+@query(f" SELECT {PHYSICAL} AS ns, id, CASE WHEN {RELEASE} THEN 1 ELSE lock_type END AS lock_type, last_updated_at FROM asset_lock")
+def job_finalize_locks(spark, sf_dir):
+    """All locks of all namespaces after the job."""
+    store = _store(spark, sf_dir)
+    jobs.finalize_locks(spark, store, "auditor", B + LOCK_VALID_MS)
+    return jobs.all_locks(store).select("ns", "id", "lock_type", "last_updated_at")
+
+
+@query(" SELECT * FROM request_proof WHERE coalesce(registered_at >= {B}, true)")
+def job_cleanup_proofs(spark, sf_dir):
+    """Proofs that stay when the locks have been released and the job has run."""
+    store = _store(spark, sf_dir)
+    report = jobs.finalize_locks(spark, store, "auditor", B + LOCK_VALID_MS)
+    jobs.cleanup_proofs(spark, store, report.token)
+    return store.read(jobs.PROOF_TABLE)
+
+
+@query(
+    f" SELECT ns AS target, count(*) AS scanned, count(*) FILTER ({RELEASE}) AS changed FROM asset_lock GROUP BY 1 UNION ALL SELECT 'request_proof', count(*), count(*) FILTER (registered_at < {{B}}) FROM request_proof"
+)
+def job_finalize_auditor(spark, sf_dir):
+    """What the job scans and changes."""
+    report = jobs.finalize_auditor(spark, _store(spark, sf_dir), "auditor", B + LOCK_VALID_MS)
+    return report.frame(spark).select("target", "scanned", "changed")
+
+
+@query(
+    f"""{RESOLVED} SELECT tx_id, c_state, tx_created_at FROM coordinator_state WHERE coalesce(tx_created_at >= {{G}}, true)
+UNION ALL SELECT DISTINCT tx_id, 'ABORTED', {{G}}::BIGINT FROM resolved WHERE action LIKE 'ROLLBACK%' AND c_state IS NULL"""
+)
+def job_cleanup_coordinator(spark, sf_dir):
+    """Coordinator rows that stay after both servers' jobs, deleted below their recorded watermarks."""
+    store = _store(spark, sf_dir)
+    jobs.finalize_records(spark, store, G)
+    jobs.finalize_auditor(spark, store, "auditor", B + LOCK_VALID_MS)
+    jobs.cleanup_coordinator(spark, store)
+    return store.read(jobs.COORDINATOR_TABLE, ["tx_id", "c_state", "tx_created_at"])
+
+
+@query(
+    f"""{RESOLVED}, held AS (SELECT owner_nonce, min(last_updated_at) AS t FROM asset_lock WHERE lock_type = 3 AND last_updated_at < {{B}} AND NOT {RELEASE} GROUP BY 1)
+SELECT 'coordinator_state' AS tbl, count(*) AS n_before, count(*) FILTER (coalesce(tx_created_at >= {{G}}, true)) AS n_after, count(*) FILTER (tx_created_at < {{G}}) AS n_deleted, true AS agrees,
+  count(*) FILTER (tx_created_at < {{G}} AND tx_id IN (SELECT tx_id FROM snapshot WHERE {CANDIDATE})) AS n_unsafe FROM coordinator_state
+UNION ALL SELECT 'request_proof', count(*), count(*) FILTER (coalesce(registered_at >= {{B}}, true)), count(*) FILTER (registered_at < {{B}}), true,
+  count(*) FILTER (registered_at < {{B}} AND t <= registered_at) FROM request_proof LEFT JOIN held ON nonce = owner_nonce"""
+)
+def reconcile_safe(spark, sf_dir):
+    """Rows before, after, deleted and deleted though still needed."""
+    c, p, held = fx.coordinator_state(spark, sf_dir), fx.request_proof(spark, sf_dir), fx.asset_lock(spark, sf_dir)
+    freed = locks.released(held, locks.expired(locks.candidates(held, B), 1))
+    older, done = coordinator_deletable(G), proof_deletable(B)
+    return audit.reconciled_safely(
+        {
+            "coordinator_state": (c, retention.survivors(c, older), older, audit.unsafe_coordinator_deletes(c, recovery.applied(_resolved(spark, sf_dir)), older, G)),
+            "request_proof": (p, retention.survivors(p, done), done, audit.unsafe_proof_deletes(p, freed, done, B)),
+        }
+    )
+
+
 def queries() -> dict:
     return dict(FOUND)
 

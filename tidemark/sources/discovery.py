@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +30,14 @@ def namespaces(registry: DataFrame | None, spark: SparkSession) -> DataFrame:
     return first.union(listed.select("name", order.cast("long"))).groupBy("name").agg(F.min("ord").alias("ord"))
 
 
-def catalog_tables(spark: SparkSession) -> DataFrame:
-    """(ns, tbl, is_tx) of every table that the session's catalog lists."""
+def catalog_tables(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
+    """(ns, tbl, is_tx) of every table that the session's catalog lists in ``databases``, or in all."""
     rows = []
-    for db in spark.catalog.listDatabases():
-        for t in spark.catalog.listTables(db.name):
+    for db in databases or [d.name for d in spark.catalog.listDatabases()]:
+        for t in spark.catalog.listTables(db):
             if not t.isTemporary:
-                names = {c.name for c in spark.catalog.listColumns(t.name, db.name)}
-                rows.append((db.name, t.name, names.issuperset(TRANSACTION_COLUMNS)))
+                names = {c.name for c in spark.catalog.listColumns(f"{db}.{t.name}")}
+                rows.append((db, t.name, names.issuperset(TRANSACTION_COLUMNS)))
     return spark.createDataFrame(rows, "ns string, tbl string, is_tx boolean")
 
 
@@ -50,8 +52,13 @@ def pending(targets_: DataFrame, completed: DataFrame, key: str = "full_name") -
     return targets_.join(completed.select(key), key, "left_anti")
 
 
-def check_count(targets_: DataFrame, least: int = 2) -> int:
-    n = targets_.count()
-    if n < least:
-        raise TooFewTargets(f"{n} transactional tables found; a ledger has {least} at least")
-    return n
+def required(found: list[str], least: int = 2) -> list[str]:
+    """The targets, or an error if they are fewer than a ledger has."""
+    if len(found) < least:
+        raise TooFewTargets(f"{len(found)} transactional tables found; a ledger has {least} at least")
+    return found
+
+
+def one_relation(tables: dict[str, DataFrame], *columns: str) -> DataFrame:
+    """``columns`` of several tables as one relation, with the table's name in full_name."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("full_name"), *columns) for name, df in tables.items()])

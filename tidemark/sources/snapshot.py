@@ -1,24 +1,40 @@
-"""Versioned tables: a new version is written beside the old one, then a pointer is moved.
+"""Versioned tables: new files are written beside the old ones, then a pointer is moved.
 
-A table that is being read is never overwritten, and rows of several tables that must change together
+A table is a list of segments, folders of Parquet files of which some may have been replaced by a later
+segment. So a change of few rows writes only the files that hold them, and appending writes only what is
+new. A table that is being read is never overwritten, and rows of several tables that must change together
 become visible through one pointer. The pointer also carries the state of the run, so progress and data
-can't disagree. Files are handled through Hadoop's file systems, so a root may be in any store.
+can't disagree. Files are handled through Hadoop's file systems, so a root may be in any store in which
+renaming is atomic.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Up to this many files are replaced one by one; beyond that the whole table is written anew.
+REPLACED_FILES = 10_000
+#: A table of more segments is written anew at the next change.
+SEGMENTS = 64
+FILE = "_file"
 
 
 class CorruptState(ValueError):
     """A pointer or state file can't be read as JSON."""
 
 
+class LostUpdate(RuntimeError):
+    """A table has changed since it was read for a new version."""
+
+
 class StateFile:
-    """A JSON file that is replaced whole: null if absent, an error if corrupt."""
+    """A JSON file: null if absent, an error if corrupt."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.jvm = spark.sparkContext._jvm
@@ -38,10 +54,10 @@ class StateFile:
         except ValueError as error:
             raise CorruptState(f"{self.path.toString()}: {error}") from error
 
-    def persist(self, state: dict) -> None:
-        """Write beside the file, then rename over it."""
+    def create(self, state: dict) -> bool:
+        """Write beside the file, then rename to it; false if the file is there already."""
         self.fs.mkdirs(self.path.getParent())
-        fresh = self.jvm.org.apache.hadoop.fs.Path(f"{self.path.toString()}.{uuid.uuid4().hex}")
+        fresh = self.jvm.org.apache.hadoop.fs.Path(f"{self.path.getParent().toString()}/.{uuid.uuid4().hex}")
         stream = self.fs.create(fresh, True)
         try:
             stream.write(bytearray(json.dumps(state, sort_keys=True).encode()))
@@ -49,19 +65,50 @@ class StateFile:
             stream.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.fs.getConf())
         options = self.jvm.org.apache.hadoop.fs.Options
-        over = self.jvm.java.lang.reflect.Array.newInstance(options.Rename.OVERWRITE.getDeclaringClass(), 1)
-        over[0] = options.Rename.OVERWRITE
-        context.rename(fresh, self.path, over)
+        never_over = self.jvm.java.lang.reflect.Array.newInstance(options.Rename.NONE.getDeclaringClass(), 1)
+        never_over[0] = options.Rename.NONE
+        try:
+            context.rename(fresh, self.path, never_over)
+        except Exception as error:  # noqa: BLE001
+            self.fs.delete(fresh, False)
+            if "FileAlreadyExists" in str(error):
+                return False
+            raise
+        return True
 
 
 class Store:
-    """Tables below ``root``, each version in a folder of its own, all live versions in one pointer."""
+    """Tables below ``root``; what is live is in the numbered pointer file with the largest number.
+
+    A pointer file is never changed. Moving on means to create the next number, which only one of several
+    writers can do; the others read again.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.pointer = spark, root.rstrip("/"), StateFile(spark, f"{root.rstrip('/')}/_live.json")
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _state(self, number: int) -> StateFile:
+        # the first pointer has no number
+        return StateFile(self.spark, f"{self.root}/_live/{number:012d}.json" if number else f"{self.root}/_live.json")
+
+    def _latest(self) -> int:
+        folder = self._state(1).path.getParent()
+        fs = self._state(1).fs
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")), default=0)
+
+    def _load(self) -> tuple[int, dict]:
+        number = self._latest()
+        live = self._state(number).load() or {"tables": {}, "runs": {}}
+        live["tables"] = {t: self._segments(e) for t, e in live["tables"].items()}
+        return number, live
+
+    @staticmethod
+    def _segments(entry: str | list[dict]) -> list[dict]:
+        return [{"at": entry, "without": []}] if isinstance(entry, str) else entry
 
     def live(self) -> dict:
-        return self.pointer.load() or {"tables": {}, "runs": {}}
+        return self._load()[1]
 
     def tables(self) -> list[str]:
         return sorted(self.live()["tables"])
@@ -69,8 +116,24 @@ class Store:
     def exists(self, table: str) -> bool:
         return table in self.live()["tables"]
 
-    def read(self, table: str, columns: list[str] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.root}/{table}/{self.live()['tables'][table]}")
+    def entry(self, table: str) -> list[dict]:
+        """The segments that are live now; a reader that keeps them sees the same rows each time."""
+        return self.live()["tables"][table]
+
+    def _file(self, at: str) -> Column:
+        return F.substring_index(F.col("_metadata.file_path"), f"/{at}/", -1)
+
+    def read(self, table: str, columns: list[str] | None = None, entry: list[dict] | None = None, files: bool = False) -> DataFrame:
+        """The rows of a table; ``files`` adds the column FILE, segment and file of each row."""
+        parts = []
+        for s in self.entry(table) if entry is None else entry:
+            df = self.spark.read.parquet(f"{self.root}/{table}/{s['at']}")
+            if s["without"]:  # files are left out before they are read
+                df = df.where(~self._file(s["at"]).isin(s["without"]))
+            if files:
+                df = df.select("*", F.concat(F.lit(f"{s['at']}/"), self._file(s["at"])).alias(FILE))
+            parts.append(df)
+        df = reduce(DataFrame.unionByName, parts)
         return df.select(*columns) if columns else df
 
     def stage(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
@@ -82,12 +145,53 @@ class Store:
         writer.parquet(f"{self.root}/{table}/{version}")
         return version
 
-    def publish(self, versions: dict[str, str], runs: dict[str, dict] | None = None) -> None:
-        """Make versions live and record runs, all in one step."""
-        live = self.live()
-        live["tables"].update(versions)
-        live["runs"].update(runs or {})
-        self.pointer.persist(live)
+    def appended(self, table: str, df: DataFrame, entry: list[dict]) -> list[dict]:
+        """Segments with the rows of ``df`` after those of ``entry``."""
+        if len(entry) >= SEGMENTS:
+            return self._segments(self.stage(table, self.read(table, entry=entry).unionByName(df)))
+        return [*entry, *self._segments(self.stage(table, df))]
+
+    def revised(
+        self, table: str, entry: list[dict], chosen: Column, change: Callable[[DataFrame], DataFrame], view: Callable[[DataFrame], DataFrame] = lambda df: df
+    ) -> list[dict] | None:
+        """Segments in which the files that hold ``chosen`` rows are replaced by ``change`` of their rows.
+
+        ``view`` is what ``chosen`` and ``change`` see of the rows. None if no row is chosen. Names of
+        REPLACED_FILES files at most reach the driver; if more hold chosen rows, all rows are written anew.
+        """
+        rows = view(self.read(table, entry=entry, files=True))
+        hits = [r[0] for r in rows.where(chosen).select(FILE).distinct().limit(REPLACED_FILES + 1).collect()]
+        if not hits:
+            return None
+        if len(hits) > REPLACED_FILES or len(entry) >= SEGMENTS:
+            return self._segments(self.stage(table, change(rows.drop(FILE))))
+        touched, kept = [], []
+        for s in entry:
+            own = [h.partition("/")[2] for h in hits if h.startswith(f"{s['at']}/")]
+            kept.append({"at": s["at"], "without": sorted({*s["without"], *own})})
+            if own:
+                touched.append(self.spark.read.parquet(f"{self.root}/{table}/{s['at']}").where(self._file(s["at"]).isin(own)))
+        return [*kept, *self._segments(self.stage(table, change(view(reduce(DataFrame.unionByName, touched)))))]
+
+    def publish(self, tables: dict[str, str | list[dict]], runs: dict[str, dict] | None = None, based_on: dict[str, list[dict] | None] | None = None) -> None:
+        """Make versions live and record runs, all in one step.
+
+        ``based_on`` has the segments from which the new ones were made; if a table has other ones by now,
+        nothing is published and the change must be made again. Runs keep what others have completed.
+        """
+        while True:
+            number, live = self._load()
+            for table, entry in (based_on or {}).items():
+                if live["tables"].get(table) != (None if entry is None else self._segments(entry)):
+                    raise LostUpdate(f"{table} has changed since it was read")
+            live["tables"].update({t: self._segments(e) for t, e in tables.items()})
+            for run, state in (runs or {}).items():
+                before = live["runs"].get(run, {}).get("completed")
+                if isinstance(before, list):
+                    state["completed"] = list(dict.fromkeys([*before, *state["completed"]]))
+                live["runs"][run] = state
+            if self._state(number + 1).create(live):
+                return
 
     def run(self, name: str) -> dict | None:
         return self.live()["runs"].get(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,8 +33,11 @@ def resumable_scan(
     seen = {"rows": 0, "batches": 0}
 
     def each(batch: DataFrame, number: int) -> None:
-        handler(batch, number)
-        seen["rows"] += batch.count()
+        rows = Observation()
+        observed = batch.observe(rows, F.count(F.lit(1)).alias("n"))
+        handler(observed, number)
+        # rows are counted while the handler reads them; get would wait for ever for a handler that reads none
+        seen["rows"] += rows.get["n"] if rows._jo.getRowOrEmpty().isDefined() else observed.count()
         seen["batches"] += 1
 
     stream = spark.readStream.schema(spec.struct()).option("maxFilesPerTrigger", files_per_batch).parquet(path)
