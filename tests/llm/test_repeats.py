@@ -72,7 +72,115 @@ def test_byte_strings_equal_brute_force(spark, seed, length, prime):
     assert all(sum(s.n_bytes for s in r.spans) == r.n_removed for r in rows)
 
 
-@pytest.mark.parametrize("prime", [2, 3, 5, 7, 17])
+def test_edges_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """Under the first hashes all edges share a few hundred; no word may be lost by that, and none may stay."""
+    plain = substrings.Edges.__init__
+
+    def forged(self, ids, texts, k, salt=0):
+        keep = substrings.shingle_hashes
+        substrings.shingle_hashes = (lambda h, n: keep(h, n) % np.uint64(300) << np.uint64(55)) if salt == 0 else keep
+        try:
+            plain(self, ids, texts, k, salt)
+        finally:
+            substrings.shingle_hashes = keep
+
+    # the tasks get the forged class with the closure
+    ask, fold = substrings._ask, substrings._pack_edges
+
+    def with_forged(make):
+        def made(*args):
+            run = make(*args)
+
+            def task(batches):
+                substrings.Edges.__init__ = forged
+                try:
+                    yield from run(batches)
+                finally:
+                    substrings.Edges.__init__ = plain
+
+            return task
+
+        return made
+
+    monkeypatch.setattr(substrings, "_ask", with_forged(ask))
+    monkeypatch.setattr(substrings, "_pack_edges", with_forged(fold))
+    docs = corpus(6, ["a", "b", "c", "é", "dd"])
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 6).collect())
+    assert got == brute_words(docs, 6)
+
+
+def test_pieces_compact_to_paths(spark, monkeypatch):
+    """A passage that is cut into several pieces at its source is one path."""
+    monkeypatch.setattr(substrings, "BLOCK", 8)
+    block = substrings._pack_edges
+
+    def cut(*args):
+        run = block(*args)
+
+        def task(batches):
+            substrings.BLOCK = 8
+            yield from run(batches)
+
+        return task
+
+    monkeypatch.setattr(substrings, "_pack_edges", cut)
+    passage = " ".join(f"w{i}" for i in range(50))
+    docs = [(1, "x y " + passage), (2, passage + " z"), (3, "q " + passage)]
+    rows = {r.doc_id: r for r in substrings.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 6).collect()}
+    assert [(s.first_word, s.n_words, s.source, s.source_word) for s in rows[2].spans] == [(0, 50, 1, 2)]
+    assert [(s.first_word, s.n_words, s.source, s.source_word) for s in rows[3].spans] == [(1, 50, 1, 2)]
+    assert rows[2].kept == "z" and rows[3].kept == "q" and rows[1].n_removed == 0
+
+
+def test_strings_that_share_a_name_keep_their_bytes(spark, monkeypatch):
+    """64-bit names are forged to be equal; the further bits decide."""
+    plain = suffixes.names
+
+    def forged(make):
+        def made(*args):
+            run = make(*args)
+
+            def task(batches):
+                suffixes.names = lambda data, starts, length: plain(data, starts, length) % np.uint64(50) << np.uint64(58)
+                try:
+                    yield from run(batches)
+                finally:
+                    suffixes.names = plain
+
+            return task
+
+        return made
+
+    for name in ("_ask", "_stretches", "_remove"):
+        monkeypatch.setattr(suffixes, name, forged(getattr(suffixes, name)))
+    docs = corpus(7, ["a", "b", "é"])
+    rows = suffixes.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 40, 5).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in rows) == brute_bytes(docs, 40)
+
+
+def test_prints_are_polynomials_modulo_the_prime():
+    prime, prints = 2**61 - 1, suffixes.Prints(987654321987654321987654321)
+    data = np.random.default_rng(3).integers(0, 256, 3000).astype(np.uint8)
+    starts = np.array([0, 5, 6, 2000, 2600])
+    want = [sum((int(c) + 1) * pow(prints.point, i, prime) for i, c in enumerate(data[s : s + 400])) % prime for s in starts.tolist()]
+    assert prints.of(data, starts, 400).tolist() == want
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_many_ranges_and_chunks(spark, monkeypatch, many):
+    """More ranges than parts, and several chunks in a task."""
+    docs = corpus(8, ["a", "b", "c", "é"], 200)
+    if many:
+        monkeypatch.setattr(substrings, "ranges_of", lambda size, parts: 61)
+        monkeypatch.setattr(suffixes, "ranges_of", lambda size, parts: 61)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 400)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(frame, 6).collect()) == brute_words(docs, 6)
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.without_repeats(frame, 40, 5).collect()) == brute_bytes(docs, 40)
+
+
+@pytest.mark.parametrize("prime", [2, 3, 5, 7, 13, 17])
 def test_difference_cover_has_every_difference(prime):
     cover, period = suffixes.difference_cover(prime), prime * prime + prime + 1
     assert len(cover) == prime + 1 and {(a - b) % period for a in cover for b in cover} == set(range(period))

@@ -1,15 +1,15 @@
 """Packing of a task's rows into few large ones, so that a shuffle moves numbers and not row overhead.
 
 A *chunk* is a run of documents that one task has read, bounded by the bytes of their texts. What a
-chunk asks of the whole corpus is dealt by hash into *parts*; a part answers each chunk, and the
-answers meet the chunk's own rows again at the chunk's key.
+chunk asks of the whole corpus is dealt by hash into *ranges*; each range answers each chunk, and the
+answers meet the chunk's own rows again at the chunk's key. The number of ranges follows the bytes of all
+texts, so a task, which takes its ranges one after the other, needs the same memory at any size.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import shared_table
+
 LIBC = ctypes.CDLL(None)
 #: Bytes of text in a chunk; a longer document is a chunk by itself.
 CHUNK_BYTES = 12 << 20
@@ -181,14 +183,14 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - before, lengths) + np.arange(total)]
 
 
-TABLE_SCHEMA = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("texts", pa.binary())])
+TABLE_SCHEMA = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("texts", pa.binary()), ("size", pa.int64())])
 REQUEST = "part int, chunk long, n int, data binary, more binary"
 REQUEST_SCHEMA = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 
 
 def _collect(limit: int):
     def run(batches):
-        rows = ((chunk, len(ids), pack_ids(ids), squeeze(join_blobs(texts), 3)) for chunk, ids, texts in chunked(batches, limit))
+        rows = ((chunk, len(ids), pack_ids(ids), squeeze(join_blobs(texts), 3), sum(map(len, texts))) for chunk, ids, texts in chunked(batches, limit))
         yield from batches_of(rows, TABLE_SCHEMA)
         tidy()
 
@@ -201,8 +203,8 @@ def chunk_table(docs: DataFrame, label: str, parts: int, limit: int = CHUNK_BYTE
     Later joins on the chunk find the texts where they are: only what is asked and answered is shuffled.
     """
     spark = docs.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    rows = docs.mapInArrow(_collect(limit), "chunk long, n int, ids binary, texts binary")
+    name = shared_table(spark, label)
+    rows = docs.mapInArrow(_collect(limit), "chunk long, n int, ids binary, texts binary, size long")
     # the blobs are compressed already
     rows.write.option("compression", "none").bucketBy(parts, "chunk").saveAsTable(name)
     return spark.table(name)
@@ -212,24 +214,48 @@ def documents_of(n: int, ids: bytes, texts: bytes) -> tuple[list, list[bytes]]:
     return unpack_ids(ids, n), split_blobs(unsqueeze(texts))
 
 
-def answers(requests: DataFrame, answer, parts: int) -> DataFrame:
-    """(chunk, answers): what ``answer`` yields for the requests of each part, gathered by chunk, in order of parts.
+#: Bytes of text whose requests make a range, what a task holds at a time.
+RANGE_BYTES = 16 << 20
+#: So many ranges at most: with more, a chunk's request to a range would be a handful of names.
+MOST_RANGES = 16_384
+
+
+def ranges_of(text_bytes: int, parts: int) -> int:
+    """Ranges of the hash space that requests are dealt into, by the bytes of all texts."""
+    return min(MOST_RANGES, max(parts, -(-text_bytes // RANGE_BYTES)))
+
+
+def answers(requests: DataFrame, answer, parts: int, ranges: int) -> DataFrame:
+    """(chunk, answers): what ``answer`` yields for the requests of each range, gathered by chunk, in order of ranges.
 
-    There is one answer for each part at most, so a chunk's list is bounded by the number of parts.
+    The ranges are dealt to ``parts`` tasks, each of which gets its own in order, so that ``answer`` holds
+    one range at a time however many there are (see :func:`by_range`). There is one answer for each range
+    at most, so a chunk's list is bounded by the chunk.
     """
-    found = requests.repartitionById(parts, F.col("part")).mapInArrow(answer, REQUEST)
+    dealt = requests.repartitionById(parts, F.expr(f"CAST(CAST(part AS BIGINT) * {parts} DIV {ranges} AS INT)")).sortWithinPartitions("part")
+    found = dealt.mapInArrow(answer, REQUEST)
     return found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n", "data", "more"))).alias("answers"))
 
 
-def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each hash; rises with the hash."""
-    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+def by_range(batches):
+    """The requests of one range after the other, as lists."""
+    held: list[tuple] = []
+    for r in rows_of(batches):
+        if held and held[0][0] != r[0]:
+            yield held
+            held = []
+        held.append(r)
+    if held:
+        yield held
+
+
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash; rises with the hash."""
+    return (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
 
 
-def requests_of(chunk: int, hashes: np.ndarray, parts: int, more):
-    """One request for each part of the rising ``hashes``; ``more(from, to)`` is what goes with them."""
-    ends = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1)).tolist()
-    for p in range(parts):
-        a, b = ends[p], ends[p + 1]
-        if a < b:
-            yield p, chunk, b - a, pack_rising(hashes[a:b]), more(a, b)
+def requests_of(chunk: int, hashes: np.ndarray, ranges: int, more):
+    """One request for each range of the rising ``hashes``; ``more(from, to)`` is what goes with them."""
+    own, starts = np.unique(range_of(hashes, ranges), return_index=True)
+    for p, a, b in zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)]):
+        yield p, chunk, b - a, pack_rising(hashes[a:b]), more(a, b)

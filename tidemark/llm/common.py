@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import shared_dir, written
+from tidemark.sources.shared import shared_dir, shared_table, written
 
-__all__ = ["HOT_SHARE", "SPACE", "SPACE_CHARS", "lookup", "partitions", "shared_dir", "table", "words_of", "written"]
+__all__ = ["HOT_SHARE", "SPACE", "SPACE_CHARS", "lookup", "partitions", "shared_dir", "shared_table", "table", "words_of", "written"]
 
 #: ASCII white space that separates words, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"

@@ -5,17 +5,22 @@ texts are sampled by a difference cover: offsets whose remainder modulo PERIOD i
 any two offsets i and j have a shift d < PERIOD for which i + d and j + d are both sampled. So if the
 strings at i and j are equal, two sampled suffixes behind them share LENGTH - PERIOD + 1 bytes.
 
-1. *Sort the sampled suffixes' prefixes and name them.* Each chunk of documents names the first
-   LENGTH - PERIOD + 1 bytes of its sampled suffixes; names are sorted in their part of the name space
+1. *Whole copies.* Texts of LENGTH bytes or more that come more than once go whole. Only the first chunk that
+   has such a text takes it further, with a mark for "more than once", since parts of it may be elsewhere.
+2. *Sort the sampled suffixes' prefixes and name them.* Each chunk of documents names the first
+   LENGTH - PERIOD + 1 bytes of its sampled suffixes; names are sorted in their range of the name space
    and neighbours compared, which tells each chunk the names that repeat.
-2. *Merge the remaining suffixes.* Offsets up to PERIOD - 1 before a repeated name are the only ones that
+3. *Merge the remaining suffixes.* Offsets up to PERIOD - 1 before a repeated name are the only ones that
    can start a repeated string; all others are done. The strings of LENGTH bytes at these offsets, sampled
    or not, are named and sorted in the same way.
-3. *Compare adjacent prefixes.* Equal neighbours are repeated strings, and their bytes go.
+4. *Compare adjacent prefixes.* Equal neighbours are repeated strings, and their bytes go.
 
-A name is a 64-bit hash, and its place in a part is its order. Names alone are shuffled, once per chunk
-with a mark for "more than once here", so no name is hot; texts stay in a table bucketed by chunk.
-Only LENGTH-byte prefixes are ever compared, so there is nothing to recurse on below the second naming.
+A name is a 64-bit hash, and its place in a range is its order. The names of step 3, which decide, have 61
+more bits: a polynomial modulo the prime 2 ** 61 - 1 at a point that is drawn anew for each run, so two
+different strings share a name with a chance of 2 ** -124, and by at most LENGTH / 2 ** 61 if they were
+built to. Whole copies are told by 128 bits. Names alone are shuffled, once per chunk, so no name is hot;
+texts stay in a table bucketed by chunk. Only LENGTH-byte prefixes are ever compared, so there is nothing
+to recurse on below the second naming.
 
 Defined cases: a null text is empty; texts of under LENGTH bytes keep all; strings never cross
 documents; null and repeated ids keep rows of their own; an empty table gives no rows; what remains of a
@@ -24,21 +29,29 @@ text may not be valid UTF-8, so it is binary; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import REQUEST, REQUEST_SCHEMA, answers, batches_of, chunk_table, documents_of, requests_of, rows_of, squeeze, tidy, unpack_rising, unsqueeze
+from tidemark.llm.chunks import (
+    REQUEST, REQUEST_SCHEMA, answers, batches_of, by_range, chunk_table, documents_of, join_blobs, ranges_of, requests_of, rows_of, split_blobs, squeeze,
+    tidy, unpack_rising, unsqueeze,
+)
 from tidemark.llm.common import partitions, table, written
 from tidemark.llm.substrings import covered, runs
 
 LENGTH = 400
 #: PERIOD = PRIME ** 2 + PRIME + 1, and D has PRIME + 1 members.
-PRIME = 17
+PRIME = 13
 PERIOD = PRIME * PRIME + PRIME + 1
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PIECE = 1 << 20
+#: Bytes of text in a chunk; a name takes some 40 bytes while it is worked on.
+CHUNK_BYTES = 8 << 20
 
 
 def difference_cover(prime: int) -> list[int]:
@@ -92,6 +105,60 @@ def names(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+MERSENNE = np.uint64(2**61 - 1)
+_LOW32, _LOW29 = np.uint64(2**32 - 1), np.uint64(2**29 - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2 ** 64 modulo 2 ** 61 - 1."""
+    x = (x & MERSENNE) + (x >> np.uint64(61))
+    return np.where(x >= MERSENNE, x - MERSENNE, x)
+
+
+def multiplied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2 ** 61 - 1 of numbers below it, by halves of 32 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(32), a & _LOW32, b >> np.uint64(32), b & _LOW32
+    middle = _reduced(a1 * b0) + _reduced(a0 * b1)  # counts 2 ** 32 each
+    middle = _reduced(middle)
+    # 2 ** 64 is 8, and middle * 2 ** 32 wraps its bits above the 29th round to the lowest
+    return _reduced(_reduced(a1 * b1 * np.uint64(8)) + _reduced(a0 * b0) + _reduced(((middle & _LOW29) << np.uint64(32)) + (middle >> np.uint64(29))))
+
+
+class Prints:
+    """Polynomials of strings modulo 2 ** 61 - 1 at a point that ``salt`` gives."""
+
+    def __init__(self, salt: int):
+        self.point = salt % (int(MERSENNE) - 2) + 2
+        self.inverse = pow(self.point, -1, int(MERSENNE))
+
+    @staticmethod
+    def _powers(x: int, n: int) -> np.ndarray:
+        out, step = np.ones(1, dtype=np.uint64), x
+        while len(out) < n:
+            out = np.concatenate([out, multiplied(out, np.uint64(step))])
+            step = step * step % int(MERSENNE)
+        return out[:n]
+
+    def of(self, data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """The prints of the ``length`` bytes from each start (rising), in pieces of bounded size."""
+        out = np.empty(len(starts), dtype=np.uint64)
+        at = 0
+        while at < len(starts):
+            low = int(starts[at])
+            end = int(np.searchsorted(starts, low + PIECE))
+            own = starts[at:end]
+            n = int(own[-1]) + length - low
+            terms = multiplied(self._powers(self.point, n), data[low : low + n].astype(np.uint64) + np.uint64(1))
+            # sums of halves don't overflow
+            high, rest = (np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (terms >> np.uint64(32), terms & _LOW32))
+            a, b = own - low, own - low + length
+            high, rest = _reduced(high[b] - high[a]), _reduced(rest[b] - rest[a])
+            sums = _reduced(((high & _LOW29) << np.uint64(32)) + (high >> np.uint64(29)) + rest)
+            out[at:end] = multiplied(sums, self._powers(self.inverse, int(a[-1]) + 1)[a])
+            at = end
+        return out
+
+
 class Cover:
     """The sampled offsets of texts, and what follows from their names."""
 
@@ -117,62 +184,143 @@ class Cover:
         return np.flatnonzero(np.cumsum(marks)[: size - self.length + 1] > 0)
 
 
-def _distinct(found: list[np.ndarray]):
-    """Rising distinct names, which of them come more than once, and each name's number."""
-    every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    distinct, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    return distinct, counts > 1, inverse
+def _order(name: np.ndarray, other: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the names (with their further bits), and where in that order a new one begins."""
+    order = np.argsort(name, kind="stable")
+    fresh = np.ones(len(name), dtype=bool)
+    fresh[1:] = np.diff(name[order]) != 0
+    if other is not None and (np.diff(other[order]) != 0)[~fresh[1:]].any():  # equal names of different strings
+        order = np.lexsort((other, name))
+        fresh[1:] = (np.diff(name[order]) != 0) | (np.diff(other[order]) != 0)
+    return order, np.flatnonzero(fresh)
+
+
+class Names:
+    """The distinct names of a chunk's strings, rising, which of them come more than once, and each string's number."""
+
+    def __init__(self, found: list[np.ndarray], others: list[np.ndarray] | None, marked: list[bool]):
+        """``marked`` tells for each array of names whether all of them come more than once anyway."""
+        name = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        other = None if others is None else np.concatenate(others) if others else name
+        order, starts = _order(name, other)
+        sizes = np.diff(np.append(starts, len(name)))
+        again = np.repeat(np.array(marked, dtype=bool), [len(f) for f in found]) if found else np.zeros(0, bool)
+        self.several = (sizes > 1) | np.logical_or.reduceat(again[order], starts) if len(starts) else sizes > 1
+        self.name, self.other = name[order[starts]], None if other is None else other[order[starts]]
+        self.number = np.empty(len(name), dtype=np.int64)
+        self.number[order] = np.repeat(np.arange(len(starts)), sizes)
+
+    def requests(self, chunk: int, ranges: int):
+        def more(a: int, b: int) -> bytes:
+            blobs = [squeeze(np.packbits(self.several[a:b]).tobytes())]
+            return join_blobs(blobs if self.other is None else [*blobs, self.other[a:b].tobytes()])
+
+        return requests_of(chunk, self.name, ranges, more)
+
+    def repeats(self, found) -> np.ndarray:
+        """For each string whether it comes more than once: here, or elsewhere by the ranges' answers."""
+        bits = [np.unpackbits(np.frombuffer(unsqueeze(a["data"]), np.uint8), count=a["n"]) for a in found or []]
+        return (self.several | np.concatenate(bits).astype(bool) if bits else self.several)[self.number]
 
 
 def _numbers(texts: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(t, dtype=np.uint8) for t in texts]
 
 
-def _told(found, several: np.ndarray) -> np.ndarray:
-    """Which of a chunk's distinct names repeat: more than once here, or elsewhere by the parts' answers."""
-    bits = [np.unpackbits(np.frombuffer(unsqueeze(a["data"]), np.uint8), count=a["n"]) for a in found or []]
-    return several | np.concatenate(bits).astype(bool) if bits else several
+def _bits(marks) -> bytes:
+    return np.packbits(np.array(marks, dtype=bool)).tobytes()
 
 
-def _ask(parts: int, cover: Cover, offsets):
-    """Requests for the names of ``offsets(row, texts)``: a list of (name length, starts) by document."""
+def _flags(data: bytes, n: int) -> list[bool]:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool).tolist()
 
-    def run(batches):
-        def rows():
-            for row in rows_of(batches):
-                texts = _numbers(documents_of(*row[1:4])[1])
-                distinct, several, _ = _distinct([names(t, at, n) for t, (n, at) in zip(texts, offsets(row, texts, cover)) if len(at)])
-                yield from requests_of(row[0], distinct, parts, lambda a, b: squeeze(np.packbits(several[a:b]).tobytes()))
 
-        yield from batches_of(rows(), REQUEST_SCHEMA)
+def _ask(ranges: int, named):
+    """Requests for the names that ``named`` gives for a chunk's row."""
+
+    def run(batches):
+        yield from batches_of((r for row in rows_of(batches) for r in named(row).requests(row[0], ranges)), REQUEST_SCHEMA)
         tidy()
 
     return run
 
 
 def _answer(batches):
-    """One bit per name and chunk: whether the name comes more than once in all."""
-    where, found, marks = [], [], []
-    for part, chunk, n, data, more in rows_of(batches):
-        where.append((part, chunk, n))
-        found.append(unpack_rising(data, np.uint64))
-        marks.append(np.unpackbits(np.frombuffer(unsqueeze(more), np.uint8), count=n))
-    if where:
-        name, several = np.concatenate(found), np.concatenate(marks)
-        found.clear()
-        order = np.argsort(name, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0]))
-        sizes = np.diff(np.append(starts, len(name)))
-        repeats = (sizes > 1) | (np.maximum.reduceat(several[order], starts) > 0)
-        told = np.empty(len(name), dtype=bool)
-        told[order] = np.repeat(repeats, sizes)
-        ends = np.cumsum([n for _, _, n in where]).tolist()
-        yield from batches_of(((p, c, n, squeeze(np.packbits(told[e - n : e]).tobytes()), b"") for (p, c, n), e in zip(where, ends)), REQUEST_SCHEMA)
+    """One bit per name and chunk, whether the name comes more than once in all, and one, whether no smaller chunk has it."""
+
+    def rows():
+        for held in by_range(batches):
+            chunks, sizes = np.array([r[1] for r in held]), np.array([r[2] for r in held])
+            more = [split_blobs(r[4]) for r in held]
+            name = np.concatenate([unpack_rising(r[3], np.uint64) for r in held])
+            several = np.concatenate([np.unpackbits(np.frombuffer(unsqueeze(m[0]), np.uint8), count=n) for m, n in zip(more, sizes.tolist())])
+            other = np.concatenate([np.frombuffer(m[1], np.uint64) for m in more]) if len(more[0]) > 1 else None
+            more.clear()
+            order, starts = _order(name, other)
+            del name, other
+            counts = np.diff(np.append(starts, len(order)))
+            told = np.empty(len(order), dtype=bool)
+            told[order] = np.repeat((counts > 1) | (np.maximum.reduceat(several[order], starts) > 0), counts)
+            rank = np.argsort(np.argsort(chunks)).astype(np.int32)
+            place = np.repeat(rank, sizes)[order]
+            first = np.empty(len(order), dtype=bool)
+            first[order] = place == np.repeat(np.minimum.reduceat(place, starts), counts)
+            ends = np.cumsum(sizes).tolist()
+            for (part, chunk, n, _, _), e in zip(held, ends):
+                yield part, chunk, n, squeeze(_bits(told[e - n : e])), squeeze(_bits(first[e - n : e]))
+
+    yield from batches_of(rows(), REQUEST_SCHEMA)
     tidy()
 
 
-def _samples(row, texts, cover):
-    return [(cover.named, cover.sampled(len(t))) for t in texts]
+def _whole(length: int):
+    """The names of a chunk's whole texts of ``length`` bytes or more."""
+
+    def named(row) -> Names:
+        digests = [np.frombuffer(xxhash.xxh3_128_digest(t), dtype=np.uint64) for t in documents_of(*row[1:4])[1] if len(t) >= length]
+        return Names([d[:1] for d in digests], [d[1:] for d in digests], [False] * len(digests))
+
+    return named
+
+
+MARKS = "chunk long, copied binary, asked binary"
+MARKS_SCHEMA = pa.schema([("chunk", pa.int64()), ("copied", pa.binary()), ("asked", pa.binary())])
+
+
+def _copies(length: int):
+    """(chunk, copied, asked): which texts come more than once as they are, and which go on: the first of equals."""
+
+    def run(batches):
+        def rows():
+            for *row, found in rows_of(batches):
+                texts = documents_of(*row[1:4])[1]
+                names = _whole(length)(row)
+                repeats = names.repeats(found).tolist()
+                bits = [np.unpackbits(np.frombuffer(unsqueeze(a["more"]), np.uint8), count=a["n"]) for a in found or []]
+                first = (np.concatenate(bits)[names.number] > 0).tolist() if bits else []
+                copied, asked, seen, at = [], [], set(), 0
+                for t in texts:
+                    long = len(t) >= length
+                    copied.append(long and repeats[at])
+                    asked.append(long and first[at] and int(names.number[at]) not in seen)
+                    if long:
+                        seen.add(int(names.number[at]))
+                        at += 1
+                yield row[0], _bits(copied), _bits(asked)
+
+        yield from batches_of(rows(), MARKS_SCHEMA)
+        tidy()
+
+    return run
+
+
+def _samples(row, cover: Cover) -> tuple[list[np.ndarray], list[np.ndarray], Names]:
+    """Of a chunk's row with its marks: texts, sampled offsets of those that go on, and their names."""
+    texts = _numbers(documents_of(*row[1:4])[1])
+    copied, asked = _flags(row[4], len(texts)), _flags(row[5], len(texts))
+    at = [cover.sampled(len(t)) if a else np.zeros(0, np.int64) for t, a in zip(texts, asked)]
+    own = [d for d, x in enumerate(at) if len(x)]
+    return texts, at, Names([names(texts[d], at[d], cover.named) for d in own], None, [copied[d] for d in own])
 
 
 def _stretches(cover: Cover):
@@ -182,21 +330,18 @@ def _stretches(cover: Cover):
         schema = pa.schema([("chunk", pa.int64()), ("stretches", pa.binary())])
 
         def rows():
-            for chunk, n, ids, packed, found in rows_of(batches):
-                texts = _numbers(documents_of(n, ids, packed)[1])
-                samples = [cover.sampled(len(t)) for t in texts]
-                _, several, inverse = _distinct([names(t, at, cover.named) for t, at in zip(texts, samples) if len(at)])
-                repeats, end, out = _told(found, several), 0, []
+            for *row, found in rows_of(batches):
+                texts, samples, own = _samples(row, cover)
+                repeats, end, out = own.repeats(found), 0, []
                 for d, (t, at) in enumerate(zip(texts, samples)):
-                    own, end = inverse[end : end + len(at)], end + len(at)
-                    again = at[repeats[own]] if len(at) else at
+                    end, again = end + len(at), at[repeats[end : end + len(at)]]
                     if len(again):
                         marks = np.zeros(len(t) - cover.length + 1, dtype=bool)
                         marks[cover.starts(len(t), again)] = True
                         begin, size = runs(marks)
                         out.append(np.stack([np.full(len(begin), d), begin, begin + size]))
                 data = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-                yield chunk, squeeze(data.astype(np.int64).tobytes())
+                yield row[0], squeeze(data.astype(np.int64).tobytes())
 
         yield from batches_of(rows(), schema)
         tidy()
@@ -204,14 +349,18 @@ def _stretches(cover: Cover):
     return run
 
 
-def _starts(row, texts, cover):
-    """The offsets in the stretches of each document."""
-    d, a, b = np.frombuffer(unsqueeze(row[4]), dtype=np.int64).reshape(3, -1)
-    out = [(cover.length, np.zeros(0, np.int64))] * len(texts)
+def _starts(row, cover: Cover, prints: Prints) -> tuple[list[np.ndarray], list[np.ndarray], Names]:
+    """Of a chunk's row with its marks and stretches: texts, offsets that may start a repeated string, and the strings' names."""
+    texts = _numbers(documents_of(*row[1:4])[1])
+    copied = _flags(row[4], len(texts))
+    d, a, b = np.frombuffer(unsqueeze(row[6]), dtype=np.int64).reshape(3, -1)
+    at = [np.zeros(0, np.int64)] * len(texts)
     for k in np.unique(d).tolist():
         own = d == k
-        out[k] = (cover.length, np.concatenate([np.arange(x, y) for x, y in zip(a[own].tolist(), b[own].tolist())]))
-    return out
+        at[k] = np.concatenate([np.arange(x, y) for x, y in zip(a[own].tolist(), b[own].tolist())])
+    own = [d for d, x in enumerate(at) if len(x)]
+    found = [names(texts[d], at[d], cover.length) for d in own]
+    return texts, at, Names(found, [prints.of(texts[d], at[d], cover.length) for d in own], [copied[d] for d in own])
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("n_bytes", pa.int32())]))
@@ -219,26 +368,26 @@ RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<st
 RESULT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", SPAN)])
 
 
-def _remove(cover: Cover):
+def _remove(cover: Cover, prints: Prints):
     def run(batches):
         def rows():
-            for row in rows_of(batches):
-                ids, texts = documents_of(*row[1:4])
-                numbers = _numbers(texts)
-                starts = [at for _, at in _starts(row, texts, cover)]
-                _, several, inverse = _distinct([names(t, at, cover.length) for t, at in zip(numbers, starts) if len(at)])
-                repeats, end = _told(row[5], several), 0
-                for i, text, number, at in zip(ids, texts, numbers, starts):
-                    own, end = inverse[end : end + len(at)], end + len(at)
-                    again = at[repeats[own]] if len(at) else at
-                    if not len(again):
-                        yield i, len(text), 0, text, []
-                        continue
-                    flags = np.zeros(len(text), dtype=bool)
-                    flags[again] = True
-                    gone = covered(flags, len(text), cover.length)
-                    spans = [{"start": a, "n_bytes": n} for a, n in zip(*map(np.ndarray.tolist, runs(gone)))]
-                    yield i, len(text), int(gone.sum()), number[~gone].tobytes(), spans
+            for *row, found in rows_of(batches):
+                texts, starts, own = _starts(row, cover, prints)
+                repeats, end = own.repeats(found), 0
+                del own
+                ids, copied = documents_of(*row[1:4])[0], _flags(row[4], len(texts))
+                for i, text, at, whole in zip(ids, texts, starts, copied):
+                    end, again = end + len(at), at[repeats[end : end + len(at)]]
+                    if whole:
+                        yield i, len(text), len(text), b"", [{"start": 0, "n_bytes": len(text)}]
+                    elif not len(again):
+                        yield i, len(text), 0, text.tobytes(), []
+                    else:
+                        flags = np.zeros(len(text), dtype=bool)
+                        flags[again] = True
+                        gone = covered(flags, len(text), cover.length)
+                        spans = [{"start": a, "n_bytes": n} for a, n in zip(*map(np.ndarray.tolist, runs(gone)))]
+                        yield i, len(text), int(gone.sum()), text[~gone].tobytes(), spans
 
         yield from batches_of(rows(), RESULT_SCHEMA, 512 << 10)
         tidy()
@@ -248,16 +397,20 @@ def _remove(cover: Cover):
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (the bytes left) and the removed spans of each document."""
-    parts, cover = partitions(docs.sparkSession), Cover(length, prime)
-    rows = chunk_table(docs.select(F.col(id_col).cast("long"), text_col), "byte_chunks", parts)
+    parts, cover, prints = partitions(docs.sparkSession), Cover(length, prime), Prints(uuid.uuid4().int)
+    rows = chunk_table(docs.select(F.col(id_col).cast("long"), text_col), "byte_chunks", parts, CHUNK_BYTES)
+    ranges = ranges_of(rows.agg(F.sum("size")).first()[0] or 0, parts)
     own = ["chunk", "n", "ids", "texts"]
-    named = answers(rows.mapInArrow(_ask(parts, cover, _samples), REQUEST), _answer, parts)
-    stretches = written(
-        rows.join(named, "chunk", "left").select(*own, "answers").mapInArrow(_stretches(cover), "chunk long, stretches binary"), "suffix-stretches"
-    )
-    placed = rows.join(stretches, "chunk").select(*own, "stretches")
-    repeated = answers(placed.mapInArrow(_ask(parts, cover, _starts), REQUEST), _answer, parts)
-    return placed.join(repeated, "chunk", "left").select(*own, "stretches", "answers").mapInArrow(_remove(cover), RESULT)
+
+    def told(frame: DataFrame, named) -> DataFrame:
+        found = answers(frame.mapInArrow(_ask(ranges, named), REQUEST), _answer, parts, ranges)
+        return frame.join(found, "chunk", "left").select(*frame.columns, "answers")
+
+    marks = written(told(rows.select(*own), _whole(length)).mapInArrow(_copies(length), MARKS), "suffix-copies")
+    marked = rows.join(marks, "chunk").select(*own, "copied", "asked")
+    stretches = told(marked, lambda row: _samples(row, cover)[2]).mapInArrow(_stretches(cover), "chunk long, stretches binary")
+    placed = marked.join(written(stretches, "suffix-stretches"), "chunk").select(*own, "copied", "asked", "stretches")
+    return told(placed, lambda row: _starts(row, cover, prints)[2]).mapInArrow(_remove(cover, prints), RESULT)
 
 
 def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
