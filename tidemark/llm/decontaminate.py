@@ -25,6 +25,7 @@ table on either side gives no matches; further columns pass through :func:`decon
 from __future__ import annotations
 
 from collections import Counter
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -49,8 +50,9 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_hashes(w: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
+def word_hashes(w: list[bytes], salt: int = 0) -> np.ndarray:
+    digest = partial(xxhash.xxh64_intdigest, seed=salt) if salt else xxhash.xxh64_intdigest
+    return np.fromiter(map(digest, w), dtype=np.uint64, count=len(w))
 
 
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -2,21 +2,24 @@
 
 1. Every window of K consecutive words is an edge between the runs of its first and its last K - 1 words.
    A chunk of documents sends each edge it holds once, with the place where it comes first (smallest
-   document, first word), to the part of the graph that the edge's hash falls in. The part answers where
+   document, first word), to the range of the graph that the edge's hash falls in. The range answers where
    the edge comes first of all, if that is in a smaller document than the chunk's own.
-2. Edges of a document that repeat, and that follow each other both there and at their first places, form a
-   nonbranching path: where a path branches, the first places stop following each other. A path is one row:
-   its own coordinates, those of its source, and a 128-bit hash of its words.
-3. Paths are joined in Spark to the chunks of their sources. The distinct claims (source coordinates, length
-   and words) are checked against the words that are there; only verified paths are joined back.
-4. A document's verified paths are joined to its chunk, and the words that they cover go.
+2. Edges of a document that repeat, and that follow each other both there and at their first places, are
+   packed to pieces of paths: where a path branches, the first places stop following each other. A piece is
+   one row: its own coordinates, those of its source, and a 128-bit hash of its words. Pieces are cut at
+   every BLOCK-th word of the source, so that pieces of documents that share a passage are equal.
+3. Pieces are joined in Spark to the chunks of their sources. The distinct claims (source coordinates, length
+   and words) are checked against the words that are there; only verified pieces are joined back.
+4. Verified pieces compact to nonbranching paths by a join of the end of each with the start of the next.
+5. A document's paths are joined to its chunk, and the words that they cover go.
 
 An edge is sent once per chunk and a claim is checked once, however many copies hold them, so neither is hot;
-claims with very many paths are joined by broadcast, of which there are at most 1 / HOT_SHARE. Texts stay in
+claims with very many pieces are joined by broadcast, of which there are at most 1 / HOT_SHARE. Texts stay in
 a table bucketed by chunk and are never shuffled.
 
-Edges are found by 64-bit hashes of 64-bit word hashes, and a path is removed only if its words are those of
-its source; a path in which two different edges share a hash would stay.
+Edges are found by 64-bit hashes of 64-bit word hashes, and words go only if they are those of the source.
+A piece that isn't verified holds an edge whose hash another edge has; then all edges are looked up again under
+other hashes, and the results of both count, until every piece is verified.
 
 Defined cases: a null text has no words; documents of under K words keep all; a null id counts as
 larger than any other and is the source of no removal; rows with the same id aren't smaller than each
@@ -30,10 +33,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.chunks import (
-    REQUEST, REQUEST_SCHEMA, answers, batches_of, chunk_table, documents_of, join_blobs, pack, requests_of, rows_of, split_blobs, squeeze, tidy, unpack,
-    unpack_ids, unpack_rising, unsqueeze,
+    REQUEST, REQUEST_SCHEMA, answers, batches_of, by_range, chunk_table, documents_of, join_blobs, pack, ranges_of, requests_of, rows_of, split_blobs,
+    squeeze, tidy, unpack, unpack_ids, unpack_rising, unsqueeze,
 )
 from tidemark.llm.common import lookup, partitions, table, written
 from tidemark.llm.decontaminate import shingle_hashes, word_hashes
@@ -42,6 +46,10 @@ K = 13
 LAST = np.iinfo(np.int64).max
 #: Bytes of text in a chunk; an edge takes about ten times the bytes of its word while it is worked on.
 CHUNK_BYTES = 8 << 20
+#: Words of a source between the places where pieces of paths are cut.
+BLOCK = 1024
+#: Claims on one chunk that a task checks at a time.
+CLAIMS = 20_000
 SPAN = "first_word:int,n_words:int,source:bigint,source_word:int"
 RESULT = f"doc_id long, n_words long, n_removed long, kept string, spans array<struct<{SPAN}>>"
 SPAN_TYPE = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("source", pa.int64()), ("source_word", pa.int32())]))
@@ -53,10 +61,10 @@ PATH_SCHEMA = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("first_wor
 class Edges:
     """The edges of a chunk's documents in order of the documents' ids, and their distinct hashes with first places."""
 
-    def __init__(self, ids: list, texts: list[bytes], k: int):
+    def __init__(self, ids: list, texts: list[bytes], k: int, salt: int = 0):
         keys = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
         self.order = np.argsort(keys, kind="stable")
-        hashes = [shingle_hashes(word_hashes(texts[d].split()), k) for d in self.order.tolist()]
+        hashes = [shingle_hashes(word_hashes(texts[d].split(), salt), k) for d in self.order.tolist()]
         self.counts = np.array([len(h) for h in hashes], dtype=np.int64)
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         hashes.clear()
@@ -86,14 +94,14 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def _ask(parts: int, k: int):
+def _ask(ranges: int, k: int, salt: int):
     def run(batches):
         def rows():
             for chunk, n, ids, texts in rows_of(batches):
-                edges = Edges(*documents_of(n, ids, texts), k)
+                edges = Edges(*documents_of(n, ids, texts), k, salt)
                 sources, number = np.unique(edges.first_doc, return_inverse=True)
                 number, head = number.astype(np.uint32), squeeze(sources.tobytes())
-                yield from requests_of(chunk, edges.distinct, parts, lambda a, b: join_blobs([head, pack(number[a:b]), pack(edges.first_word[a:b])]))
+                yield from requests_of(chunk, edges.distinct, ranges, lambda a, b: join_blobs([head, pack(number[a:b]), pack(edges.first_word[a:b])]))
 
         yield from batches_of(rows(), REQUEST_SCHEMA)
         tidy()
@@ -103,30 +111,30 @@ def _ask(parts: int, k: int):
 
 def _answer(batches):
     """Per chunk: a bit for each edge that comes in a smaller document elsewhere, and the first places of those."""
-    where, hashes, docs, words = [], [], [], []
-    for part, chunk, n, data, more in rows_of(batches):
-        sources, number, word = split_blobs(more)
-        where.append((part, chunk, n))
-        hashes.append(unpack_rising(data, np.uint64))
-        docs.append(np.frombuffer(unsqueeze(sources), dtype=np.int64)[unpack(number, np.uint32)])
-        words.append(unpack(word, np.uint32))
-    if where:
-        edge, doc, word = np.concatenate(hashes), np.concatenate(docs), np.concatenate(words)
-        for held in (hashes, docs, words):
-            held.clear()
-        order = np.argsort(edge, kind="stable")
-        edge, own = edge[order], doc[order]
-        starts = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
-        sizes = np.diff(np.append(starts, len(edge)))
-        least = np.repeat(np.minimum.reduceat(own, starts), sizes)
-        at = np.flatnonzero(own == least)
-        at = at[np.searchsorted(at, starts)]  # the first that has the smallest document
-        smaller = np.empty(len(edge), dtype=bool)
-        smaller[order] = least < own
-        first_doc, first_word = np.empty_like(doc), np.empty_like(word)
-        first_doc[order], first_word[order] = least, np.repeat(word[order][at], sizes)
 
-        def rows():
+    def rows():
+        for held in by_range(batches):
+            where, hashes, docs, words = [], [], [], []
+            for part, chunk, n, data, more in held:
+                sources, number, word = split_blobs(more)
+                where.append((part, chunk, n))
+                hashes.append(unpack_rising(data, np.uint64))
+                docs.append(np.frombuffer(unsqueeze(sources), dtype=np.int64)[unpack(number, np.uint32)])
+                words.append(unpack(word, np.uint32))
+            held.clear()
+            edge, doc, word = np.concatenate(hashes), np.concatenate(docs), np.concatenate(words)
+            del hashes, docs, words
+            order = np.argsort(edge, kind="stable")
+            edge, own = edge[order], doc[order]
+            starts = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
+            sizes = np.diff(np.append(starts, len(edge)))
+            least = np.repeat(np.minimum.reduceat(own, starts), sizes)
+            at = np.flatnonzero(own == least)
+            at = at[np.searchsorted(at, starts)]  # the first that has the smallest document
+            smaller = np.empty(len(edge), dtype=bool)
+            smaller[order] = least < own
+            first_doc, first_word = np.empty_like(doc), np.empty_like(word)
+            first_doc[order], first_word[order] = least, np.repeat(word[order][at], sizes)
             end = 0
             for part, chunk, n in where:
                 begin, end = end, end + n
@@ -135,18 +143,18 @@ def _answer(batches):
                 places = join_blobs([squeeze(sources.tobytes()), pack(number.astype(np.uint32)), pack(first_word[begin:end][mark])])
                 yield part, chunk, n, squeeze(np.packbits(mark).tobytes()), places
 
-        yield from batches_of(rows(), REQUEST_SCHEMA)
+    yield from batches_of(rows(), REQUEST_SCHEMA)
     tidy()
 
 
-def _compact(k: int):
-    """Repeated edges that follow each other here and at their first places become one path."""
+def _pack_edges(k: int, salt: int):
+    """Repeated edges that follow each other here and, in one block of words, at their first places become one piece."""
 
     def run(batches):
         def rows():
             for chunk, n, ids, texts, found in rows_of(batches):
                 ids, texts = documents_of(n, ids, texts)
-                edges = Edges(ids, texts, k)
+                edges = Edges(ids, texts, k, salt)
                 doc, word, end = edges.first_doc.copy(), edges.first_word.astype(np.int64), 0
                 for a in found or []:
                     at = end + np.flatnonzero(np.unpackbits(np.frombuffer(unsqueeze(a["data"]), np.uint8), count=a["n"]))
@@ -162,7 +170,7 @@ def _compact(k: int):
                     if not len(at):
                         continue
                     s, p, w = source[begin:end][at], place[begin:end][at], texts[d].split()
-                    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(s) != 0) | (np.diff(p) != 1)) + 1
+                    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(s) != 0) | (np.diff(p) != 1) | (p[1:] % BLOCK == 0)) + 1
                     starts = np.concatenate([[0], cut])
                     for a, b in zip(starts.tolist(), np.append(cut, len(at)).tolist()):
                         first, size = int(at[a]), b - a + k - 1
@@ -230,18 +238,44 @@ def _remove(batches):
     tidy()
 
 
-def paths(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """The verified paths of a chunk table: chunk, row and coordinates, with those of the source."""
-    found = answers(rows.mapInArrow(_ask(parts, k), REQUEST), _answer, parts)
-    every = written(rows.join(found, "chunk", "left").select("chunk", "n", "ids", "texts", "answers").mapInArrow(_compact(k), PATH), "debruijn-paths")
+PLACE = ["chunk", "row", "first_word", "n_words", "source", "source_word"]
+
+
+def pieces(rows: DataFrame, k: int, parts: int, ranges: int, salt: int) -> tuple[DataFrame, bool]:
+    """The verified pieces of a chunk table, with their own coordinates and the source's, and whether all are verified."""
+    found = answers(rows.select("chunk", "n", "ids", "texts").mapInArrow(_ask(ranges, k, salt), REQUEST), _answer, parts, ranges)
+    every = written(rows.join(found, "chunk", "left").select("chunk", "n", "ids", "texts", "answers").mapInArrow(_pack_edges(k, salt), PATH), "debruijn-pieces")
+    columns = ["source", "source_word", "n_words", "content"]
     claim = F.concat_ws(":", F.hex("content"), "source", "source_word", "n_words")
-    sizes = every.groupBy("source", "source_word", "n_words", "content").agg(F.count(F.lit(1)).alias("_n"))
-    claims = written(sizes, "debruijn-claims")
+    claims = written(every.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "debruijn-claims")
     owners = rows.select("chunk", "n", "ids").mapInArrow(_owners, "source long, chunk long")
-    asked = claims.join(owners, "source").groupBy("chunk").agg(F.collect_list(F.struct("source", "source_word", "n_words", "content")).alias("claims"))
+    turn = F.floor((F.row_number().over(Window.partitionBy("chunk").orderBy("source", "source_word")) - 1) / CLAIMS)
+    asked = claims.join(owners, "source").withColumn("turn", turn).groupBy("chunk", "turn").agg(F.collect_list(F.struct(*columns)).alias("claims"))
     checked = rows.join(asked, "chunk").select("n", "ids", "texts", "claims").mapInArrow(_verify, CLAIM).distinct()
-    good = written(checked.join(claims, ["source", "source_word", "n_words", "content"]).select(claim.alias("claim"), "_n"), "debruijn-verified")
-    return lookup(every.withColumn("claim", claim), good, "claim", every.count(), how="inner").drop("claim", "content")
+    good = written(checked.join(claims, columns).select(claim.alias("claim"), "_n"), "debruijn-verified")
+    verified = lookup(every.withColumn("claim", claim), good, "claim", every.count(), how="inner").select(*PLACE)
+    return verified, good.count() == claims.count()
+
+
+def compacted(found: DataFrame, k: int) -> DataFrame:
+    """Pieces of which one ends where the next begins, here and at the source, joined to nonbranching paths."""
+    edges = F.col("n_words") - (k - 1)
+    ends = found.select("chunk", "row", "source", (F.col("first_word") + edges).alias("first_word"), (F.col("source_word") + edges).alias("source_word"), F.lit(0).alias("fresh"))
+    met = found.join(ends, ["chunk", "row", "source", "first_word", "source_word"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(1)))
+    path = F.sum("fresh").over(Window.partitionBy("chunk", "row").orderBy("first_word"))
+    head = F.min(F.struct("first_word", "source", "source_word")).alias("head")
+    joined = met.withColumn("path", path).groupBy("chunk", "row", "path").agg(head, (F.sum(edges) + (k - 1)).cast("int").alias("n_words"))
+    return joined.select("chunk", "row", "head.first_word", "n_words", "head.source", "head.source_word")
+
+
+def paths(rows: DataFrame, k: int, parts: int) -> DataFrame:
+    """The verified paths of a chunk table; edges that share a hash are told apart under further hashes."""
+    ranges, out, salt, done = ranges_of(rows.agg(F.sum("size")).first()[0] or 0, parts), None, 0, False
+    while not done:
+        found, done = pieces(rows, k, parts, ranges, salt)
+        own = compacted(found, k)
+        out, salt = own if out is None else out.unionByName(own), salt + 1
+    return out
 
 
 def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
