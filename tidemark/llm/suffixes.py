@@ -349,8 +349,11 @@ def _stretches(cover: Cover):
     return run
 
 
-def _starts(row, cover: Cover, prints: Prints) -> tuple[list[np.ndarray], list[np.ndarray], Names]:
-    """Of a chunk's row with its marks and stretches: texts, offsets that may start a repeated string, and the strings' names."""
+def _starts(row, cover: Cover, prints: Prints | None) -> tuple[list[np.ndarray], list[np.ndarray], Names]:
+    """Of a chunk's row with its marks and stretches: texts, offsets that may start a repeated string, and the strings' names.
+
+    Without ``prints`` the names have 64 bits only.
+    """
     texts = _numbers(documents_of(*row[1:4])[1])
     copied = _flags(row[4], len(texts))
     d, a, b = np.frombuffer(unsqueeze(row[6]), dtype=np.int64).reshape(3, -1)
@@ -360,7 +363,8 @@ def _starts(row, cover: Cover, prints: Prints) -> tuple[list[np.ndarray], list[n
         at[k] = np.concatenate([np.arange(x, y) for x, y in zip(a[own].tolist(), b[own].tolist())])
     own = [d for d, x in enumerate(at) if len(x)]
     found = [names(texts[d], at[d], cover.length) for d in own]
-    return texts, at, Names(found, [prints.of(texts[d], at[d], cover.length) for d in own], [copied[d] for d in own])
+    others = None if prints is None else [prints.of(texts[d], at[d], cover.length) for d in own]
+    return texts, at, Names(found, others, [copied[d] for d in own])
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("n_bytes", pa.int32())]))
@@ -372,7 +376,9 @@ def _remove(cover: Cover, prints: Prints):
     def run(batches):
         def rows():
             for *row, found in rows_of(batches):
-                texts, starts, own = _starts(row, cover, prints)
+                texts, starts, own = _starts(row, cover, None)
+                if found and sum(a["n"] for a in found) != len(own.name):  # strings of this chunk share 64 bits
+                    texts, starts, own = _starts(row, cover, prints)
                 repeats, end = own.repeats(found), 0
                 del own
                 ids, copied = documents_of(*row[1:4])[0], _flags(row[4], len(texts))
