@@ -56,11 +56,43 @@ def test_multi_index_finds_every_fingerprint_in_the_radius():
     for k in range(len(prints)):
         for bit in rng.sample(range(64), rng.randint(0, 26)):
             prints[k] ^= dc.np.uint64(1 << bit)
-    window, item = index.near(dc.np.zeros(len(prints), int), prints)
+    one = dc.np.zeros(len(prints), int)
+    window, item = dc.Blocks(one, index.prints).near(one, prints)
     want = {(i, j) for i in range(40) for j in range(40) if int(prints[i] ^ index.prints[j]).bit_count() <= dc.RADIUS}
     assert set(zip(window.tolist(), item.tolist())) == want
 
 
+def test_large_buckets_find_the_same(monkeypatch):
+    """Buckets of two items and more go through the multi-index, and few pairs are compared at a time."""
+    docs, items = cases()
+    items += [(100 + k, t) for k, (_, t) in enumerate(items)] + [(200 + k, f"{t} w1") for k, (_, t) in enumerate(items) if t]
+    want = [dc.Index(items).search(t) for _, t in docs]
+    monkeypatch.setattr(dc, "LARGE", 1)
+    monkeypatch.setattr(dc, "PAIRS", 5)
+    index = dc.Index(items)
+    assert any(b.blocks for by_size in index.buckets.values() for b in by_size.values())
+    assert [index.search(t) for _, t in docs] == want
+    assert {(i, items[k][0]): round(s, 6) for (i, _), found in zip(docs, want) for k, s, _, _ in found} == brute(docs, items)
+
+
+def test_few_candidates_for_each_window(docs):
+    """5,000 items, most of them passages of the documents: a window is compared with a few, and every passage is found."""
+    rng, texts = random.Random(5), [t for t in (r.text for r in docs.collect()) if t and len(t.split()) > 60]
+    items = []
+    for k in range(5000):
+        w = rng.choice(texts).split()
+        at = rng.randrange(len(w) - 40)
+        items.append((k, " ".join(w[at : at + 40])))
+    index, windows, pairs, compared = dc.Index(items), 0, 0, 0
+    for t in texts[:100]:
+        for grams, starts, m, _, buckets, which in index.named(dc.words(t)):
+            windows += len(set(starts.tolist()))
+            compared += int((buckets.ends - buckets.starts)[which].sum())
+            pairs += len(index.candidates(grams, starts, m, buckets, which)[0])
+    print("windows", windows, "compared", compared / windows, "candidates", pairs / windows)
+    assert windows and compared / windows < 500 and pairs / windows < 100
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "same words here again"), (None, "no id at all"), (2, None)], "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in dc.matches(odd_docs, items).collect()]

@@ -5,16 +5,22 @@ similarity of THRESHOLD or more to it: the shingles of five words of both, count
 that part of their union. Windows are found in three steps:
 
 1. A similar window shares ``2 m t / (1 + t)`` of its m shingles with the item, so only windows with
-   that many shingles of the benchmark are looked at; the others can't be similar.
-2. The window's 64-bit SimHash is looked up in a multi-index of the items of its size: the bits are cut
-   into RADIUS + 1 blocks, of which one at least is equal for every fingerprint within RADIUS bits, so
-   the union of the block buckets, checked by the number of differing bits, has them all. A pair of
-   similarity 0.8 differs in 9.7 bits on average with a standard deviation of 2.9; RADIUS is 3.5
-   deviations above that.
+   that many shingles of the benchmark are looked at; and it has one at least of the item's anchors, its
+   rarest shingles, of which there are so many that the others alone would be too few to share.
+2. The index has the items' 64-bit SimHashes in one bucket for each anchor and size. A window's SimHash is
+   looked up in the buckets of its anchors; the result is all their fingerprints within RADIUS bits. In a
+   bucket of over LARGE items it is found by a multi-index: the bits are cut into RADIUS + 1 blocks, of which
+   one at least is equal for every fingerprint within RADIUS bits, so the union of the block lookups, checked
+   by the number of differing bits, has them all. A smaller bucket is compared whole. A pair of similarity
+   0.8 differs in 9.7 bits on average with a standard deviation of 2.9; RADIUS is 3.5 deviations above that.
 3. The weighted similarity is computed from the words themselves.
 
-The benchmark is taken in blocks of ITEMS items, each of which is broadcast (a few kB per item) and
-searched against all documents; so its size is bounded by no driver or executor. Nothing is shuffled.
+A multi-index of all items of a size wouldn't prune: blocks of three bits have eight values, so its 21 blocks
+bring up each item 2.7 times for every window. The buckets miss none either, and have a few items each.
+
+The benchmark is taken in blocks of ITEMS items (about 1.5 kB each), each of which is broadcast and
+searched against all documents in one scan; so its size is bounded by no driver or executor. Nothing is
+shuffled.
 
 Defined cases: A-Z count as lower case; null texts have no words and match nothing; items without
 words are never found; items (and windows) of fewer than five words have one shingle, the whole; a
@@ -37,11 +43,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.chunks import SLICE
 from tidemark.llm.common import table
 
-SHINGLE, THRESHOLD, RADIUS, ITEMS = 5, 0.8, 20, 20_000
+SHINGLE, THRESHOLD, RADIUS, ITEMS = 5, 0.8, 20, 100_000
 BLOCK_ENDS = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+#: Buckets of more items have a multi-index.
+LARGE = 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles whose bits are summed at a time.
 PIECE = 1 << 14
+#: Pairs of windows and items that are compared at a time, and words of items that are kept counted.
+PAIRS, COUNTED = 1 << 18, 4096
 #: Bits of a shingle's hash that address the table of benchmark shingles.
 ADDRESS = 20
 
@@ -91,40 +101,98 @@ def shingle_counts(w: list[bytes]) -> Counter:
     return Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
 
 
-class Index:
-    """The items of one block of the benchmark, in a multi-index by size and fingerprint block."""
+def expanded(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start to before its end, and which start each belongs to."""
+    count = end - start
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()), np.repeat(np.arange(len(count)), count)
 
-    def __init__(self, items: list[tuple]):
-        self.ids = [i for i, _ in items]
-        self.words = [words(t) for _, t in items]
-        self.counts = [shingle_counts(w) for w in self.words]
-        self.members = np.array([k for k, w in enumerate(self.words) if w], dtype=np.int64)
-        lengths = np.array([len(self.words[k]) for k in self.members], dtype=np.int64)
-        self.sizes = np.unique(lengths)
-        known: dict[int, list[np.ndarray]] = {}
-        prints = []
-        for k in self.members.tolist():
-            size = min(SHINGLE, len(self.words[k]))
-            hashes = shingle_hashes(word_hashes(self.words[k]), size)
-            known.setdefault(size, []).append(hashes)
-            prints.append(simhashes(hashes, np.array([0]), np.array([len(hashes)])))
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        self.blocks = []
+
+class Blocks:
+    """Multi-index of fingerprints that are looked up within their bucket only."""
+
+    def __init__(self, buckets: np.ndarray, prints: np.ndarray):
+        self.prints, self.blocks = prints, []
         for block in range(RADIUS + 1):
-            keys = self.keys(np.searchsorted(self.sizes, lengths), self.prints, block)
+            keys = self.keys(buckets, prints, block)
             order = np.argsort(keys, kind="stable")
             self.blocks.append((keys[order], order))
-        self.known = {size: np.unique(np.concatenate(h)) for size, h in known.items()}
-        self.table = {}
-        for size, h in self.known.items():
-            self.table[size] = np.zeros(1 << ADDRESS, dtype=bool)
-            self.table[size][h >> np.uint64(64 - ADDRESS)] = True
 
     @staticmethod
-    def keys(sizes: np.ndarray, prints: np.ndarray, block: int) -> np.ndarray:
-        """Size and block of each fingerprint in one number."""
+    def keys(buckets: np.ndarray, prints: np.ndarray, block: int) -> np.ndarray:
+        """Bucket and block of each fingerprint in one number."""
         a, b = BLOCK_ENDS[block], BLOCK_ENDS[block + 1]
-        return sizes.astype(np.uint64) << np.uint64(b - a) | prints >> np.uint64(a) & np.uint64((1 << b - a) - 1)
+        return buckets.astype(np.uint64) << np.uint64(b - a) | prints >> np.uint64(a) & np.uint64((1 << b - a) - 1)
+
+    def near(self, buckets: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(given, member) pairs of one bucket within RADIUS bits, by the blocks that are equal."""
+        seen = []
+        for block, (keys, order) in enumerate(self.blocks):
+            own = self.keys(buckets, prints, block)
+            entry, given = expanded(np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right"))
+            member = order[entry]
+            close = np.bitwise_count(prints[given] ^ self.prints[member]) <= RADIUS
+            seen.append(given[close] * len(self.prints) + member[close])
+        pair = np.unique(np.concatenate(seen))
+        return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
+
+
+class Buckets:
+    """Items of one size by anchor: each anchor's bucket has the fingerprints of its items."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray, prints: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.items = items[order]
+        self.prints = prints[self.items]
+        self.keys, self.starts, counts = np.unique(keys[order], return_index=True, return_counts=True)
+        self.ends = self.starts + counts
+        self.large = counts > LARGE
+        entry, bucket = expanded(self.starts[self.large], self.ends[self.large])
+        self.entries = entry
+        self.blocks = Blocks(np.flatnonzero(self.large)[bucket], self.prints[entry]) if len(entry) else None
+
+    def near(self, buckets: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(given, item) pairs within RADIUS bits."""
+        whole = np.flatnonzero(~self.large[buckets])
+        entry, given = expanded(self.starts[buckets[whole]], self.ends[buckets[whole]])
+        close = np.bitwise_count(prints[whole[given]] ^ self.prints[entry]) <= RADIUS
+        given, entry = whole[given[close]], entry[close]
+        rest = np.flatnonzero(self.large[buckets])
+        if len(rest):
+            more, member = self.blocks.near(buckets[rest], prints[rest])
+            given, entry = np.concatenate([given, rest[more]]), np.concatenate([entry, self.entries[member]])
+        return given, self.items[entry]
+
+
+class Index:
+    """The items of one block of the benchmark: their shingles, and their fingerprints in buckets by size and anchor."""
+
+    def __init__(self, items: list[tuple]):
+        self.ids = [i for i, _ in items]
+        self.texts = [b" ".join(words(t)) for _, t in items]
+        self.counted: dict[int, Counter] = {}
+        self.lengths = np.array([len(t.split()) for t in self.texts], dtype=np.int64)
+        self.sizes = np.unique(self.lengths[self.lengths > 0])
+        self.prints = np.zeros(len(items), dtype=np.uint64)
+        own: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k in np.flatnonzero(self.lengths).tolist():
+            size = min(SHINGLE, int(self.lengths[k]))
+            hashes = shingle_hashes(word_hashes(self.texts[k].split()), size)
+            own.setdefault(size, []).append((k, hashes))
+            self.prints[k] = simhashes(hashes, np.array([0]), np.array([len(hashes)]))[0]
+        self.known, self.table, self.buckets = {}, {}, {}
+        for size, each in own.items():
+            self.known[size], counts = np.unique(np.concatenate([h for _, h in each]), return_counts=True)
+            self.table[size] = np.zeros(1 << ADDRESS, dtype=bool)
+            self.table[size][self.known[size] >> np.uint64(64 - ADDRESS)] = True
+            anchors = [self.anchors(h, counts[np.searchsorted(self.known[size], h)]) for _, h in each]
+            key, item = np.concatenate(anchors), np.repeat([k for k, _ in each], [len(x) for x in anchors])
+            self.buckets[size] = {n: Buckets(key[at], item[at], self.prints) for n in np.unique(self.lengths[item]).tolist() for at in [self.lengths[item] == n]}
+
+    @staticmethod
+    def anchors(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The rarest distinct shingles of an item: all the others together are fewer than a similar window shares."""
+        order = np.lexsort((hashes, counts))
+        return np.unique(hashes[order[: len(hashes) - int(np.ceil(THRESHOLD * len(hashes) - 1e-9)) + 1]])
 
     @staticmethod
     def need(a: int, b: int) -> int:
@@ -132,22 +200,15 @@ class Index:
         count = lambda n: n - min(SHINGLE, n) + 1
         return int(np.ceil(THRESHOLD / (1 + THRESHOLD) * (count(a) + count(b)) - 1e-9))
 
-    def near(self, sizes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of equal size within RADIUS bits, by the blocks that are equal."""
-        seen = []
-        for block, (keys, order) in enumerate(self.blocks):
-            own = self.keys(sizes, prints, block)
-            start, end = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            count = end - start
-            at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-            window, item = np.repeat(np.arange(len(prints)), count), order[at]
-            close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-            seen.append(window[close] * len(self.prints) + item[close])
-        pair = np.unique(np.concatenate(seen))
-        return pair // len(self.prints), self.members[pair % len(self.prints)]
+    def counts(self, item: int) -> Counter:
+        if item not in self.counted:
+            if len(self.counted) >= COUNTED:
+                self.counted.clear()
+            self.counted[item] = shingle_counts(self.texts[item].split())
+        return self.counted[item]
 
     def hits(self, w: list[bytes]):
-        """By shingle length: the text's shingles, and running counts of those that the benchmark has."""
+        """By shingle length: the text's shingles, where the benchmark's are among them, and their running counts."""
         out, hashes = {}, None
         for size, h in self.known.items():
             if len(w) < size:
@@ -157,44 +218,64 @@ class Index:
             at = np.flatnonzero(self.table[size][grams >> np.uint64(64 - ADDRESS)])
             if len(at):
                 place = np.minimum(np.searchsorted(h, grams[at]), len(h) - 1)
+                at = at[h[place] == grams[at]]
                 hit = np.zeros(len(grams) + 1, dtype=np.int64)
-                hit[at[h[place] == grams[at]] + 1] = 1
-                out[size] = (grams, np.cumsum(hit))
+                hit[at + 1] = 1
+                out[size] = (grams, at, np.cumsum(hit))
         return out
 
+    def named(self, w: list[bytes]):
+        """Windows and the buckets of their anchors, PAIRS at a time: shingles, first words, number of shingles and words, buckets and which.
+
+        The windows are those with as many shingles of the benchmark as a similar one needs.
+        """
+        for size, (grams, at, sums) in self.hits(w).items():
+            for n, buckets in self.buckets[size].items():
+                length = min(n, len(w))
+                need, m = self.need(n, length), length - size + 1
+                if sums[-1] < need:
+                    continue
+                starts = np.flatnonzero(sums[m:] - sums[:-m] >= need)
+                bucket = np.minimum(np.searchsorted(buckets.keys, grams[at]), len(buckets.keys) - 1)
+                own = buckets.keys[bucket] == grams[at]
+                if not len(starts) or not own.any():
+                    continue
+                places, bucket = at[own], bucket[own]
+                order = np.argsort(bucket, kind="stable")
+                places, bucket = places[order], bucket[order]
+                first, last = np.searchsorted(starts, places - m + 1), np.searchsorted(starts, places, "right")
+                again = np.zeros(len(places), dtype=np.int64)
+                again[1:] = np.where(bucket[1:] == bucket[:-1], last[:-1], 0)
+                first = np.minimum(np.maximum(first, again), last)  # windows that the same anchor has named before
+                cut = np.flatnonzero(np.diff(np.cumsum(last - first) // PAIRS)) + 1
+                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(places)]):
+                    window, hit = expanded(first[a:b], last[a:b])
+                    if len(window):
+                        yield grams, starts[window], m, length, buckets, bucket[a:b][hit]
+
+    @staticmethod
+    def candidates(grams: np.ndarray, starts: np.ndarray, m: int, buckets: Buckets, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item) pairs of the windows within RADIUS bits of an item in their buckets, in order."""
+        distinct, number = np.unique(starts, return_inverse=True)
+        given, items = buckets.near(which, simhashes(grams, distinct, np.full(len(distinct), m))[number])
+        pairs = np.unique(np.stack([starts[given], items]), axis=1)
+        return pairs[0], pairs[1]
+
     def search(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window of each item that the text holds."""
         w = words(text)
         if not w or not len(self.sizes):
             return []
         best: dict[int, tuple[float, int, int]] = {}
-        for size, (grams, sums) in self.hits(w).items():
-            found = []
-            for k, n in enumerate(self.sizes.tolist()):
-                if min(SHINGLE, n) != size:
-                    continue
-                length = min(n, len(w))
-                need, m = self.need(n, length), length - size + 1
-                if sums[-1] < need:
-                    if n <= len(w):
-                        break  # larger sizes need more
-                    continue
-                starts = np.flatnonzero(sums[m:] - sums[:-m] >= need)
-                if len(starts):
-                    found.append(np.stack([starts, np.full(len(starts), m), np.full(len(starts), k), np.full(len(starts), length)]))
-            if not found:
-                continue
-            starts, counts, sizes, lengths = np.concatenate(found, axis=1)
-            windows: dict[tuple[int, int], Counter] = {}
-            for k, item in zip(*map(np.ndarray.tolist, self.near(sizes, simhashes(grams, starts, counts)))):
-                at, length = int(starts[k]), int(lengths[k])
-                own = windows.get((at, length))
-                if own is None:
-                    own = windows[at, length] = shingle_counts(w[at : at + length])
-                score = similarity(own, self.counts[item])
-                if score >= THRESHOLD and (item not in best or (-score, at) < (-best[item][0], best[item][1])):
-                    best[item] = (score, at, length)
-        return [(i, *b) for i, b in best.items()]
+        for grams, starts, m, length, buckets, which in self.named(w):
+            at, windows = -1, Counter()
+            for start, item in zip(*map(np.ndarray.tolist, self.candidates(grams, starts, m, buckets, which))):
+                if start != at:
+                    at, windows = start, shingle_counts(w[start : start + length])
+                score = similarity(windows, self.counts(item))
+                if score >= THRESHOLD and (item not in best or (-score, start) < (-best[item][0], best[item][1])):
+                    best[item] = (score, start, length)
+        return [(i, *best[i]) for i in sorted(best)]
 
 
 def blocks_of(benchmark: DataFrame, items: int = ITEMS):
