@@ -3,14 +3,15 @@
 Fixed-form matches (e-mail, IP, card, phone) are always reported. Further candidates are fixed-form
 matches that fail their check and looser forms (local phone numbers, social security numbers, IBANs,
 names after a title). Three labelers vote on every candidate (1 yes, -1 no, 0 don't know): *regex*
-(does it pass the strict form), *gazetteer* (known domains, country codes, issuers, names) and
-*context* (cue words before it). Expectation-maximisation over the counts of vote patterns estimates
-each labeler's reliability and each kind's share of true spans; its posteriors are the soft labels of
-a naive Bayes span classifier over bucketed span features, and that classifier decides which
-candidates are added, except that none is against the vote of the context labeler.
+(does it pass the strict form), *gazetteer* (domains and names that the corpus itself has in RECURS
+documents or more; numbering rules of countries and issuers) and *context* (cue words before it).
+Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each
+kind's share of true spans; its posteriors are the soft labels of a naive Bayes span classifier over
+bucketed span features, and that classifier alone decides which candidates are added.
 
 What reaches the driver is one count per kind and vote pattern (at most 8 * 27 rows) and one sum per
-kind, feature and bucket (a few hundred rows), whatever the size of the corpus.
+kind, feature and bucket (a few hundred rows), whatever the size of the corpus. Domains and names that
+recur are counted and joined back by Spark.
 
 Defined cases: a null text is empty and has no spans; texts are scanned whole and patterns have no
 unbounded repeated groups, so long runs don't exhaust the stack; overlapping spans of different kinds
@@ -28,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import lookup, table, written
 from tidemark.llm.quality import _let
 
 # Each pattern finds the same matches as the plain one beside it in PLAIN; possessive and bounded
@@ -51,18 +52,16 @@ TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra"
 LOOSE = {
     "ssn": r"(?<![0-9A-Za-z+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "local_phone": r"(?<![0-9A-Za-z+)-])(?<![0-9)][\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?<![A-Za-z])(?:{TITLES})\.?\x20[A-Z][a-z]{{1,20}}(?:\x20[A-Z][a-z]{{1,20}})?",
 }
 KINDS = [*PATTERNS, *LOOSE]
 
-# Gazetteers and cue words.
-TLDS = "com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us"
+# Numbering rules and cue words.
 ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[47]|6)"
 COUNTRY_CODES = r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 RESERVED = r"^(?:0|10|127|192\.168|169\.254|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
 IBAN_COUNTRIES = "^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"
-GIVEN_NAMES = "Anna|Carlos|David|Elena|Hans|Jean|John|José|Juan|Karl|Laura|Luis|Maria|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Sophie|Thomas|William"
 CUES = {
     "email": "e-?mail|contact|write to|kontakt|courriel|correo",
     "ip": r"\bip\b|address|host|server|client|adresse",
@@ -76,7 +75,13 @@ CUES = {
 ANTI = r"order|invoice|version|isbn|\bsku\b|serial|ticket|tracking|rechnung|facture|pedido|\bno\.$"
 CONTEXT = 40
 LABELERS = ("regex", "gazetteer", "context")
-ROUNDS, SMOOTHING, ADD_AT = 60, 1.0, 0.9
+ROUNDS, SMOOTHING, ADD_AT = 60, 1.0, 0.8
+#: First assumed reliability of the labelers, and its weight against the votes.
+RELIABLE, ANCHOR = 0.9, 0.25
+#: A domain or name in so many documents or more is known.
+RECURS = 3
+#: So many rows with known domains or names (about 100 bytes each) are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def matches(text: Column, kind: str) -> Column:
@@ -131,13 +136,31 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _gazetteer(kind: Column, value: Column) -> Column:
-    yes = {
-        "email": value.rlike(rf"\.(?:{TLDS})$"), "ip": ~value.rlike(RESERVED), "card": _digits(value).rlike(ISSUERS), "phone": value.rlike(COUNTRY_CODES),
-        "ssn": ~value.rlike("^(?:000|666|9)|-00-|-0000$"), "local_phone": value.rlike(r"^\(?[2-9]"), "iban": value.rlike(IBAN_COUNTRIES),
-        "name": value.rlike(rf"\x20(?:{GIVEN_NAMES})\b"),
+def _key(kind: Column, value: Column) -> Column:
+    """What is looked up among the corpus' own domains and names; null for other kinds."""
+    domain, name = F.lower(F.substring_index(value, "@", -1)), F.regexp_extract(value, r"\x20([A-Z][a-z]+)", 1)
+    return F.when(kind == "email", F.concat(F.lit("email "), domain)).when(kind == "name", F.concat(F.lit("name "), name))
+
+
+def mod97(value: Column) -> Column:
+    """An IBAN as a number modulo 97, which is 1 for a valid one."""
+    bare = F.replace(value, F.lit(" "))
+    moved = F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 4))
+
+    def add(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code >= 65, acc * 100 + code - 55).otherwise(acc * 10 + code - 48) % 97
+
+    return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _rules(kind: Column, value: Column) -> Column:
+    """The gazetteer's vote on numbers, by the rules of those who issue them: they refute, only a check sum confirms."""
+    good = {
+        "ip": ~value.rlike(RESERVED), "card": _digits(value).rlike(ISSUERS), "phone": value.rlike(COUNTRY_CODES),
+        "ssn": ~value.rlike("^(?:000|666|9)|-00-|-0000$"), "local_phone": value.rlike(r"^\(?[2-9]"), "iban": value.rlike(IBAN_COUNTRIES) & (mod97(value) == 1),
     }
-    return reduce(lambda rest, k: F.when(kind == k, F.when(yes[k], 1).otherwise(0 if k in ("email", "name") else -1)).otherwise(rest), yes, F.lit(0))
+    return reduce(lambda rest, k: F.when(kind == k, F.when(good[k], int(k == "iban")).otherwise(-1)).otherwise(rest), good, F.lit(0))
 
 
 def _context(kind: Column, before: Column) -> Column:
@@ -172,11 +195,11 @@ def candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             n = F.length(s["value"])
             return F.struct(
                 s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                regex.alias("regex"), _gazetteer(s["kind"], s["value"]).alias("gazetteer"), _context(s["kind"], before).alias("context"),
+                regex.alias("regex"), _rules(s["kind"], s["value"]).alias("gazetteer"), _context(s["kind"], before).alias("context"),
                 F.least(F.floor(n / 4), F.lit(12)).cast("int").alias("size"),
                 F.floor(4 * F.length(_digits(s["value"])) / n).cast("int").alias("digits"),
                 s["value"].rlike(r"[\x20()-]").cast("int").alias("separated"),
-                F.when(before.rlike(r"[:=]\x20*$"), 1).otherwise(0).alias("after_colon"),
+                F.when(before.rlike(r"[:=]\x20*$"), 1).otherwise(0).alias("after_colon"), _key(s["kind"], s["value"]).alias("key"),
             )
 
         return of
@@ -184,27 +207,46 @@ def candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return split.select(*keep, F.transform("_base", judged(True)).alias("base"), F.transform("_other", judged(False)).alias("loose"))
 
 
+def voted(found: DataFrame) -> DataFrame:
+    """Candidates numbered by ``_row``, with the gazetteer's votes on domains and names that recur in the corpus.
+
+    A key of very many documents is joined by broadcast and no key's rows meet in one task, see ``lookup``.
+    """
+    has_key = F.exists(F.concat("base", "loose"), lambda s: s["key"].isNotNull())
+    each = found.where(has_key).select("_row", F.explode(F.array_distinct(F.filter(F.transform(F.concat("base", "loose"), lambda s: s["key"]), lambda k: k.isNotNull()))).alias("key"))
+    each = written(each, "pii-keys")
+    recurring = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= RECURS)
+    known = written(lookup(each, recurring, "key", each.count(), how="inner").groupBy("_row").agg(F.collect_set("key").alias("_known")), "pii-known")
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    vote = lambda s: s.withField("gazetteer", F.when(s["key"].isNull(), s["gazetteer"]).when(F.array_contains("_known", s["key"]), 1).otherwise(0))
+    told = lambda c: F.when(F.col("_known").isNull(), F.col(c)).otherwise(F.transform(c, vote)).alias(c)
+    return found.join(known, "_row", "left").select(*[c for c in found.columns if c not in ("base", "loose")], told("base"), told("loose"))
+
+
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[str, tuple[int, ...]], float]:
     """Posterior that a candidate is true, by kind and vote pattern, from the patterns' counts.
 
-    Expectation-maximisation of a model in which the labelers vote independently given the truth. It
-    starts from labelers that are right more often than not.
+    Expectation-maximisation of a model in which labelers vote independently given the truth, each right
+    with a reliability of its own; that it doesn't vote says nothing. The first assumptions, that labelers
+    are right (RELIABLE) and that half of a kind's candidates are true, keep the weight of ANCHOR times a
+    labeler's votes and of all the kind's candidates, for the votes alone can't tell a kind with few true
+    spans from unreliable labelers.
     """
-    votes = (-1, 0, 1)
-    rate = [{y: {-1: 0.2 + 0.4 * (not y), 0: 0.2, 1: 0.2 + 0.4 * y} for y in (0, 1)} for _ in LABELERS]
-    prior = {kind: 0.5 for kind, _, _ in patterns}
+    sure = [RELIABLE] * len(LABELERS)
+    counts = {kind: sum(n for k, _, n in patterns if k == kind) for kind, _, _ in patterns}
+    prior = dict.fromkeys(counts, 0.5)
     post: dict = {}
     for _ in range(rounds):
         for kind, vote, _ in patterns:
-            odds = [math.log((1 - prior[kind], prior[kind])[y]) + math.fsum(math.log(rate[i][y][v]) for i, v in enumerate(vote)) for y in (0, 1)]
-            post[kind, vote] = 1 / (1 + math.exp(min(700.0, odds[0] - odds[1])))
-        for kind in prior:
-            own = [(post[k, v], n) for k, v, n in patterns if k == kind]
-            prior[kind] = (math.fsum(p * n for p, n in own) + SMOOTHING) / (sum(n for _, n in own) + 2 * SMOOTHING)
+            odds = math.log(prior[kind] / (1 - prior[kind])) + math.fsum(v * math.log(a / (1 - a)) for v, a in zip(vote, sure))
+            post[kind, vote] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        for kind, n in counts.items():
+            prior[kind] = (math.fsum(post[k, v] * m for k, v, m in patterns if k == kind) + n / 2 + SMOOTHING) / (2 * n + 2 * SMOOTHING)
         for i in range(len(LABELERS)):
-            for y in (0, 1):
-                weight = {v: SMOOTHING + math.fsum(n * (post[k, x] if y else 1 - post[k, x]) for k, x, n in patterns if x[i] == v) for v in votes}
-                rate[i][y] = {v: w / math.fsum(weight.values()) for v, w in weight.items()}
+            n = sum(m for _, v, m in patterns if v[i])
+            right = math.fsum(m * (post[k, v] if v[i] == 1 else 1 - post[k, v]) for k, v, m in patterns if v[i])
+            sure[i] = (right + RELIABLE * (ANCHOR * n + 2 * SMOOTHING)) / (n + ANCHOR * n + 2 * SMOOTHING)
     return post
 
 
@@ -242,10 +284,10 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), add_at: float =
     """The columns ``keep``, and base_spans and added_spans: arrays of (kind, start, end) in order of start.
 
     A candidate that fails a fixed form, or has a loose one, is added where the classifier gives it a
-    probability of ``add_at`` or more, with a cue word or without; only where the context labeler
-    votes against it (a word of ANTI and no cue) it is never added.
+    probability of ``add_at`` or more.
     """
-    found = written(candidates(docs, keep), "pii-candidates")
+    # numbered and written once, so that all that follows sees the same numbers
+    found = voted(written(candidates(docs, keep).withColumn("_row", F.monotonically_increasing_id()), "pii-candidates"))
     model = train(found)
     flat = [(f"{k}|{f}|{b}", w) for k, (_, weights) in model.items() for (f, b), w in weights.items()] or [("", 0.0)]
     weights = F.create_map(*[F.lit(x) for pair in flat for x in pair])
@@ -255,7 +297,7 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), add_at: float =
         terms = [F.coalesce(weights[F.concat_ws("|", s["kind"], F.lit(f), s[f])], F.lit(0.0)) for f in FEATURES]
         return sum(terms, F.coalesce(odds[s["kind"]], F.lit(0.0)))
 
-    added = F.filter("loose", lambda s: (s["context"] >= 0) & (score(s) >= math.log(add_at / (1 - add_at))))
+    added = F.filter("loose", lambda s: score(s) >= math.log(add_at / (1 - add_at)))
     slim = lambda x: F.transform(ordered(x), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.select(
