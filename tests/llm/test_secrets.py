@@ -45,3 +45,35 @@ def test_empty_table_and_no_samples(no_docs):
 ])
 def test_single_matches(text, base):
     assert [s[:3] for s in secrets.base_spans(text)] == base
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+JOIN = {"snake": "_".join, "kebab": "-".join, "path": "/".join, "camel": lambda w: w[0] + "".join(x.capitalize() for x in w[1:])}
+
+
+@pytest.fixture(scope="module")
+def corpus_model(spark, docs):
+    """Trained on half of the documents; the identifiers that it is tried on are made of words of the other half."""
+    return secrets.train(secrets.corpus_samples(docs.where("doc_id % 2 = 0")), joined=True)
+
+
+def test_added_spans_equal_brute_force(spark, docs, corpus_model):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["plain words", "é😀", "a_b-c/d", "".join(rng.choice(LETTERS) for _ in range(rng.randint(4, 40)))]) for _ in range(rng.randint(0, 9)))) for i in range(600)]
+    rows += [(10_000 + r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: [(s.start, s.end) for s in r.added_spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), corpus_model).collect()}
+    assert got == {i: secrets.brute_random(t, corpus_model) for i, t in rows}
+    assert sum(map(len, got.values())) > 500
+
+
+def test_false_alarms_and_recall_by_length(docs, corpus_model):
+    rng = random.Random(17)
+    words = [w for r in docs.where("doc_id % 2 = 1").select("text").collect() for w in (r.text or "").split() if w.isascii() and w.isalpha() and len(w) > 1]
+    hits = lambda strings: sum(bool(secrets.random_runs(s, corpus_model)) for s in strings) / len(strings)
+    for style, join in JOIN.items():
+        alarms = hits([join([rng.choice(words) for _ in range(rng.randint(1, 6))]) for _ in range(4000)])
+        print(style, alarms)
+        assert alarms < 0.01
+    found = {n: hits(["".join(rng.choice(LETTERS) for _ in range(n)) for _ in range(2000)]) for n in (8, 12, 16, 20, 32, 64)}
+    print(found)
+    assert found[16] > 0.9 and min(found[n] for n in (20, 32, 64)) > 0.98

@@ -1,10 +1,12 @@
 """Secret scan: fixed-form credentials, and random strings found by character Markov models.
 
 Two first-order character models are trained from labelled samples: strings known to be random
-(label true) and ordinary identifiers (label false). A run of key characters is reported as a
-``random`` span when its log-likelihood ratio between the two models is high enough. The transition
-counts of all samples are summed by Spark; what reaches the driver is one count per pair of
-characters and label, at most 2 * 97 * 97 rows whatever the size of the corpus.
+(label true) and ordinary identifiers (label false). A run of RUN_MIN or more key characters is reported
+as a ``random`` span when its log-likelihood ratio between the two models is above a limit for its length:
+ODDS, the odds that a run must overcome, and TAIL standard deviations above what ordinary identifiers of
+that length have. Both moments follow from the samples. The transition counts of all samples are summed by
+Spark; what reaches the driver is one count per pair of characters and label, at most 2 * 97 * 97 rows
+whatever the size of the corpus.
 
 Defined cases: a null text is empty and has no spans; texts are scanned whole; with no samples of
 either label the models are equal, so nothing is added; repeated rows give repeated results;
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,10 @@ HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
-#: Runs of key characters that are judged by the models, and the least ratio (in nats) of a random one.
-RUN_MIN, RATIO_MIN = 20, 25.0
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{RUN_MIN},}}")
+#: Runs of so many key characters or more are judged by the models.
+RUN_MIN = 8
+#: Least ratio (in nats) of a random run, and standard deviations that it lies above those of ordinary identifiers.
+ODDS, TAIL = 12.0, 6.0
 #: Symbols of the models: the edge of a string, the printable ASCII characters, and any other one.
 SYMBOLS = 97
 SPAN_SCHEMA = "array<struct<kind:string,start:int,end:int>>"
@@ -120,39 +124,100 @@ def labelled_samples(samples: DataFrame) -> DataFrame:
     return samples.select("text", "random").mapInArrow(_count_labelled, "random boolean, pair int, n long").groupBy("random", "pair").agg(F.sum("n").alias("n"))
 
 
-def train(counts: DataFrame, smoothing: float = 0.5, prior: float = 4.0) -> np.ndarray:
-    """Table of log P_random(b | a) - log P_ordinary(b | a) by symbol pair.
+@dataclass(frozen=True)
+class Models:
+    """log P_random(b | a) - log P_ordinary(b | a) by symbol pair, and its mean and deviation over ordinary identifiers' steps."""
+
+    table: np.ndarray
+    mean: float
+    deviation: float
+
+    def any(self) -> bool:
+        """Whether the two models differ."""
+        return bool(self.table.any())
+
+    def limit(self, length):
+        """Least ratio of a run of ``length`` characters that is reported."""
+        steps = length + 1
+        return np.maximum(ODDS, steps * self.mean + TAIL * self.deviation * np.sqrt(steps))
+
+
+def _joined(counts: np.ndarray) -> np.ndarray:
+    """Counts of words to which those of words joined to identifiers are added: a_b, a-b, a/b and aB.
+
+    Where a word ends and the next begins is known from the counts at their edges; for aB the first letters
+    are taken to be followed as elsewhere.
+    """
+    ends, begins = counts[:, 0].copy(), counts[0].copy()
+    out = counts.copy()
+    for mark in "_-/":
+        at = _CODES[ord(mark)]
+        out[:, at] += ends
+        out[at] += begins
+    low, high = (np.array([_CODES[ord(c)] for c in alphabet]) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    share = begins[low] / max(1, begins[low].sum())
+    out[:, high] += np.outer(ends, share)
+    out[high] += counts[low] * (begins[low] / np.maximum(1, counts[low].sum(axis=1)))[:, None]
+    return out
+
+
+def train(counts: DataFrame, smoothing: float = 0.5, prior: float = 4.0, joined: bool = False) -> Models:
+    """The models of the samples' counts; ``joined`` tells that ordinary samples are words, of which identifiers are made.
 
     Pairs back off to the frequency of their second symbol with the weight of ``prior`` samples.
     """
     table_ = np.zeros((2, SYMBOLS, SYMBOLS))
     for random, pair, n in counts.collect():  # at most 2 * SYMBOLS ** 2 rows
         table_[int(random)].flat[pair] = n
+    if joined:
+        table_[0] = _joined(table_[0])
     single = table_.sum(axis=1, keepdims=True) + smoothing
     single /= single.sum(axis=2, keepdims=True)
     p = np.log((table_ + prior * single) / (table_.sum(axis=2, keepdims=True) + prior))
-    return p[1] - p[0]
+    table, total = p[1] - p[0], max(1.0, table_[0].sum())
+    mean = float((table_[0] * table).sum() / total)
+    return Models(table, mean, math.sqrt(max(0.0, float((table_[0] * table * table).sum() / total) - mean * mean)))
 
 
-def ratio(model: np.ndarray, run: str) -> float:
+def ratio(model: Models, run: str) -> float:
     """Log-likelihood ratio of a string, in nats; above 0 it looks random."""
     codes = _CODES[np.frombuffer(b"\n" + run.encode() + b"\n", dtype=np.uint8)]
-    return math.fsum(model[codes[:-1], codes[1:]])
-
-
-def find(text: str | None, model: np.ndarray) -> tuple[list, list]:
+    return math.fsum(model.table[codes[:-1], codes[1:]])
+
+
+_IS_RUN = np.frombuffer(_RUN_MARKS, dtype=np.uint8) == 120
+
+
+def random_runs(text: str, model: Models) -> list[tuple[int, int]]:
+    """Start and end, in code points, of the runs whose ratio reaches their limit; all runs of a text are judged at once."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], _IS_RUN[data], [False]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    long = end - start >= RUN_MIN
+    start, end = start[long], end[long]
+    if not len(start):
+        return []
+    codes = _CODES[data]
+    sums = np.concatenate([[0.0], np.cumsum(model.table[codes[:-1], codes[1:]])])
+    score = sums[end - 1] - sums[start] + model.table[0, codes[start]] + model.table[codes[end - 1], 0]
+    out = []
+    for k in np.flatnonzero(score >= model.limit(end - start) - 1e-3).tolist():  # sums of long texts are rounded
+        a, b = int(start[k]), int(end[k])
+        if ratio(model, data[a:b].tobytes().decode()) >= model.limit(b - a):
+            at = len(data[:a].tobytes().decode())
+            out.append((at, at + b - a))
+    return out
+
+
+def find(text: str | None, model: Models) -> tuple[list, list]:
     """(fixed-form spans, spans that the models add), each (kind, start, end)."""
     text = text or ""
-    data = text.encode()
-    spans = base_spans(text, data)
-    added = []
-    if b"x" * RUN_MIN in data.translate(_RUN_MARKS):
-        rest = _blanked(text, spans) if spans else text
-        added = [("random", *m.span()) for m in RUN.finditer(rest) if ratio(model, m[0]) >= RATIO_MIN]
-    return [s[:3] for s in spans], added
+    spans = base_spans(text)
+    rest = _blanked(text, spans) if spans else text
+    return [s[:3] for s in spans], [("random", a, b) for a, b in random_runs(rest, model)]
 
 
-def scan(docs: DataFrame, model: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, model: Models, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and, per document, base_spans and added_spans: arrays of (kind, start, end)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SYMBOLS ** 2 numbers
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -177,7 +242,7 @@ def listed(spans):
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of ``documents``; the models learn from the same corpus."""
     docs = table(spark, sf_dir, "documents")
-    rows = scan(docs, train(corpus_samples(docs)))
+    rows = scan(docs, train(corpus_samples(docs), joined=True))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(
         "doc_id", count("assign"), count("access"), count("hex"),
@@ -187,6 +252,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def brute_random(text: str | None, model: Models) -> list[tuple[int, int]]:
+    """The random runs of one text, run by run; for tests."""
+    text = text or ""
+    rest = _blanked(text, base_spans(text))
+    found = re.finditer(rf"[A-Za-z0-9+/_=-]{{{RUN_MIN},}}", rest)
+    return [m.span() for m in found if ratio(model, m[0]) >= max(ODDS, (len(m[0]) + 1) * model.mean + TAIL * model.deviation * math.sqrt(len(m[0]) + 1))]
+
+
 def brute_force(text: str | None) -> dict:
     """The fixed-form results of one text, straight from the patterns; for tests."""
     text, spans = text or "", []
