@@ -4,7 +4,8 @@ Two first-order character models are trained from labelled samples: strings know
 (label true) and ordinary identifiers (label false). A run of RUN_MIN or more key characters is reported
 as a ``random`` span when its log-likelihood ratio between the two models is above a limit for its length:
 ODDS, the odds that a run must overcome, and TAIL standard deviations above what ordinary identifiers of
-that length have. Both moments follow from the samples. The transition counts of all samples are summed by
+that length have. Both moments follow from the samples. A run without a letter is a number and isn't
+reported. The transition counts of all samples are summed by
 Spark; what reaches the driver is one count per pair of characters and label, at most 2 * 97 * 97 rows
 whatever the size of the corpus.
 
@@ -203,7 +204,8 @@ def random_runs(text: str, model: Models) -> list[tuple[int, int]]:
     out = []
     for k in np.flatnonzero(score >= model.limit(end - start) - 1e-3).tolist():  # sums of long texts are rounded
         a, b = int(start[k]), int(end[k])
-        if ratio(model, data[a:b].tobytes().decode()) >= model.limit(b - a):
+        run = data[a:b].tobytes().decode()
+        if re.search("[A-Za-z]", run) and ratio(model, run) >= model.limit(b - a):
             at = len(data[:a].tobytes().decode())
             out.append((at, at + b - a))
     return out
@@ -257,7 +259,7 @@ def brute_random(text: str | None, model: Models) -> list[tuple[int, int]]:
     text = text or ""
     rest = _blanked(text, base_spans(text))
     found = re.finditer(rf"[A-Za-z0-9+/_=-]{{{RUN_MIN},}}", rest)
-    return [m.span() for m in found if ratio(model, m[0]) >= max(ODDS, (len(m[0]) + 1) * model.mean + TAIL * model.deviation * math.sqrt(len(m[0]) + 1))]
+    return [m.span() for m in found if any(c.isalpha() for c in m[0]) and ratio(model, m[0]) >= max(ODDS, (len(m[0]) + 1) * model.mean + TAIL * model.deviation * math.sqrt(len(m[0]) + 1))]
 
 
 def brute_force(text: str | None) -> dict:
