@@ -36,6 +36,8 @@ HOP = "key int, chunk long, part int, n int, data binary, more binary"
 HOP_SCHEMA = pa.schema([("key", pa.int32()), ("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 #: The part of the row that has a chunk's own documents; it sorts before the answers.
 OWN = -1
+#: Encoded words that a task remembers; beyond that it starts anew, so its memory is bounded whatever its part of the words.
+KNOWN = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,6 +94,8 @@ def _encode(ranks, pattern: str):
                     for w in unpack_strings(data):
                         ids = known.get(w)
                         if ids is None:
+                            if len(known) >= KNOWN:
+                                known.clear()
                             ids = known[w] = tuple(encoding.encode_ordinary(w.decode()))
                         found.append(ids)
                     lengths = np.fromiter(map(len, found), dtype=np.uint32, count=n)
