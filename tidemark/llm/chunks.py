@@ -225,15 +225,17 @@ def ranges_of(text_bytes: int, parts: int) -> int:
     return min(MOST_RANGES, max(parts, -(-text_bytes // RANGE_BYTES)))
 
 
+def dealt(requests: DataFrame, parts: int, ranges: int) -> DataFrame:
+    """The requests in ``parts`` tasks, each of which gets its ranges in order and so can hold one at a time."""
+    return requests.repartitionById(parts, F.expr(f"CAST(CAST(part AS BIGINT) * {parts} DIV {ranges} AS INT)")).sortWithinPartitions("part")
+
+
 def answers(requests: DataFrame, answer, parts: int, ranges: int) -> DataFrame:
     """(chunk, answers): what ``answer`` yields for the requests of each range, gathered by chunk, in order of ranges.
 
-    The ranges are dealt to ``parts`` tasks, each of which gets its own in order, so that ``answer`` holds
-    one range at a time however many there are (see :func:`by_range`). There is one answer for each range
-    at most, so a chunk's list is bounded by the chunk.
+    There is one answer for each range at most, so a chunk's list is bounded by the chunk.
     """
-    dealt = requests.repartitionById(parts, F.expr(f"CAST(CAST(part AS BIGINT) * {parts} DIV {ranges} AS INT)")).sortWithinPartitions("part")
-    found = dealt.mapInArrow(answer, REQUEST)
+    found = dealt(requests, parts, ranges).mapInArrow(answer, REQUEST)
     return found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n", "data", "more"))).alias("answers"))
 
 
