@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of ``documents``. :func:`run` writes each stage's result to the shared folder and
 reads it back, so a lost executor costs at most one stage.
+
+Defined cases for every stage: an empty table gives no rows; rows with null ids, languages or sources are
+documents like others (null languages and sources are a group); further columns pass through all but the
+last stage, whatever their names; texts are used whole.
 """
 
 from __future__ import annotations
@@ -14,27 +18,30 @@ from tidemark.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; so do null, empty and blank texts, which have no words."""
     return quality.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
+    """Of each component of near-duplicates the document with the smallest id stays, of repeated ids one row.
+
+    Links are those of operator 4: fingerprints of three-word shingles that differ in three bits or fewer.
+    """
     return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of ``benchmark`` go."""
+    """Documents that hold an item of ``benchmark`` go; with no items all stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind in brackets."""
+    """Personal data in the texts is replaced by its kind in brackets; n_chars follows, a null text stays null."""
     return pii.without_personal_data(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids and their round trip."""
+    """Each document's ids and their round trip; a null text has no ids."""
     return bpe.round_trip(docs, *bpe.public_ranks())
 
 
