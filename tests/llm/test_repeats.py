@@ -180,6 +180,23 @@ def test_many_ranges_and_chunks(spark, monkeypatch, many):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.without_repeats(frame, 40, 5).collect()) == brute_bytes(docs, 40)
 
 
+def test_crowded_chunks_are_checked_in_turns(spark, monkeypatch):
+    """Nearly all claims are on the texts of the first chunk; no turn gets them all, and all are checked."""
+    monkeypatch.setattr(substrings, "CLAIMS", 3)
+    docs = corpus(9, ["a", "b", "c", "é"], 150)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(frame, 6).collect())
+    assert got == brute_words(docs, 6)
+
+
+def test_sources_that_share_an_id(spark):
+    """Edges that follow each other at the coordinates of an id, but in two documents that have it."""
+    docs = [(7, "q q q q q a b c d e f z"), (7, "r r r r r r b c d e f g"), (9, "a b c d e f g")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(frame, 6).collect())
+    assert got == brute_words(docs, 6) and got[9, 7, 7, ""] == 1
+
+
 @pytest.mark.parametrize("prime", [2, 3, 5, 7, 13, 17])
 def test_difference_cover_has_every_difference(prime):
     cover, period = suffixes.difference_cover(prime), prime * prime + prime + 1

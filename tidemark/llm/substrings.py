@@ -18,8 +18,10 @@ claims with very many pieces are joined by broadcast, of which there are at most
 a table bucketed by chunk and are never shuffled.
 
 Edges are found by 64-bit hashes of 64-bit word hashes, and words go only if they are those of the source.
-A piece that isn't verified holds an edge whose hash another edge has; then all edges are looked up again under
-other hashes, and the results of both count, until every piece is verified.
+A piece that isn't verified is cut to its edges and they are checked: where documents share an id, edges may follow
+each other at that id's coordinates that no one document holds together. An edge that still isn't verified has the
+hash of another; then all edges are looked up again under other hashes, and the results of both count, until
+every edge is verified.
 
 Defined cases: a null text has no words; documents of under K words keep all; a null id counts as
 larger than any other and is the source of no removal; rows with the same id aren't smaller than each
@@ -182,6 +184,28 @@ def _pack_edges(k: int, salt: int):
     return run
 
 
+def _cut(k: int):
+    """Pieces, cut to their edges."""
+
+    def run(batches):
+        def rows():
+            for chunk, n, ids, texts, found in rows_of(batches):
+                texts, held = documents_of(n, ids, texts)[1], {}
+                for s in found:
+                    held.setdefault(s["row"], []).append(s)
+                for d, own in held.items():
+                    w = texts[d].split()
+                    for s in own:
+                        for e in range(s["n_words"] - k + 1):
+                            at = s["first_word"] + e
+                            yield chunk, d, at, k, s["source"], s["source_word"] + e, content(w[at : at + k])
+
+        yield from batches_of(rows(), PATH_SCHEMA, 1 << 20)
+        tidy()
+
+    return run
+
+
 OWNER_SCHEMA = pa.schema([("source", pa.int64()), ("chunk", pa.int64())])
 
 
@@ -241,20 +265,54 @@ def _remove(batches):
 PLACE = ["chunk", "row", "first_word", "n_words", "source", "source_word"]
 
 
+def checked(claims: DataFrame, total: int, rows: DataFrame) -> DataFrame:
+    """The claims, ``total`` in number, whose words are at their source.
+
+    Sources and chunks that hold very many claims are joined by broadcast. A chunk with over CLAIMS of them is
+    checked in turns, dealt by the claims' hashes: its texts are copied once for each, and each is a row of its own.
+    """
+    columns = ["source", "source_word", "n_words", "content"]
+    sizes = claims.groupBy("source").agg(F.count(F.lit(1)).alias("_size"))
+    owners = rows.select("chunk", "n", "ids").mapInArrow(_owners, "source long, chunk long")
+    owners = written(owners.join(sizes, "source"), "debruijn-owners")
+    placed = written(lookup(claims.select(*columns), owners, "source", total, how="inner", size="_size"), "debruijn-placed")
+    asked = placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("_size"))
+    asked = written(asked.withColumn("turns", F.ceil(F.col("_size") / CLAIMS).cast("int")), "debruijn-turns")
+    turn = F.pmod(F.xxhash64(*columns), F.col("turns")).cast("int")
+    lists = lookup(placed, asked, "chunk", placed.count(), how="inner", size="_size").withColumn("turn", turn)
+    lists = written(lists.groupBy("chunk", "turns", "turn").agg(F.collect_list(F.struct(*columns)).alias("claims")), "debruijn-asked")
+    one = rows.join(lists.where("turns = 1"), "chunk")
+    more = asked.where("turns > 1").select("chunk", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    more = rows.join(more, "chunk").join(lists.where("turns > 1"), ["chunk", "turn"])
+    needed = ["n", "ids", "texts", "claims"]
+    return one.select(*needed).unionByName(more.select(*needed)).mapInArrow(_verify, CLAIM).distinct()
+
+
+def verified(every: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The pieces whose words are at their source, and the others, if there are any."""
+    columns = ["source", "source_word", "n_words", "content"]
+    claim = F.concat_ws(":", F.hex("content"), "source", "source_word", "n_words").alias("claim")
+    claims = written(every.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "debruijn-claims")
+    total, named, n = claims.count(), every.withColumn("claim", claim), every.count()
+    good = written(checked(claims, total, rows).join(claims, columns).select(claim, "_n"), "debruijn-verified")
+    found = lookup(named, good, "claim", n, how="inner").select(*PLACE)
+    if good.count() == total:
+        return found, None
+    bad = claims.select(claim, "_n").join(good.select("claim"), "claim", "left_anti")
+    return found, lookup(named, written(bad, "debruijn-unverified"), "claim", n, how="inner").select(*PLACE)
+
+
 def pieces(rows: DataFrame, k: int, parts: int, ranges: int, salt: int) -> tuple[DataFrame, bool]:
     """The verified pieces of a chunk table, with their own coordinates and the source's, and whether all are verified."""
     found = answers(rows.select("chunk", "n", "ids", "texts").mapInArrow(_ask(ranges, k, salt), REQUEST), _answer, parts, ranges)
     every = written(rows.join(found, "chunk", "left").select("chunk", "n", "ids", "texts", "answers").mapInArrow(_pack_edges(k, salt), PATH), "debruijn-pieces")
-    columns = ["source", "source_word", "n_words", "content"]
-    claim = F.concat_ws(":", F.hex("content"), "source", "source_word", "n_words")
-    claims = written(every.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")), "debruijn-claims")
-    owners = rows.select("chunk", "n", "ids").mapInArrow(_owners, "source long, chunk long")
-    turn = F.floor((F.row_number().over(Window.partitionBy("chunk").orderBy("source", "source_word")) - 1) / CLAIMS)
-    asked = claims.join(owners, "source").withColumn("turn", turn).groupBy("chunk", "turn").agg(F.collect_list(F.struct(*columns)).alias("claims"))
-    checked = rows.join(asked, "chunk").select("n", "ids", "texts", "claims").mapInArrow(_verify, CLAIM).distinct()
-    good = written(checked.join(claims, columns).select(claim.alias("claim"), "_n"), "debruijn-verified")
-    verified = lookup(every.withColumn("claim", claim), good, "claim", every.count(), how="inner").select(*PLACE)
-    return verified, good.count() == claims.count()
+    good, rest = verified(every, rows)
+    if rest is None:
+        return good, True
+    rest = rest.groupBy("chunk").agg(F.collect_list(F.struct("row", "first_word", "n_words", "source", "source_word")).alias("cut"))
+    single = written(rows.join(rest, "chunk").select("chunk", "n", "ids", "texts", "cut").mapInArrow(_cut(k), PATH), "debruijn-edges")
+    more, rest = verified(single, rows)
+    return good.unionByName(more), rest is None
 
 
 def compacted(found: DataFrame, k: int) -> DataFrame:
