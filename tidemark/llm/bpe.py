@@ -38,6 +38,8 @@ HOP_SCHEMA = pa.schema([("key", pa.int32()), ("chunk", pa.int64()), ("part", pa.
 OWN = -1
 #: Encoded words that a task remembers; beyond that it starts anew, so its memory is bounded whatever its part of the words.
 KNOWN = 1 << 20
+#: Parts that words are dealt into at most: a chunk has a row for each, which should hold more than a handful of words.
+MOST_WORD_PARTS = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -155,11 +157,11 @@ def _reassemble(batches):
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers, see :func:`as_array`)."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    words = partitions(spark, MOST_WORD_PARTS)
     sent = spark.sparkContext.broadcast(ranks)
-    asked = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_explode(pattern, parts), HOP)
-    answered = asked.repartitionById(parts, F.col("key")).mapInArrow(_encode(sent, pattern), HOP)
-    return answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
+    asked = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_explode(pattern, words), HOP)
+    answered = asked.repartitionById(words, F.col("key")).mapInArrow(_encode(sent, pattern), HOP)
+    return answered.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
 
 
 def as_array(ids: bytes) -> np.ndarray:

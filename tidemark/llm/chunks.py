@@ -226,7 +226,8 @@ def ranges_of(text_bytes: int, parts: int) -> int:
 
 
 def dealt(requests: DataFrame, parts: int, ranges: int) -> DataFrame:
-    """The requests in ``parts`` tasks, each of which gets its ranges in order and so can hold one at a time."""
+    """The requests in up to ``parts`` tasks, each of which gets its ranges in order and so can hold one at a time."""
+    parts = min(parts, ranges)
     return requests.repartitionById(parts, F.expr(f"CAST(CAST(part AS BIGINT) * {parts} DIV {ranges} AS INT)")).sortWithinPartitions("part")
 
 

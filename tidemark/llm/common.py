@@ -25,8 +25,12 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
 
 
-def partitions(spark: SparkSession, most: int = 4096) -> int:
-    """Number of parts a keyed exchange is dealt into."""
+#: Spark's limit on the buckets of a table, as spark.sql.sources.bucketing.maxBuckets has it.
+MOST_PARTS = 100_000
+
+
+def partitions(spark: SparkSession, most: int = MOST_PARTS) -> int:
+    """Number of parts a keyed exchange is dealt into: the session's number of shuffle partitions."""
     return max(1, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
