@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, lm, pii, quality, secrets, simhash, substrings, suffixes, warc
+from tidemark.llm import bpe, decontaminate, lm, pii, quality, secrets, simhash, substrings, suffixes, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_recurrent_lm": lm.op8_recurrent_lm,
         "op9_warc": warc.op9_warc,
         "op10_debruijn": substrings.op10_debruijn,
+        "op12_whitening": whitening.op12_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
