@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, lm, pii, quality, secrets, simhash, substrings, suffixes, warc, whitening
+from tidemark.llm import bpe, decontaminate, lm, oddsketch, pii, quality, secrets, simhash, substrings, suffixes, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_debruijn": substrings.op10_debruijn,
         "op12_whitening": whitening.op12_whitening,
+        "op13_odd_sketch": oddsketch.op13_odd_sketch,
         "pipeline": corpus_pipeline.run,
     }
 
