@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, lm, oddsketch, pii, quality, secrets, simhash, substrings, suffixes, warc, whitening
+from tidemark.llm import bpe, collocations, decontaminate, lm, oddsketch, pii, quality, secrets, simhash, substrings, suffixes, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_recurrent_lm": lm.op8_recurrent_lm,
         "op9_warc": warc.op9_warc,
         "op10_debruijn": substrings.op10_debruijn,
+        "op11_collocations": collocations.op11_collocations,
         "op12_whitening": whitening.op12_whitening,
         "op13_odd_sketch": oddsketch.op13_odd_sketch,
         "pipeline": corpus_pipeline.run,
