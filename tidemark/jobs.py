@@ -1,18 +1,23 @@
 """The jobs: finalize records, release locks, delete settled proofs and coordinator rows, reconcile.
 
 Each job freezes its boundary before it looks for targets and keeps it in the store's pointer, so a rerun
-works with the same one. A target is published together with its mark of completion, and only if no other
-job has changed it meanwhile; otherwise its work is done again on what is live now. Only files that hold
-selected rows are written anew. Counts are those of the run at hand.
+works with the same one; of several writers that begin a run, one stores its boundary and the others take it
+over. A target is published together with its mark of completion, and only if no other job has changed it
+meanwhile; otherwise its work is done again on what is live now. Only files that hold selected rows are
+written anew, and of a table laid out by age a deletion reads no more than the boundary's own bucket. Counts
+are those of the run at hand.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import tokens
@@ -21,10 +26,10 @@ from tidemark.operators import locks as lock_ops
 from tidemark.operators import recovery, retention, watermarks
 from tidemark.operators.audit import unsafe_coordinator_deletes, unsafe_proof_deletes
 from tidemark.operators.predicates import coordinator_deletable, guarded, needs_finalization, needs_release, proof_deletable
-from tidemark.schemas import COORDINATOR, DEFAULT_NAMESPACE, LEDGER, LOCKS, PROOFS, TRANSACTION_COLUMNS, WATERMARKS, TableSpec
+from tidemark.schemas import ABORTED, COORDINATOR, DEFAULT_NAMESPACE, LEDGER, LOCKS, PROOFS, TRANSACTION_COLUMNS, WATERMARKS, TableSpec
 from tidemark.sources import discovery
 from tidemark.sources.shared import written
-from tidemark.sources.snapshot import LostUpdate, Store
+from tidemark.sources.snapshot import AGE, LostUpdate, Store
 
 COORDINATOR_TABLE, PROOF_TABLE, REGISTRY_TABLE, WATERMARK_TABLE = "coordinator_state", "request_proof", "namespace", "watermarks"
 LOCK_TABLE = "asset_lock"
@@ -55,11 +60,14 @@ def _now() -> int:
 
 
 def _begin(store: Store, run: str, fresh: dict) -> dict:
-    """The run's stored state; ``fresh`` is stored first if there is none."""
+    """The run's stored state; ``fresh`` is stored first if there is none, unless another writer is faster."""
     state = store.run(run)
-    if state is None:
-        state = fresh
-        store.publish({}, {run: state})
+    while state is None:
+        try:
+            store.publish({}, {run: fresh}, fresh_runs=True)
+            return fresh
+        except LostUpdate:
+            state = store.run(run)
     return state
 
 
@@ -107,32 +115,69 @@ def progress(spark: SparkSession, state: dict) -> DataFrame:
     return spark.createDataFrame(rows, "target string, completed boolean").agg(F.count(F.lit(1)).alias("targets"), F.count_if("completed").alias("completed"))
 
 
-def _each_target(state: dict, report: RunReport, work) -> None:
-    """All pending targets are tried; the first failure is raised when the others are done, and carries the rest."""
-    first = None
-    for target in state["targets"]:
-        if target in state["completed"]:
-            continue
+def _each_target(spark: SparkSession, state: dict, report: RunReport, work: Callable[[str], None], at_once: int) -> None:
+    """All pending targets are tried, ``at_once`` of them together; the first failure is raised when all are done, and carries the rest.
+
+    Under the fair scheduler targets share the cluster evenly, as each has a pool of its own.
+    """
+
+    def one(target: str) -> Exception | None:
         try:
-            work(target)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", target)
+            return work(target)
         except Exception as error:  # noqa: BLE001
-            report.failures[target] = str(error)
-            if first is None:
-                first = error
-            else:
-                first.add_note(f"{target}: {error}")
-    if first is not None:
-        raise first
+            return error
+
+    pending = [t for t in state["targets"] if t not in state["completed"]]
+    if at_once > 1:
+        with ThreadPoolExecutor(at_once) as pool:
+            found = [f.result() for f in [pool.submit(inheritable_thread_target(one), t) for t in pending]]
+    else:
+        pool_before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+        found = [one(t) for t in pending]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool_before)
+    failed = {t: e for t, e in zip(pending, found) if e is not None}
+    report.failures.update({t: str(e) for t, e in failed.items()})
+    if failed:
+        first, *others = failed
+        for t in others:
+            failed[first].add_note(f"{t}: {failed[t]}")
+        raise failed[first]
+
+
+def _completed(state: dict, target: str, resolved: dict | None = None) -> dict:
+    """The run's state with one more mark; marks of others are kept when it is published."""
+    return state | {"completed": [target]} | ({"resolved": {target: resolved}} if resolved else {})
+
+
+def _scanned(store: Store, table: str, entry: list[dict]) -> int:
+    """Rows of a table: from the frames of rows by file where it has them, else from the files' footers."""
+    if all(s.get("age") for s in entry):
+        return store.rows_of_files(table, entry).agg(F.sum("n")).first()[0] or 0
+    return store.read(table, entry=entry).count()
+
+
+def _unresolved(state: dict | None, target: str, entry: list[dict], spec: TableSpec) -> dict[str, Column]:
+    """Where an earlier run has left something to do, by segment: from the age up that it has left undecided; new segments have none."""
+    told = ((state or {}).get("resolved") or {}).get(target)
+    if not told:
+        return {}
+    later, out = F.col(spec.age_col) >= told["from_ms"], {}
+    for s in entry:
+        if s["at"] in told["segments"]:
+            out[s["at"]] = later & (F.col(AGE) >= told["from_ms"] // s["age"]["width"]) if s.get("age") else later
+    return out
 
 
 def finalize_records(
     spark: SparkSession, store: Store, now_ms: int | None = None, expiry_ms: int = recovery.EXPIRY_MS, spec: TableSpec = LEDGER, run: str = "ledger",
-    recover_fn: recovery.Recovery | None = None, coordinator_spec: TableSpec = COORDINATOR, domain: str = DEFAULT_NAMESPACE,
+    recover_fn: recovery.Recovery | None = None, coordinator_spec: TableSpec = COORDINATOR, domain: str = DEFAULT_NAMESPACE, at_once: int = 1, after: str | None = None,
 ) -> RunReport:
     """Drive in-doubt records of every transactional table to a final state and emit the ledger's token.
 
     ``recover_fn`` gives the in-doubt records their action; the default joins them with the transactions'
-    outcomes.
+    outcomes. ``at_once`` targets are worked on together. ``after`` names a finished earlier run: in segments that
+    it has seen only records are looked for that it has left undecided or that were too new for it.
     """
     started = _now() if now_ms is None else now_ms
     state = store.run(run)
@@ -140,13 +185,31 @@ def finalize_records(
         state = _begin(store, run, {"started_at_ms": started, "targets": discovery.required(ledger_tables(store)), "completed": []})
     boundary = state["started_at_ms"]
     report, chosen = RunReport(boundary), needs_finalization(boundary, spec.state_col, spec.age_col)
+    earlier = store.run(after) if after else None
 
     def resolve(records: DataFrame, coordinator: DataFrame, boundary_ms: int, at_ms: int) -> DataFrame:
         return recovery.resolve(records, coordinator, boundary_ms, at_ms, expiry_ms, spec, thin=True)
 
+    def with_aborts(told: DataFrame, seen: list[dict]) -> tuple[list[dict], list[dict]] | None:
+        """The coordinator's segments now and with the new abort rows; None if there are none."""
+        aborts = recovery.new_aborts(told, max(started, boundary))
+        if aborts.isEmpty():
+            return None
+        entry = store.entry(COORDINATOR_TABLE)
+        coordinator = store.read(COORDINATOR_TABLE, entry=entry)
+        fresh = [s for s in entry if s not in seen]
+        if fresh:  # outcomes that came since the records were judged
+            came = coordinator_spec.named(store.read(COORDINATOR_TABLE, entry=fresh)).join(aborts.select("tx_id"), "tx_id", "left_semi")
+            if not came.where(~F.col(coordinator_spec.state_col).eqNullSafe(ABORTED)).isEmpty():
+                raise LostUpdate("an outcome came while records were judged")
+            aborts = aborts.join(came.select("tx_id"), "tx_id", "left_anti")
+        rows = coordinator_spec.coded(aborts).select(*coordinator_spec.struct().names)
+        rows = rows.select([F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in coordinator.dtypes])
+        return entry, store.appended(COORDINATOR_TABLE, rows, entry)
+
     def once(target: str) -> None:
         seen = {t: store.entry(t) for t in (target, COORDINATOR_TABLE)}
-        records = spec.check(store.read(target, entry=seen[target]))
+        spec.check(store.read(target, entry=seen[target]))
         coordinator = coordinator_spec.named(coordinator_spec.check(store.read(COORDINATOR_TABLE, entry=seen[COORDINATOR_TABLE])))
         told: list[DataFrame] = []
 
@@ -154,21 +217,22 @@ def finalize_records(
             told.append(written((recover_fn or resolve)(rows.where(chosen), coordinator, boundary, started), "finalize-resolved"))
             return spec.coded(rows.where(~chosen).unionByName(recovery.applied(told[0], spec)))
 
-        fresh = store.revised(target, seen[target], chosen, change, spec.named)
-        changed, changes = 0, {}
+        narrow = _unresolved(earlier, target, seen[target], spec)
+        fresh = store.revised(target, seen[target], chosen, change, spec.named, **({"narrow": narrow} if narrow else {}))
+        changed, undecided = 0, None
         if fresh is not None:
-            changed, changes[target] = recovery.counts(told[0]).first()["finalized"], fresh
-            aborts = recovery.new_aborts(told[0], max(started, boundary))
-            if not aborts.isEmpty():
-                rows = coordinator_spec.coded(aborts).select(*coordinator_spec.struct().names)
-                rows = rows.select([F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in coordinator.dtypes])
-                changes[COORDINATOR_TABLE] = store.appended(COORDINATOR_TABLE, rows, seen[COORDINATOR_TABLE])
-        mark = state | {"completed": [*state["completed"], target]}
-        store.publish(changes, {run: mark}, based_on={t: seen[t] for t in changes})
-        state["completed"] = mark["completed"]
-        report.counts[target] = {"scanned": records.count(), "changed": changed}
-
-    _each_target(state, report, lambda target: _again(lambda: once(target)))
+            row = told[0].agg(F.count_if(recovery.finalized()).alias("n"), F.min(F.when(~recovery.finalized(), F.col(spec.age_col))).alias("from_ms")).first()
+            changed, undecided = row["n"], row["from_ms"]
+        left = {"from_ms": min(x for x in (boundary, undecided) if x is not None), "segments": [s["at"] for s in fresh or seen[target]]}
+        with store.lock:  # targets that are worked on together add their abort rows one after the other
+            changes, based_on = ({}, {}) if fresh is None else ({target: fresh}, {target: seen[target]})
+            added = with_aborts(told[0], seen[COORDINATOR_TABLE]) if told else None
+            if added:
+                based_on[COORDINATOR_TABLE], changes[COORDINATOR_TABLE] = added
+            store.publish(changes, {run: _completed(state, target, left)}, based_on=based_on)
+        report.counts[target] = {"scanned": _scanned(store, target, seen[target]), "changed": changed}
+
+    _each_target(spark, state, report, lambda target: _again(lambda: once(target)), at_once)
     report.token = _record(spark, store, tokens.LEDGER, boundary, domain)
     return report
 
@@ -191,7 +255,7 @@ def all_locks(store: Store) -> DataFrame | None:
 
 def finalize_locks(
     spark: SparkSession, store: Store, base: str, now_ms: int | None = None, recover_fn: lock_ops.Recovery = lock_ops.expired,
-    wait_s: float = lock_ops.WAIT_S, run: str = "auditor", domain: str = DEFAULT_NAMESPACE,
+    wait_s: float = lock_ops.WAIT_S, run: str = "auditor", domain: str = DEFAULT_NAMESPACE, at_once: int = 1,
 ) -> RunReport:
     """Release stranded locks of every namespace and emit the auditor's token."""
     started = lock_boundary(_now() if now_ms is None else now_ms)
@@ -206,35 +270,45 @@ def finalize_locks(
         chosen = written(lock_ops.candidates(held, boundary), "lock-candidates")
         done = lock_ops.recover(chosen, recover_fn, wait_s=wait_s)
         fresh = store.revised(table, entry, needs_release(boundary), lambda rows: lock_ops.released(rows, done, thin=True).drop("ns"), with_ns)
-        mark = state | {"completed": [*state["completed"], namespace]}
         changes = {} if fresh is None else {table: fresh}
-        store.publish(changes, {run: mark}, based_on={t: entry for t in changes})
-        state["completed"] = mark["completed"]
-        report.counts[namespace] = {"scanned": held.count(), "changed": done.count()}
+        store.publish(changes, {run: _completed(state, namespace)}, based_on={t: entry for t in changes})
+        report.counts[namespace] = {"scanned": _scanned(store, table, entry), "changed": done.count()}
 
-    _each_target(state, report, lambda namespace: _again(lambda: once(namespace)))
+    _each_target(spark, state, report, lambda namespace: _again(lambda: once(namespace)), at_once)
     report.token = _record(spark, store, tokens.AUDITOR, boundary, domain)
     return report
 
 
-def _delete(store: Store, run: str, table: str, spec: TableSpec, boundary: int, deletable) -> RunReport:
-    """Delete the selected rows: one pass finds the files that hold any, a second one writes what stays of those."""
+def _delete(store: Store, run: str, table: str, spec: TableSpec, boundary: int, deletable, safe: Callable[[int], None] | None = None) -> RunReport:
+    """Delete the selected rows; one that has no key fails the job.
+
+    Of a table laid out by age whole buckets go unread. Of another table one pass finds the files that hold
+    selected rows, a second one writes what stays of those. ``safe`` raises where the boundary isn't safe; it
+    has been asked about ``boundary``.
+    """
     state = store.run(run) or _begin(store, run, {"deletable_before_ms": boundary, "completed": False})
     report = RunReport(state["deletable_before_ms"])
     if state["completed"]:
         return report
     gone = deletable(state["deletable_before_ms"])
-    keyed = F.struct(*[guarded(k, gone) for k in spec.keys]).isNotNull()  # a selected row without key fails the job
+    # a guard counts only where its value is used, so each key itself is tested
+    keyed = reduce(Column.__and__, [guarded(k, gone).isNotNull() for k in spec.keys])
+    if safe is not None and report.boundary_ms != boundary:  # another writer has begun the run
+        safe(report.boundary_ms)
 
     def once() -> None:
-        entry, seen = store.entry(table), Observation()
-        rows = spec.check(store.read(table, entry=entry))
-        fresh = store.revised(
-            table, entry, gone & keyed, lambda df: retention.survivors(df.observe(seen, F.count_if(gone).alias("n")), gone)
-        )
+        entry = store.entry(table)
+        spec.check(store.read(table, entry=entry))
+        laid_out = all((s.get("age") or {}).get("column") == spec.age_col and s["age"]["keys"] == list(spec.keys) for s in entry)
+        if laid_out:
+            fresh, n = store.aged_out(table, entry, state["deletable_before_ms"], gone, keyed)
+        else:
+            seen = Observation()
+            fresh = store.revised(table, entry, gone & keyed, lambda df: retention.survivors(df.observe(seen, F.count_if(gone).alias("n")), gone))
+            n = 0 if fresh is None else seen.get["n"]
         changes = {} if fresh is None else {table: fresh}
         store.publish(changes, {run: state | {"completed": True}}, based_on={t: entry for t in changes})
-        report.counts[table] = {"scanned": rows.count(), "changed": seen.get["n"] if changes else 0}
+        report.counts[table] = {"scanned": _scanned(store, table, entry), "changed": n}
 
     _again(once)
     return report
@@ -247,12 +321,16 @@ def cleanup_proofs(spark: SparkSession, store: Store, auditor_token: str | None
     """
     known = store.run(run)
     boundary = known["deletable_before_ms"] if known else watermarks.read_token(spark, auditor_token, tokens.AUDITOR)
-    held = None if known and known["completed"] else all_locks(store)
-    if held is not None:
-        needed = unsafe_proof_deletes(store.read(PROOF_TABLE), held, proof_deletable(boundary), boundary).first()
+
+    def safe(boundary_ms: int) -> None:
+        held = all_locks(store)
+        needed = held and unsafe_proof_deletes(store.read(PROOF_TABLE), held, proof_deletable(boundary_ms), boundary_ms).first()
         if needed:
             raise UnsafeDeletion(f"proof {needed['nonce']} belongs to a write lock that is still held")
-    return _delete(store, run, PROOF_TABLE, PROOFS, boundary, proof_deletable)
+
+    if not (known and known["completed"]):
+        safe(boundary)
+    return _delete(store, run, PROOF_TABLE, PROOFS, boundary, proof_deletable, safe)
 
 
 def finalize_auditor(spark: SparkSession, store: Store, base: str, now_ms: int | None = None, **options) -> RunReport:
@@ -284,11 +362,17 @@ def cleanup_coordinator(
         boundary = recorded_boundary(store, domain)
     if boundary is None:
         boundary = min(watermarks.read_token(spark, ledger_token, tokens.LEDGER), watermarks.read_token(spark, auditor_token, tokens.AUDITOR))
-    targets = [] if known and known["completed"] else ledger_tables(store)
-    if targets:
+
+    def safe(boundary_ms: int) -> None:
+        targets = ledger_tables(store)
+        if not targets:
+            return
         records = discovery.one_relation({t: spec.named(store.read(t)) for t in targets}, *TRANSACTION_COLUMNS)
-        needed = unsafe_coordinator_deletes(store.read(COORDINATOR_TABLE), records, coordinator_deletable(boundary), boundary).first()
+        needed = unsafe_coordinator_deletes(store.read(COORDINATOR_TABLE), records, coordinator_deletable(boundary_ms), boundary_ms).first()
         if needed:
-            names = records.where(needs_finalization(boundary) & (F.col("tx_id") == needed["tx_id"])).select("full_name").distinct().limit(1).first()
+            names = records.where(needs_finalization(boundary_ms) & (F.col("tx_id") == needed["tx_id"])).select("full_name").distinct().limit(1).first()
             raise UnsafeDeletion(f"{names[0]} has in-doubt records older than the boundary")
-    return _delete(store, run, COORDINATOR_TABLE, COORDINATOR, boundary, coordinator_deletable)
+
+    if not (known and known["completed"]):
+        safe(boundary)
+    return _delete(store, run, COORDINATOR_TABLE, COORDINATOR, boundary, coordinator_deletable, safe)
