@@ -70,8 +70,8 @@ def test_groups_of_any_size_lose_no_link(spark, planted, monkeypatch, small, lea
     monkeypatch.setattr(oddsketch, "BLOCK_SETS", block)
     inner = oddsketch._compared
 
-    def bounded(last):
-        run = inner(last)
+    def bounded(last, rule):
+        run = inner(last, rule)
 
         def work(batches):  # the workers have a module of their own
             oddsketch.SMALL, oddsketch.LEADERS = small, leaders

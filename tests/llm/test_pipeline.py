@@ -1,19 +1,25 @@
 import hashlib
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, pii, quality, simhash
+from tidemark.llm import decontaminate, pii, quality
+
+
+def five_words(text):
+    words = text.encode().lower().split()
+    return {tuple(words)} if len(words) < 5 else set(zip(*(words[k:] for k in range(5))))
 
 
 def test_stages_match_a_plain_version(spark, sf_small, docs, texts):
     items = decontaminate.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()])
     kept = {r.doc_id for r in quality.judged(docs).where("kept").collect()}
-    prints = {i: simhash.fingerprint(texts[i]) for i in kept}
+    sets = {i: five_words(texts[i]) for i in kept}
+    like = {i: [j for j in kept if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in kept}
     group = {i: i for i in kept}
     changed = True
     while changed:
         changed = False
         for i in kept:
-            least = min(group[j] for j in kept if (prints[i] ^ prints[j]).bit_count() <= 3)
+            least = min(group[j] for j in like[i])
             changed |= least != group[i]
             group[i] = least
     want = {}

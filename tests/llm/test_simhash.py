@@ -99,3 +99,47 @@ def test_row_numbers_survive_a_change_of_cores(spark, docs, monkeypatch, tmp_pat
     finally:
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if old is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", old)
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_walks_over_many_tries_find_all_pairs_of_each_group():
+    rng = np.random.default_rng(8)
+    groups = [rng.integers(0, 2**63, (n, 4), dtype=np.int64).view(np.uint64) for n in (1, 2, 30, 7, 1, 60)]
+    for g in groups[2:]:
+        for i in range(1, len(g), 2):  # near ones, equal ones among them
+            g[i] = g[i - 1]
+            for bit in rng.integers(0, 256, rng.integers(0, 120)):
+                g[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    words, starts = np.concatenate(groups), np.cumsum([0, *(len(g) for g in groups[:-1])])
+    owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    a, b = simhash.wide_pairs(words, starts, 80)
+    apart = lambda i, j: int(np.bitwise_count(words[i] ^ words[j]).sum())
+    want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if owner[i] == owner[j] and apart(i, j) <= 80}
+    assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == want and len(a) == len(want) > 40
+
+
+def test_similar_texts_of_five_word_shingles(spark, planted_similar):
+    """Exactly one document of each component stays, whatever the similarity on either side of 0.8."""
+    rows, keep = planted_similar
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(4)
+    got = simhash.similar_removed(frame)
+    assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == keep
+
+
+@pytest.fixture(scope="module")
+def planted_similar():
+    rng = np.random.default_rng(21)
+    texts = []
+    for size, copies, most in ((30, 20, 3), (200, 60, 9), (80, 25, 6), (7, 10, 1)):
+        base = rng.integers(0, 4000, size)
+        for _ in range(copies):
+            own = base.copy()
+            for at in rng.integers(0, size, rng.integers(0, most + 1)):
+                own[at] = rng.integers(0, 4000)
+            texts.append(" ".join(f"w{x}" for x in own))
+    texts += [texts[0], "one two", "ONE two", "three"]
+    ids = rng.permutation(len(texts)).tolist()
+    sets = [set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())} for t in texts]
+    pairs = [(ids[i], ids[j]) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert any(80 <= 100 * len(a & b) / len(a | b) < 83 for a in sets for b in sets)
+    root = roots(pairs)
+    return [(i, t, "x") for i, t in zip(ids, texts)], sorted(i for i in ids if root.get(i, i) == i)

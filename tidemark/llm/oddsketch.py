@@ -13,6 +13,9 @@ in its largest class then meet every block once more; sets of the largest class
 across blocks, they are connected already. So links are exact, and no pairs are written: a bucket or block
 sends on only what connects it.
 
+A :class:`Rule` says what the shingles, the threshold and the sketches are; ODD is this operator's. Other
+operators give rules with sketches of their own.
+
 A bucket of over SMALL members is read as a stream. Members within NEAR of one of its leaders join it, others
 become leaders; distances obey the triangle inequality, so leaders of linked members are within 2 * NEAR +
 DISTANCE of each other. A bucket of more than LEADERS leaders holds mostly unlike sets: it is dealt out again
@@ -27,6 +30,9 @@ their rows; an empty table gives no rows; texts are used whole; further columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,6 +49,8 @@ SAMPLES, BANDS, BAND, BITS = 256, 24, 4, 1024
 DISTANCE, NEAR = 140, 40
 #: Members of a bucket that are compared pair by pair, and leaders of a larger one.
 SMALL, LEADERS = 512, 2048
+#: Pairs within small buckets that are looked at in one go.
+PAIRS = 1 << 19
 #: Sets and bytes of a block, on average.
 BLOCK_SETS, BLOCK_BYTES = 512, 4 << 20
 #: Shingles whose occurrences in a block are counted at a time.
@@ -62,16 +70,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted 64-bit names of the distinct three-word shingles of a text with A-Z in lower case."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit names of the distinct shingles of ``size`` words of a text with A-Z in lower case."""
     words = (text or "").encode().lower().split()
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED + len(words))] if words else [], dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     h = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
-    name = mixed(h[:-2])
-    name = mixed(name + h[1:-1] * np.uint64(3))
-    return np.unique(mixed(name + h[2:] * np.uint64(5)))
+    n = len(h) - size + 1
+    name = mixed(h[:n])
+    for k in range(1, size):
+        name = mixed(name + h[k : n + k] * np.uint64(2 * k + 1))
+    return np.unique(name)
 
 
 def node_of(names: np.ndarray) -> bytes:
@@ -106,22 +116,46 @@ def similarity(a: bytes, b: bytes) -> float:
     return 1 + BITS / 2 * np.log(1 - 2 * apart) / (2 * SAMPLES)
 
 
+def odd_of(names: np.ndarray, least: np.ndarray) -> bytes:
+    return odd_sketch(least)
+
+
 SKETCHED = "n_shingles long, node binary, bands array<long>, odd binary, hash long"
 
 
-def sketches(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+@dataclass(frozen=True)
+class Rule:
+    """What links, and how it is found.
+
+    Links are between sets of shingles of ``words`` words with 100 * intersection >= ``percent`` * union. ``sketch``
+    makes a bitmap of ``bits`` bits of a set and its samples; those of links are within ``distance`` of each other,
+    those within ``near`` may stand for each other. ``connect`` labels the members of several small buckets, given
+    as sketches, sizes and the buckets' starts.
+    """
+
+    words: int
+    percent: int
+    sketch: Callable[[np.ndarray, np.ndarray], bytes]
+    bits: int
+    distance: int
+    near: int
+    connect: Callable[[np.ndarray, np.ndarray, np.ndarray, Rule], np.ndarray]
+
+
+def sketches(docs: DataFrame, key: str = "doc_id", rule: Rule | None = None) -> DataFrame:
     """``key``, n_shingles, node, bands, odd and the text's hash of each document; an empty set has no node."""
+    rule = rule or ODD
 
     def run(batches):
         for b in batches:
             sizes, nodes, bands, odd = [], [], [], []
             for t in b.column(1):
-                names = shingles(t.as_py())
+                names = shingles(t.as_py(), rule.words)
                 least = samples(names)
                 sizes.append(len(names))
                 nodes.append(node_of(names) if len(names) else None)
                 bands.append(bands_of(least))
-                odd.append(odd_sketch(least))
+                odd.append(rule.sketch(names, least))
             ends = np.arange(b.num_rows + 1, dtype=np.int32) * BANDS
             flat = np.concatenate(bands) if bands else np.zeros(0, dtype=np.int64)
             columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array(odd, pa.binary())]
@@ -180,20 +214,29 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _like(odd: np.ndarray, most: int, sizes: np.ndarray | None = None) -> np.ndarray:
+def _like(odd: np.ndarray, most: int, sizes: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
     """Labels of sketches connected by distances of at most ``most``; ``sizes`` leaves out pairs whose sizes allow no link."""
     pairs = []
     for at in range(0, len(odd), SMALL):
         near = _distances(odd[at : at + SMALL], odd) <= most
         if sizes is not None:
             s, z = sizes[at : at + SMALL, None], sizes[None, :]
-            near &= 100 * np.minimum(s, z) >= PERCENT * np.maximum(s, z)
+            near &= 100 * np.minimum(s, z) >= percent * np.maximum(s, z)
         a, b = np.nonzero(near)
         pairs.append(np.stack([a + at, b])[:, a + at < b])
     a, b = np.concatenate(pairs, axis=1)
     return _labels(len(odd), a, b)
 
 
+def each_bucket(words: np.ndarray, sizes: np.ndarray, starts: np.ndarray, rule: Rule) -> np.ndarray:
+    """Labels of the members of small buckets, all sketches of a bucket compared."""
+    out = [a + _like(words[a:b], rule.distance, sizes[a:b], rule.percent) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)])]
+    return np.concatenate(out)
+
+
+ODD = Rule(SHINGLE, PERCENT, odd_of, BITS, DISTANCE, NEAR, each_bucket)
+
+
 EDGES = "deeper long, a binary, b binary"
 EDGE_SCHEMA = pa.schema([("deeper", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
@@ -207,14 +250,14 @@ def _edges(nodes: list[bytes], label: np.ndarray) -> pa.RecordBatch:
 class _Bucket:
     """The members of one bucket, which come in slices."""
 
-    def __init__(self, key: int, last: bool):
-        self.key, self.last, self.streamed = key, last, False
+    def __init__(self, key: int, last: bool, rule: Rule):
+        self.key, self.last, self.rule, self.streamed = key, last, rule, False
         self.nodes: list[bytes] = []  # members of a small bucket, or leaders
-        self.odd, self.sizes = np.zeros((0, BITS // 64), dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.odd, self.sizes = np.zeros((0, rule.bits // 64), dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.first, self.over = None, False
 
     def add(self, rows: pa.RecordBatch):
-        nodes, odd = rows.column(1).to_pylist(), np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        nodes, odd = rows.column(1).to_pylist(), np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint64).reshape(-1, self.rule.bits // 64)
         if self.over and not self.last:
             return
         self.first = self.first or nodes[0]
@@ -240,14 +283,14 @@ class _Bucket:
         if len(self.nodes):
             far = _distances(odd, self.odd)
             best = far.argmin(axis=1)
-            near = far[rest, best] <= NEAR
+            near = far[rest, best] <= self.rule.near
             a, b = [nodes[i] for i in rest[near].tolist()], [self.nodes[i] for i in best[near].tolist()]
             rest = rest[~near]
         while len(rest):
             lead, rest = rest[0], rest[1:]
             self.nodes.append(nodes[lead])
             self.odd = np.concatenate([self.odd, odd[lead : lead + 1]])
-            near = _distances(odd[rest], odd[lead : lead + 1])[:, 0] <= NEAR
+            near = _distances(odd[rest], odd[lead : lead + 1])[:, 0] <= self.rule.near
             a += [nodes[i] for i in rest[near].tolist()]
             b += [nodes[lead]] * int(near.sum())
             rest = rest[~near]
@@ -260,42 +303,67 @@ class _Bucket:
                 yield pa.RecordBatch.from_arrays([pa.array([self.key]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], schema=EDGE_SCHEMA)
 
     def close(self):
-        if self.over or len(self.nodes) < 2:
-            return
-        yield _edges(self.nodes, _like(self.odd, 2 * NEAR + DISTANCE) if self.streamed else _like(self.odd, DISTANCE, self.sizes))
+        """What connects the leaders of a large bucket."""
+        if self.streamed and not self.over and len(self.nodes) > 1:
+            yield _edges(self.nodes, _like(self.odd, 2 * self.rule.near + self.rule.distance))
 
 
 def _star(nodes: list[bytes], first: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(len(nodes), pa.int64()), pa.array(nodes, pa.binary()), pa.array([first] * len(nodes), pa.binary())], schema=EDGE_SCHEMA)
 
 
-def _compared(last: bool):
+class _Small:
+    """Small buckets, which are compared some at a time."""
+
+    def __init__(self, rule: Rule):
+        self.rule, self.held, self.pairs = rule, [], 0
+
+    def add(self, bucket: _Bucket):
+        if len(bucket.nodes) > 1:
+            self.held.append(bucket)
+            self.pairs += len(bucket.nodes) ** 2
+        if self.pairs > PAIRS:
+            yield from self.flush()
+
+    def flush(self):
+        if self.held:
+            starts = np.cumsum([0, *(len(b.nodes) for b in self.held[:-1])])
+            words, sizes = np.concatenate([b.odd for b in self.held]), np.concatenate([b.sizes for b in self.held])
+            yield _edges([n for b in self.held for n in b.nodes], self.rule.connect(words, sizes, starts, self.rule))
+        self.held, self.pairs = [], 0
+
+
+def _compared(last: bool, rule: Rule):
     """Rows (key, node, n_shingles, odd), sorted by key, to what connects candidates, or to keys that must be dealt out again."""
 
     def run(batches):
-        bucket = None
+        bucket, small = None, _Small(rule)
+
+        def ended():
+            if bucket is not None:
+                yield from bucket.close() if bucket.streamed or bucket.over else small.add(bucket)
+
         for (key,), rows, new in _groups(batches, 1):
             if new:
-                if bucket:
-                    yield from bucket.close()
-                bucket = _Bucket(key, last)
+                yield from ended()
+                bucket = _Bucket(key, last, rule)
             yield from bucket.add(rows)
-        if bucket:
-            yield from bucket.close()
+        yield from ended()
+        yield from small.flush()
 
     return run
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, rule: Rule | None = None) -> DataFrame:
     """Edges (a, b) that connect all nodes (node, n_shingles, bands, odd) whose sketches are near in some bucket."""
-    parts = partitions(nodes.sparkSession)
+    parts, rule = partitions(nodes.sparkSession), rule or ODD
     bands = nodes.select("node", F.explode("bands").alias("key"))
     edges = None
     for last in (False, True):
         sorted_ = bands.repartition(parts, "key").select("key", "node").sortWithinPartitions("key")
         shared = written(sorted_.mapInArrow(_shared, "key long, node binary"), "oddsketch-shared")
         members = shared.join(nodes.select("node", "n_shingles", "odd"), "node").select("key", "node", "n_shingles", "odd")
-        found = written(members.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compared(last), EDGES), "oddsketch-candidates")
+        found = written(members.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compared(last, rule), EDGES), "oddsketch-candidates")
         here = found.where("deeper IS NULL").select("a", "b")
         edges = here if edges is None else edges.unionByName(here)
         again = found.where("deeper IS NOT NULL").select(F.col("deeper").alias("key"))
@@ -307,7 +375,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Labels of sets that are connected by links; intersections of all pairs are counted at once."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -325,34 +393,38 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
         has[owner[i:j], at[i:j] - start] = 1
         common += (has @ has.T).astype(np.int64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    a, b = np.nonzero(100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common))
+    a, b = np.nonzero(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
     return _labels(n, a[a < b], b[a < b])
 
 
-def _confirmed(batches):
+def _confirmed(percent: int):
     """Rows (root, block, node, names), sorted by block, to what connects each block's sets by links."""
-    held: dict[bytes, np.ndarray] = {}
 
-    def close():
-        if len(held) > 1:
-            yield _edges(list(held), linked(list(held.values())))
+    def run(batches):
+        held: dict[bytes, np.ndarray] = {}
+
+        def close():
+            if len(held) > 1:
+                yield _edges(list(held), linked(list(held.values()), percent))
 
-    for _, rows, new in _groups(batches, 2):
-        if new:
-            yield from close()
-            held = {}
-        for node, names in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist()):
-            held[node] = np.frombuffer(names, dtype=np.uint64)  # repeated rows are one set
-    yield from close()
+        for _, rows, new in _groups(batches, 2):
+            if new:
+                yield from close()
+                held = {}
+            for node, names in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist()):
+                held[node] = np.frombuffer(names, dtype=np.uint64)  # repeated rows are one set
+        yield from close()
+
+    return run
 
 
-def _met(sets: DataFrame) -> DataFrame:
+def _met(sets: DataFrame, percent: int) -> DataFrame:
     """What connects the sets (root, block, node, names) of each block by links."""
     dealt = sets.repartition(partitions(sets.sparkSession), "root", "block").select("root", "block", "node", "names").sortWithinPartitions("root", "block")
-    return dealt.mapInArrow(_confirmed, EDGES).select("a", "b")
+    return dealt.mapInArrow(_confirmed(percent), EDGES).select("a", "b")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, key: str, words: int) -> DataFrame:
     """The columns of ``wanted`` (node, rep and others) with the names of the node's set, from the texts of ``docs``.
 
     ``rep`` is the id and the text's hash of a row that has the set, so a repeated id finds only its own rows.
@@ -365,7 +437,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            names = [shingles(t) for t in b.column(0).to_pylist()]
+            names = [shingles(t, words) for t in b.column(0).to_pylist()]
             own = [bool(len(s)) and node_of(s) == n for s, n in zip(names, b.column(1).to_pylist())]  # an id may have other texts
             data = pa.array([s.tobytes() if o else None for s, o in zip(names, own)], pa.large_binary()).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], data], ["node", *others, "names"]).filter(pa.array(own))
@@ -374,16 +446,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return given.select("text", "node", *others).mapInArrow(run, f"node binary, {fields}, names binary")
 
 
-def links(docs: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", rule: Rule = ODD) -> DataFrame:
     """Edges (a, b) that connect what links of ``nodes`` connect."""
-    family = components(candidates(nodes), "oddsketch-family")
+    family = components(candidates(nodes, rule), "oddsketch-family")
     member = family.unionByName(family.select(F.col("root").alias("node"), "root").distinct())
     member = written(member.join(nodes.select("node", "n_shingles", "rep"), "node"), "oddsketch-members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks")
     sizes = member.groupBy("root").agg(blocks, F.count(F.lit(1)).alias("_n"))
     member = lookup(member, sizes, "root", member.count(), how="inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     member = written(member.select("root", "node", "rep", "blocks", "block", "n_shingles"), "oddsketch-blocks")
-    edges = written(_met(_sets(docs, member.select("rep", "node", "root", "block"), key)), "oddsketch-links")
+    edges = written(_met(_sets(docs, member.select("rep", "node", "root", "block"), key, rule.words), rule.percent), "oddsketch-links")
     large = member.where("blocks > 1")
     if large.isEmpty():
         return edges
@@ -402,17 +474,17 @@ def links(docs: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     second = everyone.where(F.col("class") != F.col("giant")).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), "turns"))
     second = second.select("node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "turn", "turns")
     meetings = first.unionByName(second).select("node", "root", (F.col("block") * F.col("turns") + F.col("turn")).alias("block"))
-    sets = written(_sets(docs, large.select("node", "rep", "root"), key).select("node", "names").dropDuplicates(["node"]), "oddsketch-sets")
-    return edges.unionByName(written(_met(sets.join(meetings, "node")), "oddsketch-further"))
+    sets = written(_sets(docs, large.select("node", "rep", "root"), key, rule.words).select("node", "names").dropDuplicates(["node"]), "oddsketch-sets")
+    return edges.unionByName(written(_met(sets.join(meetings, "node"), rule.percent), "oddsketch-further"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", rule: Rule = ODD) -> DataFrame:
     """``key``, n_shingles, component_id (the smallest ``key`` reachable) and kept of every document."""
-    rows = written(sketches(docs, key), "oddsketch-documents")
+    rows = written(sketches(docs, key, rule), "oddsketch-documents")
     known = rows.where(F.col("node").isNotNull())
     facts = [F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("id"), "hash")).alias("rep"), F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "odd")]]
     nodes = written(known.groupBy("node").agg(*facts), "oddsketch-nodes")
-    root = components(links(docs, nodes, key), "oddsketch-roots")
+    root = components(links(docs, nodes, key, rule), "oddsketch-roots")
     rooted = written(nodes.select("node", "least", "_n").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "oddsketch-rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_size"))
     classes = written(lookup(rooted, least, "root", rooted.count(), how="inner", size="_size").select("node", "component_id", "_n"), "oddsketch-components")

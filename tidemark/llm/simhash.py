@@ -13,6 +13,11 @@ GROUP_MOST values at most, so this ends and no group is unbounded.
 Links are between distinct fingerprints (exact copies are one), and a group sends on only what
 connects it, so no quadratic set of pairs is written.
 
+:func:`similar_removed` is for links by similarity, which three bits find hardly any of: fingerprints of 256
+bits of the sets of five-word shingles, dealt out by MinHash bands, of which similar sets share one; the tries of
+many small groups are walked at once within a budget of 80 bits, and what is near is confirmed on the full sets
+(:mod:`tidemark.llm.oddsketch`).
+
 Defined cases: null and wordless texts have fingerprint zero, which links like any other; null ids
 never become a component's id unless all are null; repeated ids keep their rows; an empty table gives
 no rows; texts are used whole; further columns are ignored by :func:`near_duplicates`.
@@ -28,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import oddsketch
 from tidemark.llm.common import lookup, partitions, table, written
 from tidemark.llm.components import components
 
@@ -217,6 +223,81 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return named.join(written(stay.select(F.col("first._row").alias(row)), "simhash-kept"), row, "left_semi").drop(row)
 
 
+#: Words of a shingle, per cent of similarity, and bits of a fingerprint for links by similarity.
+SIMILAR_WORDS, SIMILAR_PERCENT, WIDE = 5, 80, 256
+#: Fingerprints of sets of similarity 0.8 differ in 39 bits on average (48 for sets of five), with a deviation of 6; unlike ones in 128.
+WIDE_BUDGET, WIDE_NEAR = 80, 4
+
+
+def wide_fingerprint(names: np.ndarray, least: np.ndarray) -> bytes:
+    """SimHash of WIDE bits of a set of 64-bit shingle names, whose hashes are spread to WIDE bits."""
+    total = np.zeros(WIDE, dtype=np.int64)
+    for at in range(0, len(names), PIECE >> 4):
+        part = names[at : at + (PIECE >> 4)]
+        spread = np.stack([oddsketch.mixed(part + np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)) for k in range(WIDE // 64)], axis=1)
+        total += np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(names)).tobytes()
+
+
+def wide_pairs(words: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of ``words`` within ``budget`` bits of each other, of each group that begins at ``starts``.
+
+    One walk goes down the tries of all groups: it begins with each group's root paired with itself.
+    """
+    n = len(words)
+    ends = np.append(starts[1:], n)
+    order = np.lexsort((*words.T[::-1], np.repeat(np.arange(len(starts)), ends - starts)))
+    rows = words[order]
+    done: list[np.ndarray] = []
+    nodes = np.stack([starts, ends, starts, ends, np.zeros_like(starts)])[:, ends - starts > 1]
+    for w in range(words.shape[1]):
+        for bit in range(63, -1, -1):
+            if not nodes.shape[1]:
+                break
+            ones = np.concatenate([[0], np.cumsum(rows[:, w] >> np.uint64(bit) & np.uint64(1), dtype=np.int64)])
+            a, z, b, y, bits = nodes
+            m, k = z - (ones[z] - ones[a]), y - (ones[y] - ones[b])
+            own = a == b
+            parts = [np.stack([a, m, b, k, bits]), np.stack([m, z, k, y, bits]), np.stack([a, m, k, y, bits + 1]), np.stack([m, z, b, k, bits + 1])[:, ~own]]
+            nodes = np.concatenate(parts, axis=1)
+            a, z, b, y, bits = nodes
+            nodes = nodes[:, (a < z) & (b < y) & (bits <= budget) & ~((a == b) & (z - a == 1))]
+            single = (nodes[1] - nodes[0] == 1) & (nodes[3] - nodes[2] == 1)
+            done.append(nodes[:, single][[0, 2]])
+            nodes = nodes[:, ~single]
+    # equal rows are still together at the last bit
+    for a, z, b, y, _ in nodes.T.tolist():
+        i, j = np.meshgrid(np.arange(a, z), np.arange(b, y), indexing="ij")
+        done.append(np.stack([i[i < j], j[i < j]]) if a == b else np.stack([i.ravel(), j.ravel()]))
+    first, second = np.concatenate(done, axis=1) if done else np.zeros((2, 0), dtype=np.int64)
+    near = np.bitwise_count(rows[first] ^ rows[second]).sum(axis=1, dtype=np.int64) <= budget
+    return order[first[near]], order[second[near]]
+
+
+def walked(words: np.ndarray, sizes: np.ndarray, starts: np.ndarray, rule: oddsketch.Rule) -> np.ndarray:
+    """Labels of the members of small groups that near fingerprints connect, where their sizes allow a link."""
+    a, b = wide_pairs(words, starts, rule.distance)
+    fits = 100 * np.minimum(sizes[a], sizes[b]) >= rule.percent * np.maximum(sizes[a], sizes[b])
+    return oddsketch._labels(len(words), np.minimum(a, b)[fits], np.maximum(a, b)[fits])
+
+
+SIMILAR = oddsketch.Rule(SIMILAR_WORDS, SIMILAR_PERCENT, wide_fingerprint, WIDE, WIDE_BUDGET, WIDE_NEAR, walked)
+
+
+def similar_removed(docs: DataFrame) -> DataFrame:
+    """One document of each component of similar texts (five words, 0.8): the one with the smallest id, among equals one row.
+
+    Texts without words are similar to nothing and stay. The rows are numbered and written once.
+    """
+    row = "_row" + "_" * max(len(c) for c in docs.columns)  # no column has this name
+    named = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-numbered")
+    rows = named.select(F.col(row).alias("_row"), "text")
+    found = written(oddsketch.near_duplicates(rows, "_row", SIMILAR).select("_row", "component_id"), "simhash-similar")
+    known = found.join(named.select(F.col(row).alias("_row"), "doc_id"), "_row")
+    stay = known.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first"))
+    return named.join(written(stay.select(F.col("first._row").alias(row)), "simhash-kept"), row, "left_semi").drop(row)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text of ``documents``."""
     rows = near_duplicates(table(spark, sf_dir, "documents"))
