@@ -121,3 +121,11 @@ def test_rows_that_share_a_key_are_found_over_batches():
     given = [batch((1, b"a"), (2, b"b")), batch((2, b"c")), batch(), batch((2, b"d"), (3, b"e")), batch((4, b"f")), batch((4, b"g"))]
     got = [(r["key"], r["node"]) for b in oddsketch._shared(given) for r in b.to_pylist()]
     assert got == [(2, b"b"), (2, b"c"), (2, b"d"), (4, b"f"), (4, b"g")]
+
+
+def test_sketches_are_connected_as_by_all_pairs():
+    rng = np.random.default_rng(4)
+    odd = rng.integers(0, 1 << 63, (40, 16), dtype=np.uint64)
+    chain = np.concatenate([odd, odd ^ np.uint64(1), odd[:9] ^ np.uint64(7), odd[3:4]])[rng.permutation(90)]
+    assert (oddsketch._spread(chain, 32) == oddsketch._like(chain, 32)).all() and len(set(oddsketch._spread(chain, 32))) == 40
+    assert len(oddsketch._spread(odd[:0], 3)) == 0 and oddsketch._spread(odd[:1], 3).tolist() == [0]

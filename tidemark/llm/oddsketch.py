@@ -48,7 +48,7 @@ PERCENT = 85
 SAMPLES, BANDS, BAND, BITS = 256, 24, 4, 1024
 DISTANCE, NEAR = 140, 40
 #: Members of a bucket that are compared pair by pair, and leaders of a larger one.
-SMALL, LEADERS = 512, 2048
+SMALL, LEADERS = 512, 16_384
 #: Pairs within small buckets that are looked at in one go.
 PAIRS = 1 << 19
 #: Sets and bytes of a block, on average.
@@ -228,6 +228,22 @@ def _like(odd: np.ndarray, most: int, sizes: np.ndarray | None = None, percent:
     return _labels(len(odd), a, b)
 
 
+def _spread(odd: np.ndarray, most: int) -> np.ndarray:
+    """Labels as :func:`_like` gives them, for many sketches: each is compared once with those that aren't reached yet."""
+    label, pool = np.arange(len(odd)), np.arange(1, len(odd))
+    for first in range(len(odd)):
+        if label[first] != first:
+            continue
+        pool = pool[pool != first]
+        queue = [first]
+        while queue and len(pool):
+            near = _distances(odd[pool], odd[queue.pop()][None, :])[:, 0] <= most
+            found, pool = pool[near], pool[~near]
+            label[found] = first
+            queue += found.tolist()
+    return label
+
+
 def each_bucket(words: np.ndarray, sizes: np.ndarray, starts: np.ndarray, rule: Rule) -> np.ndarray:
     """Labels of the members of small buckets, all sketches of a bucket compared."""
     out = [a + _like(words[a:b], rule.distance, sizes[a:b], rule.percent) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)])]
@@ -305,7 +321,7 @@ class _Bucket:
     def close(self):
         """What connects the leaders of a large bucket."""
         if self.streamed and not self.over and len(self.nodes) > 1:
-            yield _edges(self.nodes, _like(self.odd, 2 * self.rule.near + self.rule.distance))
+            yield _edges(self.nodes, _spread(self.odd, 2 * self.rule.near + self.rule.distance))
 
 
 def _star(nodes: list[bytes], first: bytes) -> pa.RecordBatch:
