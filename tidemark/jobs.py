@@ -26,13 +26,13 @@ from tidemark.operators import locks as lock_ops
 from tidemark.operators import recovery, retention, watermarks
 from tidemark.operators.audit import unsafe_coordinator_deletes, unsafe_proof_deletes
 from tidemark.operators.predicates import coordinator_deletable, guarded, needs_finalization, needs_release, proof_deletable
-from tidemark.schemas import ABORTED, COORDINATOR, DEFAULT_NAMESPACE, LEDGER, LOCKS, PROOFS, TRANSACTION_COLUMNS, WATERMARKS, TableSpec
+from tidemark.schemas import ABORTED, ATTEMPTS, COORDINATOR, DEFAULT_NAMESPACE, LEDGER, LOCKS, PROOFS, TRANSACTION_COLUMNS, WATERMARKS, TableSpec
 from tidemark.sources import discovery
 from tidemark.sources.shared import written
 from tidemark.sources.snapshot import AGE, LostUpdate, Store
 
 COORDINATOR_TABLE, PROOF_TABLE, REGISTRY_TABLE, WATERMARK_TABLE = "coordinator_state", "request_proof", "namespace", "watermarks"
-LOCK_TABLE = "asset_lock"
+LOCK_TABLE, ATTEMPT_TABLE = "asset_lock", "lock_attempts"
 #: How often a target's work is done again when other jobs change its tables meanwhile.
 TRIES = 5
 
@@ -96,6 +96,35 @@ def _record(spark: SparkSession, store: Store, server: str, started_at_ms: int,
     return watermarks.token(spark, server, started_at_ms)
 
 
+def _append(store: Store, table: str, rows: DataFrame) -> None:
+    """Add rows to a table that may not be there yet."""
+
+    def work() -> None:
+        with store.lock:
+            if not store.exists(table):
+                return store.publish({table: store.stage(table, rows)}, based_on={table: None})
+            entry = store.entry(table)
+            store.publish({table: store.appended(table, rows, entry)}, based_on={table: entry})
+
+    _again(work)
+
+
+class StoredAttempts(lock_ops.Attempts):
+    """The attempts of a run on the locks of one namespace, or of all where it is None, kept in the store."""
+
+    def __init__(self, store: Store, run: str, namespace: str | None):
+        self.store, self.run, self.namespace = store, run, namespace
+
+    def known(self) -> DataFrame | None:
+        if not self.store.exists(ATTEMPT_TABLE):
+            return None
+        rows = self.store.read(ATTEMPT_TABLE).where(F.col("run") == self.run).drop("run")
+        return rows if self.namespace is None else rows.where(F.col("ns") == self.namespace)
+
+    def add(self, told: DataFrame) -> None:
+        _append(self.store, ATTEMPT_TABLE, told.withColumn("run", F.lit(self.run)).select(*ATTEMPTS.struct().names))
+
+
 def ledger_tables(store: Store) -> list[str]:
     """Transactional tables of the store, the coordinator's own left out."""
     found = [t for t in store.tables() if t != COORDINATOR_TABLE and set(TRANSACTION_COLUMNS) <= set(store.read(t).columns)]
@@ -131,7 +160,7 @@ def _each_target(spark: SparkSession, state: dict, report: RunReport, work: Call
     pending = [t for t in state["targets"] if t not in state["completed"]]
     if at_once > 1:
         with ThreadPoolExecutor(at_once) as pool:
-            found = [f.result() for f in [pool.submit(inheritable_thread_target(one), t) for t in pending]]
+            found = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(one), t) for t in pending]]
     else:
         pool_before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
         found = [one(t) for t in pending]
@@ -257,7 +286,11 @@ def finalize_locks(
     spark: SparkSession, store: Store, base: str, now_ms: int | None = None, recover_fn: lock_ops.Recovery = lock_ops.expired,
     wait_s: float = lock_ops.WAIT_S, run: str = "auditor", domain: str = DEFAULT_NAMESPACE, at_once: int = 1,
 ) -> RunReport:
-    """Release stranded locks of every namespace and emit the auditor's token."""
+    """Release stranded locks of every namespace and emit the auditor's token.
+
+    Every attempt's outcomes are stored, so a run that was killed doesn't ask again for locks that were
+    recovered. ``at_once`` namespaces are worked on together.
+    """
     started = lock_boundary(_now() if now_ms is None else now_ms)
     state = store.run(run) or _begin(store, run, {"started_at_ms": started, "targets": lock_namespaces(spark, store), "completed": []})
     boundary = state["started_at_ms"]
@@ -268,7 +301,7 @@ def finalize_locks(
         entry, with_ns = store.entry(table), lambda df: df.withColumn("ns", F.lit(namespace))
         held = LOCKS.check(with_ns(store.read(table, entry=entry)))
         chosen = written(lock_ops.candidates(held, boundary), "lock-candidates")
-        done = lock_ops.recover(chosen, recover_fn, wait_s=wait_s)
+        done = lock_ops.recover(chosen, recover_fn, wait_s=wait_s, log=StoredAttempts(store, run, namespace))
         fresh = store.revised(table, entry, needs_release(boundary), lambda rows: lock_ops.released(rows, done, thin=True).drop("ns"), with_ns)
         changes = {} if fresh is None else {table: fresh}
         store.publish(changes, {run: _completed(state, namespace)}, based_on={t: entry for t in changes})

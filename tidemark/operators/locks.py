@@ -41,29 +41,63 @@ def expired(locks: DataFrame, attempt: int) -> DataFrame:
     return locks.select("ns", "id").withColumn("outcome", F.lit(SUCCEEDED))
 
 
-def recover(locks: DataFrame, recovery: Recovery = expired, attempts: int = ATTEMPTS, wait_s: float = WAIT_S) -> DataFrame:
+class Attempts:
+    """What each lock's recovery was last told, kept for the run of one process.
+
+    Frames have ns, id, outcome, attempt and due_ms, the time from which on a further attempt may be made.
+    """
+
+    def __init__(self) -> None:
+        self.frame: DataFrame | None = None
+
+    def known(self) -> DataFrame | None:
+        return self.frame
+
+    def add(self, told: DataFrame) -> None:
+        self.frame = told if self.frame is None else self.frame.unionByName(told)
+
+
+def _latest(known: DataFrame | None, locks: DataFrame) -> DataFrame:
+    """The locks with their last attempt and its outcome; attempt zero where there was none."""
+    if known is None:
+        return locks.select("ns", "id").withColumns({"attempt": F.lit(0), "outcome": F.lit(None).cast("string"), "due_ms": F.lit(0).cast("long")})
+    last = known.groupBy("ns", "id").agg(F.max(F.struct("attempt", "outcome", "due_ms")).alias("last"))
+    found = locks.select("ns", "id").join(last, ["ns", "id"], "left")
+    return found.select("ns", "id", F.coalesce("last.attempt", F.lit(0)).alias("attempt"), "last.outcome", F.coalesce("last.due_ms", F.lit(0)).alias("due_ms"))
+
+
+def recover(locks: DataFrame, recovery: Recovery = expired, attempts: int = ATTEMPTS, wait_s: float = WAIT_S, log: Attempts | None = None) -> DataFrame:
     """(ns, id, outcome, attempt) of every lock, asked again up to ``attempts`` times while it isn't recoverable.
 
-    Each round works on what remains and is written to the shared folder, so a recovery with side
-    effects isn't run twice for a lock. A failed or unknown outcome ends the job at once, and so do
-    locks that remain after the last round.
+    Each round works on what remains, and what it was told is written before the next one begins; with a ``log``
+    in a store a run that was killed goes on with the attempt that is due and asks for no lock again whose
+    outcome is stored (a round that was killed before its outcomes were stored is made again). A failed or
+    unknown outcome ends the job at once, and so do locks that remain after the last round.
     """
-    remaining, done = locks.select("ns", "id"), None
-    for attempt in range(1, attempts + 1):
-        told = written(remaining.join(recovery(remaining, attempt), ["ns", "id"], "left"), f"lock-outcomes{attempt}")
-        good = F.col("outcome").isin(SUCCEEDED, NOT_NEEDED)
-        bad = told.where(~F.coalesce(good | (F.col("outcome") == NOT_RECOVERABLE), F.lit(False))).first()
+    log, last = log or Attempts(), -1
+    while True:
+        latest = written(_latest(log.known(), locks), "lock-attempts")
+        good = F.coalesce(F.col("outcome").isin(SUCCEEDED, NOT_NEEDED), F.lit(False))
+        remaining = latest.where(~good)
+        rounds = {r["attempt"]: r["due"] for r in remaining.groupBy("attempt").agg(F.max("due_ms").alias("due")).collect()}
+        if not rounds:
+            return latest.select("ns", "id", "outcome", "attempt")
+        at = min(rounds)  # locks that came later may be some rounds behind
+        if at <= last:
+            raise RecoveryFailed(f"outcomes of attempt {at + 1} aren't in the log")
+        last = at
+        if at >= attempts:
+            left = remaining.first()
+            raise RecoveryFailed(f"lock {left['ns']}/{left['id']} isn't recoverable after {attempts} attempts")
+        time.sleep(max(0.0, rounds[at] / 1000 - time.time()))
+        asked = remaining.where(F.col("attempt") == at).select("ns", "id")
+        told = asked.join(recovery(asked, at + 1), ["ns", "id"], "left").select("ns", "id", "outcome", F.lit(at + 1).alias("attempt"))
+        told = written(told, "lock-outcomes")
+        bad = told.where(~F.coalesce(F.col("outcome").isin(SUCCEEDED, NOT_NEEDED, NOT_RECOVERABLE), F.lit(False))).first()
+        known = F.col("outcome").isin(SUCCEEDED, NOT_NEEDED, NOT_RECOVERABLE)
+        log.add(told.where(known).withColumn("due_ms", F.lit(int((time.time() + wait_s) * 1000)).cast("long")))
         if bad:
             raise RecoveryFailed(f"lock {bad['ns']}/{bad['id']}: {bad['outcome']}")
-        got = told.where(good).withColumn("attempt", F.lit(attempt))
-        done = got if done is None else done.unionByName(got)
-        remaining = told.where(F.col("outcome") == NOT_RECOVERABLE).select("ns", "id")
-        if remaining.isEmpty():
-            return done
-        if attempt < attempts:
-            time.sleep(wait_s)
-    left = remaining.first()
-    raise RecoveryFailed(f"lock {left['ns']}/{left['id']} isn't recoverable after {attempts} attempts")
 
 
 def released(locks: DataFrame, done: DataFrame, thin: bool = False) -> DataFrame:

@@ -8,26 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.predicates import needs_finalization
+from tidemark.operators.prefilter import matching
 from tidemark.schemas import ABORTED, COMMITTED, LEDGER, PREPARED, TableSpec
 
 KEEP, SKIP, ROLL_FORWARD, REMOVE = "KEEP", "SKIP", "ROLL_FORWARD", "REMOVE"
 ROLLBACK_REMOVE, ROLLBACK_RESTORE = "ROLLBACK_REMOVE", "ROLLBACK_RESTORE"
 EXPIRY_MS = 15_000
-#: Up to this many transaction ids (about 100 bytes each) are broadcast to thin out the coordinator table.
-BROADCAST_IDS = 200_000
 #: (records, coordinator, boundary, now) to the records with c_state and action.
 Recovery = Callable[[DataFrame, DataFrame, int, int], DataFrame]
 
 
 def outcomes(candidates: DataFrame, coordinator: DataFrame) -> DataFrame:
-    """(tx_id, c_state) of the candidates' transactions only.
-
-    The candidates' ids are broadcast when they are few, so that the coordinator table is scanned but not
-    shuffled; how many there are is checked first.
-    """
-    ids = candidates.select("tx_id").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return coordinator.select("tx_id", "c_state").join(F.broadcast(ids) if few else ids, "tx_id", "left_semi")
+    """(tx_id, c_state) of the candidates' transactions only; the coordinator table is scanned but not shuffled."""
+    return matching(coordinator.select("tx_id", "c_state"), candidates, "tx_id")
 
 
 def _action(now_ms: int, expiry_ms: int, inserted: Column) -> Column:
@@ -47,8 +40,8 @@ def resolve(
     """The records with c_state and action.
 
     Only in-doubt records older than the boundary take part in the join; the others are kept as they
-    are without being shuffled. ``thin`` looks at the number of candidates first and, where they are few,
-    broadcasts their ids against the coordinator table.
+    are without being shuffled. ``thin`` counts the candidates first and thins out the coordinator table by
+    their ids before the join.
     """
     chosen = needs_finalization(boundary_ms)
     candidates = records.where(chosen)

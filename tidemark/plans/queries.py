@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,9 @@ from tidemark.functions import names, times, tokens
 from tidemark.operators import audit, locks, recovery, retention, watermarks
 from tidemark.operators.predicates import coordinator_deletable, needs_finalization, needs_release, proof_deletable
 from tidemark.schemas import LOCK_VALID_MS, TableSpec
-from tidemark.sources import discovery, documents
-from tidemark.sources.shared import shared_dir
-from tidemark.sources.snapshot import Store
+from tidemark.sources import discovery, documents, reclaim
+from tidemark.sources.shared import shared_dir, written
+from tidemark.sources.snapshot import DAY_MS, Store
 from tidemark.streaming import scan
 
 G, B = fx.LEDGER_MS, fx.LOCK_MS
@@ -463,6 +465,135 @@ def reconcile_safe(spark, sf_dir):
     )
 
 
+@query(" SELECT count(*) FILTER (tx_created_at < {G}) AS selected, count(*) FILTER (tx_created_at < {G} AND tx_id IS NULL) AS selected_without_key, true AS failed_as_it_should FROM coordinator_state")
+def guarded_deletion(spark, sf_dir):
+    """Selected coordinator rows, those without key, and whether a deletion fails once there is one."""
+    rows, gone = fx.coordinator_state(spark, sf_dir), coordinator_deletable(G)
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    bad = rows.where(gone).limit(1).withColumn("tx_id", F.lit(None).cast("string"))
+    store.publish({jobs.COORDINATOR_TABLE: store.stage(jobs.COORDINATOR_TABLE, rows.unionByName(bad))})
+    try:
+        jobs.cleanup_coordinator(spark, store, watermarks.token(spark, tokens.LEDGER, G), watermarks.token(spark, tokens.AUDITOR, G))
+        failed = False
+    except Exception as error:  # noqa: BLE001
+        failed = "no tx_id" in str(error)
+    return rows.agg(F.count_if(gone).alias("selected"), F.count_if(gone & F.col("tx_id").isNull()).alias("selected_without_key")).withColumn("failed_as_it_should", F.lit(failed))
+
+
+def _by_age(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with the coordinator table and the proofs laid out by age."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    month = 30 * DAY_MS
+    store.publish(
+        {
+            jobs.COORDINATOR_TABLE: store.laid_out(jobs.COORDINATOR_TABLE, fx.coordinator_state(spark, sf_dir), "tx_created_at", ("tx_id",), month),
+            jobs.PROOF_TABLE: store.laid_out(jobs.PROOF_TABLE, fx.request_proof(spark, sf_dir), "registered_at", ("nonce",)),
+        }
+    )
+    return store
+
+
+@query(" SELECT tx_id, c_state, tx_created_at FROM coordinator_state WHERE coalesce(tx_created_at >= {G}, true)")
+def coordinator_deleted_by_age(spark, sf_dir):
+    """Coordinator rows that stay of a table laid out by age, of which only the boundary's bucket is read."""
+    store = _by_age(spark, sf_dir)
+    jobs.cleanup_coordinator(spark, store, watermarks.token(spark, tokens.LEDGER, G), watermarks.token(spark, tokens.AUDITOR, G))
+    return store.read(jobs.COORDINATOR_TABLE)
+
+
+@query(" SELECT nonce, registered_at FROM request_proof WHERE coalesce(registered_at >= {B}, true)")
+def reclaimed_proofs(spark, sf_dir):
+    """Proofs that are left when deletions have run and the space has been reclaimed."""
+    store = _by_age(spark, sf_dir)
+    jobs.cleanup_proofs(spark, store, watermarks.token(spark, tokens.AUDITOR, B))
+    reclaim.reclaim(store, grace_ms=0, now_ms=int(time.time() * 1000) + 1000)
+    return store.read(jobs.PROOF_TABLE)
+
+
+@query(
+    """, c AS (SELECT count(*) AS n, count(*) FILTER (tx_created_at < {G}) AS d FROM coordinator_state), p AS (SELECT count(*) AS n, count(*) FILTER (registered_at < {B}) AS d FROM request_proof)
+SELECT 'coordinator_state' AS tbl, n AS n_before, n - d AS n_after, d AS n_deleted, true AS agrees, true AS same_content FROM c
+UNION ALL SELECT 'request_proof', n, n - d, d, true, true FROM p
+UNION ALL SELECT 'changed_proof', n, n - d, d, true, false FROM p"""
+)
+def reconcile_content(spark, sf_dir):
+    """After deletions survivors are what they were; a copy in which one value differs is found out."""
+    store = _by_age(spark, sf_dir)
+    c, p = fx.coordinator_state(spark, sf_dir), fx.request_proof(spark, sf_dir)
+    jobs.cleanup_coordinator(spark, store, watermarks.token(spark, tokens.LEDGER, G), watermarks.token(spark, tokens.AUDITOR, G))
+    jobs.cleanup_proofs(spark, store, watermarks.token(spark, tokens.AUDITOR, B))
+    left = store.read(jobs.PROOF_TABLE)
+    least = left.agg(F.min("nonce")).first()[0]
+    changed = left.withColumn("registered_at", F.when(F.col("nonce") == least, F.coalesce(F.col("registered_at"), F.lit(B)) + 1).otherwise(F.col("registered_at")))
+    return audit.reconciled_content(
+        {
+            "coordinator_state": (c, store.read(jobs.COORDINATOR_TABLE), coordinator_deletable(G)), "request_proof": (p, left, proof_deletable(B)),
+            "changed_proof": (p, changed, proof_deletable(B)),
+        }
+    )
+
+
+@query(" SELECT event_id, user_id, event_type FROM events")
+def sliced_scan_resume(spark, sf_dir):
+    """Slices of a scan, of which one fails in its second page; the rerun delivers only what that slice had left."""
+    at = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
+    spec = TableSpec("events", "event_id bigint, user_id bigint, event_type string", ("event_id",), "event_id")
+    fx.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type").repartition(12, "event_id").write.parquet(f"{at}/in")
+    write, broken, slices = scan.write_batch(f"{at}/out"), {"once": True}, 3
+
+    def handler(batch: DataFrame, number: int) -> None:
+        if number >= slices and broken.pop("once", False):
+            raise RuntimeError("stopped on purpose")
+        write(batch, number)
+
+    try:
+        scan.sliced_scan(spark, f"{at}/in", spec, handler, f"{at}/run", slices, files_per_batch=1)
+    except Exception as error:  # noqa: BLE001
+        if "stopped on purpose" not in str(error):
+            raise
+    scan.sliced_scan(spark, f"{at}/in", spec, handler, f"{at}/run", slices, files_per_batch=1)
+    return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type")
+
+
+@query(f" SELECT ns, id, 'SUCCEEDED' AS outcome, (event_id % 3 + 1)::INT AS attempt, (event_id % 3 + 1)::BIGINT AS n_asked FROM asset_lock WHERE {RELEASE}")
+def lock_attempts_resumed(spark, sf_dir):
+    """Locks that need up to three attempts, by a job that is stopped after the first; none is asked once more for that."""
+    store, held = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), fx.asset_lock(spark, sf_dir)
+    chosen = written(locks.candidates(held, B).select("ns", "id"), "attempt-locks")
+    asked, event = [], F.substring("id", 6, 20).cast("long")
+
+    def try_(rows: DataFrame, attempt: int) -> DataFrame:
+        if attempt == 2 and len(asked) == 1:
+            asked.append(rows.limit(0))
+            raise RuntimeError("stopped on purpose")
+        asked.append(rows)
+        return rows.select("ns", "id", F.when(event % 3 < attempt, locks.SUCCEEDED).otherwise(locks.NOT_RECOVERABLE).alias("outcome"))
+
+    for _ in range(2):
+        try:
+            done = locks.recover(chosen, try_, wait_s=0, log=jobs.StoredAttempts(store, "auditor", None))
+        except RuntimeError as error:
+            if "stopped on purpose" not in str(error):
+                raise
+    calls = reduce(DataFrame.unionByName, asked).groupBy("ns", "id").agg(F.count(F.lit(1)).alias("n_asked"))
+    return done.join(calls, ["ns", "id"])
+
+
+@query(f"{RESOLVED} SELECT {PARTY} AS full_name, pk, tx_state, val FROM snapshot UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END, 'late' || o_orderkey, 'COMMITTED', o_totalprice - 1 FROM orders WHERE o_orderkey % 10 < 2")
+def finalized_incrementally(spark, sf_dir):
+    """A second run, which looks at rows that came since the first one and at what that had left; two targets at a time."""
+    store = _store(spark, sf_dir)
+    jobs.finalize_records(spark, store, G, run="first", at_once=2)
+    for name, rest in (("even", 0), ("odd", 1)):
+        late = fx.read(spark, sf_dir, "orders").where((F.col("o_orderkey") % 10 < 2) & (F.col("o_orderkey") % 2 == rest)).select(
+            F.concat(F.lit("late"), "o_orderkey").alias("pk"), F.concat(F.lit("ltx"), "o_orderkey").alias("tx_id"), F.lit("PREPARED").alias("tx_state"),
+            F.lit(G - 20_000).cast("bigint").alias("tx_prepared_at"), F.col("o_totalprice").alias("val"), (F.col("o_totalprice") - 1).alias("before_val"),
+        )
+        store.publish({name: store.appended(name, late, store.entry(name))})
+    jobs.finalize_records(spark, store, G, run="second", after="first", at_once=2)
+    return discovery.one_relation({t: store.read(t) for t in ("even", "odd")}, "pk", "tx_state", "val")
+
+
 def queries() -> dict:
     return dict(FOUND)
 

@@ -69,3 +69,4 @@ COORDINATOR = TableSpec("coordinator_state", "tx_id string, c_state string, tx_c
 LOCKS = TableSpec("asset_lock", "ns string, id string, lock_type int, last_updated_at bigint, owner_nonces array<string>", ("ns", "id"), "last_updated_at")
 WATERMARKS = TableSpec("watermarks", "domain string, server_type string, started_at_ms bigint", ("domain", "server_type"), "started_at_ms")
 PROOFS = TableSpec("request_proof", "nonce string, registered_at bigint", ("nonce",), "registered_at")
+ATTEMPTS = TableSpec("lock_attempts", "run string, ns string, id string, outcome string, attempt int, due_ms bigint", ("run", "ns", "id", "attempt"), "due_ms")

@@ -18,15 +18,17 @@ class TooFewTargets(ValueError):
 
 
 def namespaces(registry: DataFrame | None, spark: SparkSession) -> DataFrame:
-    """(name, ord): the default namespace, then the registered ones in their first order, each once.
+    """(name, ord): the default namespace, then the registered ones in the order of the registry's ``ord``, each once.
 
-    ``registry`` may be absent. A registered ``default`` collapses into the first row; null names are none.
+    A registry without ``ord`` has no order that outlives a rewriting of its files; its names are then in the order
+    of the alphabet, all with ord zero. ``registry`` may be absent. A registered ``default`` collapses into the
+    first row; null names are none.
     """
     first = spark.createDataFrame([(DEFAULT_NAMESPACE, -1)], "name string, ord long")
     if registry is None:
         return first
     listed = registry.where(F.col("partition_id") == REGISTRY_PARTITION).where(F.col("name").isNotNull())
-    order = F.col("ord") if "ord" in registry.columns else F.monotonically_increasing_id()
+    order = F.col("ord") if "ord" in registry.columns else F.lit(0)
     return first.union(listed.select("name", order.cast("long"))).groupBy("name").agg(F.min("ord").alias("ord"))
 
 
