@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tidemark.llm import bpe, collocations, decontaminate, lm, oddsketch, pii, quality, secrets, simhash, substrings, suffixes, warc, whitening
 
 
@@ -21,12 +20,8 @@ def queries() -> dict:
         "op11_collocations": collocations.op11_collocations,
         "op12_whitening": whitening.op12_whitening,
         "op13_odd_sketch": oddsketch.op13_odd_sketch,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op9_warc": warc.ORACLE_SQL, "op7_difference_cover": suffixes.ORACLE_SQL, "op10_debruijn": substrings.ORACLE_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found
+    return {"op9_warc": warc.ORACLE_SQL, "op7_difference_cover": suffixes.ORACLE_SQL, "op10_debruijn": substrings.ORACLE_SQL}
