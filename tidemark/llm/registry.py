@@ -24,4 +24,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE_SQL, "op7_difference_cover": suffixes.ORACLE_SQL, "op10_debruijn": substrings.ORACLE_SQL}
+    return {
+        "op7_difference_cover": suffixes.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
+        "op10_debruijn": substrings.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL,
+        "op13_odd_sketch": oddsketch.ORACLE_SQL,
+    }
