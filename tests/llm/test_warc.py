@@ -82,3 +82,22 @@ def test_links_survive_a_change_of_cores(spark, monkeypatch, tmp_path):
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
     got = {r.metadata.page_id: (r.capture.warc_type, r.metadata.refers_to_page) for r in rows}
     assert got == {i: ("response", None) if i < 40 else ("revisit", i % 40) for i in range(400)}
+
+
+def test_references_of_other_writers_are_followed(spark):
+    """Records without any field of ours beside pageId; one reference leads nowhere."""
+
+    def record(kind, id_, block, **fields):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{id_}>\r\n{head}Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+
+    path = tempfile.mkdtemp(prefix="spark-")
+    text = record("response", "a", "HTTP/1.1 200 OK\r\n\r\nhi", Content_Type="application/http; msgtype=response") + record("metadata", "b", "pageId: 11\r\n", WARC_Concurrent_To="<a>")
+    for i, to in ((1, "<a>"), (2, "<a>"), (3, "<gone>")):
+        text += record("revisit", f"r{i}", "", WARC_Refers_To=to) + record("metadata", f"m{i}", f"pageId: {20 + i}\r\n", WARC_Concurrent_To=f"<r{i}>")
+    text += record("revisit", "alone", "", WARC_Refers_To="<a>")
+    with open(f"{path}/x.warc", "w", newline="") as f:
+        f.write(text)
+    rows = warc.assemble(warc.read_records(spark, path)).collect()
+    got = {r.record_id: r.metadata and (r.metadata.page_id, r.metadata.refers_to_page) for r in rows}
+    assert got == {"<a>": (11, None), "<r1>": (21, 11), "<r2>": (22, 11), "<r3>": (23, None), "<alone>": None}

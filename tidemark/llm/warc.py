@@ -118,7 +118,6 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.lit("metadata"), _id(page, seq, "metadata"), date, "application/warc-fields",
         F.concat(
             _line("pageId", page.cast("string")), _line("payloadLength", F.octet_length("html").cast("string")),
-            _line("refersToPage", F.when(is_again, F.col("first_page")).cast("string")),
         ), target, beside,
     )
     rows.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
@@ -201,7 +200,10 @@ def _field(block: Column, name: str) -> Column:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its own record, the request and the metadata recorded beside it.
 
-    Captures without a request or metadata record keep null there. Each join is on a record id, which is unique.
+    A revisit's ``metadata.refers_to_page`` is the page id of the capture that its WARC-Refers-To names, found by
+    that record id. Captures without a request or metadata record keep null there, and so do references to
+    records that aren't in the archives or have no page id. Each join is on a record id, which is unique; a
+    capture that very many revisits name is joined by broadcast.
     """
     extra = ["payload"] if "payload" in records.columns else []
     captures = records.where(F.col("warc_type").isin("response", "revisit", "resource")).select(
@@ -213,11 +215,14 @@ def assemble(records: DataFrame) -> DataFrame:
     block = F.col("block")
     metadata = records.where("warc_type = 'metadata'").select(
         F.col("concurrent_to").alias("record_id"),
-        F.struct(
-            _field(block, "pageId").cast("long").alias("page_id"), _field(block, "payloadLength").cast("long").alias("payload_bytes"),
-            _field(block, "refersToPage").cast("long").alias("refers_to_page"),
-        ).alias("metadata"),
+        _field(block, "pageId").cast("long").alias("page_id"), _field(block, "payloadLength").cast("long").alias("payload_bytes"),
     )
+    named = records.where("warc_type = 'revisit' AND refers_to IS NOT NULL").select("record_id", "refers_to")
+    often = named.groupBy("refers_to").agg(F.count(F.lit(1)).alias("_n"))
+    pages = metadata.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_to_page")).join(often, "refers_to")
+    followed = lookup(named, pages, "refers_to", named.count(), how="inner").select("record_id", "refers_to_page")
+    metadata = metadata.join(followed, "record_id", "left")
+    metadata = metadata.select("record_id", F.struct("page_id", "payload_bytes", "refers_to_page").alias("metadata"))
     return captures.join(request, "record_id", "left").join(metadata, "record_id", "left")
 
 
