@@ -171,3 +171,11 @@ def test_precision_and_recall_on_planted_forms():
     recall, precision = right / sum(y is True for _, y in rows), right / max(1, sum(h for h, (_, y) in zip(hit, rows) if y is not None))
     print("recall", recall, "precision", precision)
     assert recall >= 0.9 and precision >= 0.9
+
+
+def test_redaction_bears_columns_of_inner_names(spark):
+    rows = [(1, "write to a.b@example.org now", "x", "y", "z", 28), (2, None, "x", "y", "z", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _own_text string, _text string, base_spans string, n_chars long")
+    out = pii.without_personal_data(frame)
+    assert out.columns == frame.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "write to [EMAIL] now", "x", "y", "z", 20), (2, None, "x", "y", "z", None)]
