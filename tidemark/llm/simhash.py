@@ -227,6 +227,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 SIMILAR_WORDS, SIMILAR_PERCENT, WIDE = 5, 80, 256
 #: Fingerprints of sets of similarity 0.8 differ in 39 bits on average (48 for sets of five), with a deviation of 6; unlike ones in 128.
 WIDE_BUDGET, WIDE_NEAR = 80, 4
+#: Up to this many numbers of rows that go (some 20 bytes each) are broadcast against the texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def wide_fingerprint(names: np.ndarray, least: np.ndarray) -> bytes:
@@ -295,7 +297,10 @@ def similar_removed(docs: DataFrame) -> DataFrame:
     found = written(oddsketch.near_duplicates(rows, "_row", SIMILAR).select("_row", "component_id"), "simhash-similar")
     known = found.join(named.select(F.col(row).alias("_row"), "doc_id"), "_row")
     stay = known.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first"))
-    return named.join(written(stay.select(F.col("first._row").alias(row)), "simhash-kept"), row, "left_semi").drop(row)
+    gone = found.select("_row").join(stay.select("first._row"), "_row", "left_anti").select(F.col("_row").alias(row))
+    gone = written(gone, "simhash-gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # else the texts are shuffled once
+    return named.join(F.broadcast(gone) if few else gone, row, "left_anti").drop(row)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
