@@ -53,6 +53,43 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert np.allclose(lm.score_sequences(model, sequences), alone, rtol=1e-4)
 
 
+def plain_score(model, ids):
+    """log10 P of one text, token by token in 64-bit floats, with none of the operator's code but its weights."""
+    w = {n: getattr(model, n).astype(np.float64) for n in model.NAMES}
+    units, members = w["hidden"].shape[1], w["words"].shape[1]
+    state, before, total = np.zeros(units), w["inputs"].shape[1] - 1, 0.0
+    for token in (int(i) for i in ids):
+        x, g = w["inputs"][:, before], w["hidden"] @ state
+        update, reset = (1 / (1 + np.exp(-(x[k : k + units] + g[k : k + units]))) for k in (0, units))
+        new = np.tanh(x[2 * units :] + reset * g[2 * units :])
+        state = (1 - update) * new + update * state
+        of_class = w["classes"] @ state + w["class_bias"]
+        own = min(token // members, len(of_class) - 1)
+        total += of_class[own] - np.log(np.exp(of_class).sum())
+        if own < len(w["words"]):
+            of_word = w["words"][own] @ state + w["word_bias"][own]
+            total += of_word[token % members] - np.log(np.exp(of_word).sum())
+        before = token
+    return total / np.log(10)
+
+
+def test_scores_match_a_plain_forward_pass(spark, docs, monkeypatch):
+    """The score of every document by the trained weights: the plain pass, plus the smoothed shares of rare tokens."""
+    made, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: made.append(train(*a)) or made[-1])
+    rows = {r.doc_id: r.score for r in lm.scored(docs).collect()}
+    texts = {r.doc_id: lm.tokens((r.text or "").encode()) for r in docs.collect()}
+    counts = collections.Counter(w for i, t in texts.items() if not lm.held_out(i) for w in t)
+    best = sorted(counts, key=lambda w: (-counts[w], w))[: lm.VOCABULARY]
+    ids = {w: k for k, w in enumerate(best)}
+    rare = sum(counts.values()) - sum(counts[w] for w in best) + 0.5 * (len(counts) - len(best) + 1)
+    short = sorted(texts, key=lambda i: (len(texts[i]), i))
+    for i in [*short[:40], *short[-3:]]:
+        model = plain_score(made[0], [ids.get(w, lm.VOCABULARY) for w in texts[i]])
+        shares = math.fsum(math.log10((counts[w] + 0.5) / rare) for w in texts[i] if w not in ids)
+        assert math.isclose(rows[i], model + shares, rel_tol=1e-4, abs_tol=1e-3), i
+
+
 def test_base_scores_and_held_out_gain(spark, sf_mid):
     docs = spark.read.parquet(f"{sf_mid}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: lm.tokens((r.text or "").encode()) for r in docs.collect()}

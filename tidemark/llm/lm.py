@@ -39,7 +39,7 @@ from tidemark.llm.common import partitions, table, written
 
 #: The end of a text; no token has a space.
 END = b" "
-CLASSES, MEMBERS, UNITS = 32, 48, 8
+CLASSES, MEMBERS, UNITS = 32, 48, 16
 VOCABULARY = CLASSES * MEMBERS
 WINDOW, LANES, RATE, ROUNDS, SEED = 48, 85, 0.03, 2, 11
 #: Lanes of scoring, where no weights change; training takes fewer, so that WINDOW * LANES tokens make an update.
