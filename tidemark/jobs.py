@@ -300,9 +300,9 @@ def finalize_locks(
         table = lock_table(base, namespace)
         entry, with_ns = store.entry(table), lambda df: df.withColumn("ns", F.lit(namespace))
         held = LOCKS.check(with_ns(store.read(table, entry=entry)))
-        chosen = written(lock_ops.candidates(held, boundary), "lock-candidates")
+        chosen, selected = lock_ops.candidates(held, boundary), needs_release(boundary)
         done = lock_ops.recover(chosen, recover_fn, wait_s=wait_s, log=StoredAttempts(store, run, namespace))
-        fresh = store.revised(table, entry, needs_release(boundary), lambda rows: lock_ops.released(rows, done, thin=True).drop("ns"), with_ns)
+        fresh = store.revised(table, entry, selected, lambda rows: lock_ops.all_released(rows, selected).drop("ns"), with_ns)
         changes = {} if fresh is None else {table: fresh}
         store.publish(changes, {run: _completed(state, namespace)}, based_on={t: entry for t in changes})
         report.counts[namespace] = {"scanned": _scanned(store, table, entry), "changed": done.count()}
@@ -401,7 +401,7 @@ def cleanup_coordinator(
         if not targets:
             return
         records = discovery.one_relation({t: spec.named(store.read(t)) for t in targets}, *TRANSACTION_COLUMNS)
-        needed = unsafe_coordinator_deletes(store.read(COORDINATOR_TABLE), records, coordinator_deletable(boundary_ms), boundary_ms).first()
+        needed = unsafe_coordinator_deletes(store.read(COORDINATOR_TABLE), records, coordinator_deletable(boundary_ms), boundary_ms, thin=True).first()
         if needed:
             names = records.where(needs_finalization(boundary_ms) & (F.col("tx_id") == needed["tx_id"])).select("full_name").distinct().limit(1).first()
             raise UnsafeDeletion(f"{names[0]} has in-doubt records older than the boundary")

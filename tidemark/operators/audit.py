@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.predicates import needs_finalization
+from tidemark.operators.prefilter import matching
 from tidemark.schemas import LOCK_WRITE
 
 
-def unsafe_coordinator_deletes(coordinator: DataFrame, records: DataFrame, deletable: Column, boundary_ms: int) -> DataFrame:
-    """Deletable coordinator rows that an in-doubt record still needs."""
-    return coordinator.where(deletable).join(records.where(needs_finalization(boundary_ms)).select("tx_id"), "tx_id", "left_semi")
+def unsafe_coordinator_deletes(coordinator: DataFrame, records: DataFrame, deletable: Column, boundary_ms: int, thin: bool = False) -> DataFrame:
+    """Deletable coordinator rows that an in-doubt record still needs.
+
+    ``thin`` counts the in-doubt records first; where they are few, as after a finalization, the coordinator table isn't shuffled.
+    """
+    gone, waiting = coordinator.where(deletable), records.where(needs_finalization(boundary_ms)).select("tx_id")
+    return matching(gone, waiting, "tx_id") if thin else gone.join(waiting, "tx_id", "left_semi")
 
 
 def unsafe_proof_deletes(proofs: DataFrame, locks: DataFrame, deletable: Column, boundary_ms: int) -> DataFrame:

@@ -15,8 +15,6 @@ from tidemark.sources.shared import written
 
 SUCCEEDED, NOT_NEEDED, FAILED, NOT_RECOVERABLE = "SUCCEEDED", "NOT_NEEDED", "FAILED", "NOT_RECOVERABLE"
 ATTEMPTS, WAIT_S = 3, 15
-#: Up to this many released locks (about 100 bytes each) are broadcast against the lock table.
-BROADCAST_LOCKS = 200_000
 #: (locks, attempt) to the same keys with an outcome.
 Recovery = Callable[[DataFrame, int], DataFrame]
 
@@ -77,9 +75,10 @@ def recover(locks: DataFrame, recovery: Recovery = expired, attempts: int = ATTE
     log, last = log or Attempts(), -1
     while True:
         latest = written(_latest(log.known(), locks), "lock-attempts")
+        locks = latest.select("ns", "id")
         good = F.coalesce(F.col("outcome").isin(SUCCEEDED, NOT_NEEDED), F.lit(False))
         remaining = latest.where(~good)
-        rounds = {r["attempt"]: r["due"] for r in remaining.groupBy("attempt").agg(F.max("due_ms").alias("due")).collect()}
+        rounds = {r["attempt"]: r for r in remaining.groupBy("attempt").agg(F.max("due_ms").alias("due"), F.count(F.lit(1)).alias("n")).collect()}
         if not rounds:
             return latest.select("ns", "id", "outcome", "attempt")
         at = min(rounds)  # locks that came later may be some rounds behind
@@ -89,26 +88,28 @@ def recover(locks: DataFrame, recovery: Recovery = expired, attempts: int = ATTE
         if at >= attempts:
             left = remaining.first()
             raise RecoveryFailed(f"lock {left['ns']}/{left['id']} isn't recoverable after {attempts} attempts")
-        time.sleep(max(0.0, rounds[at] / 1000 - time.time()))
+        time.sleep(max(0.0, rounds[at]["due"] / 1000 - time.time()))
         asked = remaining.where(F.col("attempt") == at).select("ns", "id")
         told = asked.join(recovery(asked, at + 1), ["ns", "id"], "left").select("ns", "id", "outcome", F.lit(at + 1).alias("attempt"))
         told = written(told, "lock-outcomes")
-        bad = told.where(~F.coalesce(F.col("outcome").isin(SUCCEEDED, NOT_NEEDED, NOT_RECOVERABLE), F.lit(False))).first()
-        known = F.col("outcome").isin(SUCCEEDED, NOT_NEEDED, NOT_RECOVERABLE)
+        known = F.coalesce(F.col("outcome").isin(SUCCEEDED, NOT_NEEDED, NOT_RECOVERABLE), F.lit(False))
+        bad = F.min(F.when(~known, F.struct("ns", "id", "outcome"))).alias("bad")
+        n, left, bad = told.agg(F.count(F.lit(1)).alias("n"), F.count_if(~good).alias("left"), bad).first()
         log.add(told.where(known).withColumn("due_ms", F.lit(int((time.time() + wait_s) * 1000)).cast("long")))
         if bad:
             raise RecoveryFailed(f"lock {bad['ns']}/{bad['id']}: {bad['outcome']}")
+        if not left and list(rounds) == [at] and n == rounds[at]["n"]:  # all that remained were asked and told once, so the log needn't be read again
+            return latest.where(good).select("ns", "id", "outcome", "attempt").unionByName(told)
 
 
-def released(locks: DataFrame, done: DataFrame, thin: bool = False) -> DataFrame:
-    """The locks, of type NONE where they were released.
+def all_released(locks: DataFrame, selected: Column) -> DataFrame:
+    """The locks, of type NONE where they were selected: for a recovery that has ended well, as then every selected lock is released."""
+    return locks.withColumn("lock_type", F.when(selected, LOCK_NONE).otherwise(F.col("lock_type")))
 
-    ``thin`` counts the released ones first and broadcasts them where they are few, so that the lock table
-    isn't shuffled.
-    """
+
+def released(locks: DataFrame, done: DataFrame) -> DataFrame:
+    """The locks, of type NONE where they were released."""
     marks = done.select("ns", "id", F.lit(True).alias("_done"))
-    if thin and marks.limit(BROADCAST_LOCKS + 1).count() <= BROADCAST_LOCKS:
-        marks = F.broadcast(marks)
     return locks.join(marks, ["ns", "id"], "left").withColumn("lock_type", F.when(F.col("_done"), LOCK_NONE).otherwise(F.col("lock_type"))).select(*locks.columns)
 
 

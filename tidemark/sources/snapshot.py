@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -102,6 +103,8 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         #: For work that several threads of one process must not do at the same time.
         self.lock = threading.RLock()
+        #: Schemas of segments, whose files never change, so that each is looked up in a footer once.
+        self._schemas: dict[tuple[str, str], StructType] = {}
 
     def _state(self, number: int) -> StateFile:
         # the first pointer has no number
@@ -149,8 +152,18 @@ class Store:
     def _path(self, table: str, *names: str) -> str:
         return "/".join([self.root, table, *names])
 
-    def _file(self, at: str) -> Column:
-        return F.substring_index(F.col("_metadata.file_path"), f"/{at}/", -1)
+    @staticmethod
+    def _file(s: dict) -> Column:
+        """The name below its segment's folder of the file that a row is in; in a layout by age it begins with the bucket's folder."""
+        return F.substring_index(F.col("_metadata.file_path"), f"/{s['at']}/", -1) if s.get("age") else F.col("_metadata.file_name")
+
+    def _schema(self, table: str, s: dict) -> StructType:
+        if s.get("schema"):  # a segment without rows has no file that would tell
+            return StructType.fromJson(s["schema"])
+        key = (table, s["at"])
+        if key not in self._schemas:
+            self._schemas[key] = self.spark.read.parquet(self._path(*key)).schema
+        return self._schemas[key]
 
     def _gone(self, table: str, segment: dict) -> DataFrame:
         """(FILE) of the replaced files of a segment that are named in frames."""
@@ -159,15 +172,12 @@ class Store:
 
     def _segment(self, table: str, s: dict) -> DataFrame:
         """The live rows of a segment, with AGE where it is laid out by age and FILE."""
-        reader = self.spark.read
-        if s.get("schema"):  # a segment without rows has no file that would tell
-            reader = reader.schema(StructType.fromJson(s["schema"]))
-        df = reader.parquet(self._path(table, s["at"]))
+        df = self.spark.read.schema(self._schema(table, s)).parquet(self._path(table, s["at"]))
         if s.get("since") is not None:  # on the partition column alone, so older buckets aren't listed for reading
             df = df.where(F.col(AGE).isNull() | (F.col(AGE) >= s["since"]) | (F.col(AGE) == KEYLESS))
         if s["without"]:  # files are left out before they are read
-            df = df.where(~self._file(s["at"]).isin(s["without"]))
-        df = df.select("*", F.concat(F.lit(f"{s['at']}/"), self._file(s["at"])).alias(FILE))
+            df = df.where(~self._file(s).isin(s["without"]))
+        df = df.select("*", F.concat(F.lit(f"{s['at']}/"), self._file(s)).alias(FILE))
         if s.get("gone"):
             gone = self._gone(table, s).select(F.concat(F.lit(f"{s['at']}/"), FILE).alias(FILE))
             df = df.join(F.broadcast(gone) if s["n_gone"] <= BROADCAST_FILES else gone, FILE, "left_anti")
@@ -249,17 +259,19 @@ class Store:
         """Segments with the rows of ``df`` after those of ``entry``."""
         return self._merged(table, [*entry, self._staged(table, df, entry[0].get("age"))])
 
-    def _replaced(self, table: str, s: dict, hits: DataFrame, n: int) -> dict | None:
-        """The segment without the ``n`` files ``hits`` (FILE); None if none of its files are left."""
+    def _replaced(self, table: str, s: dict, hits: DataFrame, n: int, names: list[str] | None) -> dict | None:
+        """The segment without the ``n`` files ``hits`` (FILE), also given as ``names`` where they are few; None if none of its files are left."""
         own = hits.where(F.col(FILE).startswith(f"{s['at']}/")).select(F.substring_index(FILE, f"{s['at']}/", -1).alias(FILE))
         if s.get("age"):
-            left = self.rows_of_files(table, [s])
-        else:
-            left = self._segment(table, s)
-        if left.select(FILE).distinct().count() == n:
+            none_left = self.rows_of_files(table, [s]).select(FILE).distinct().count() == n
+        elif names is None:
+            none_left = self._segment(table, s).select(FILE).distinct().count() == n
+        else:  # the files that are named aren't opened
+            none_left = self._segment(table, s).where(~self._file(s).isin(names)).isEmpty()
+        if none_left:
             return None
-        if not s.get("gone") and len(s["without"]) + n <= NAMED:
-            return s | {"without": sorted({*s["without"], *[r[0] for r in own.collect()]})}
+        if names is not None and not s.get("gone") and len(s["without"]) + n <= NAMED:
+            return s | {"without": sorted({*s["without"], *names})}
         if s["without"]:
             own = own.unionByName(self.spark.createDataFrame([(f,) for f in s["without"]], f"{FILE} string"))
         frame = uuid.uuid4().hex
@@ -279,20 +291,24 @@ class Store:
         looked = [(self._segment(table, s), (narrow or {}).get(s["at"])) for s in entry]
         rows = [view((df if only is None else df.where(only)).drop(AGE)).where(chosen).select(FILE) for df, only in looked]
         hits = written(reduce(DataFrame.unionByName, rows).distinct(), "revised-files")
-        each = {r["at"]: r["n"] for r in hits.groupBy(F.substring_index(FILE, "/", 1).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        found, names = [r[0] for r in hits.limit(NAMED + 1).collect()], None
+        if len(found) <= NAMED:
+            each = Counter(h.partition("/")[0] for h in found)
+            names = {at: [h.partition("/")[2] for h in found if h.startswith(f"{at}/")] for at in each}
+        else:
+            each = {r["at"]: r["n"] for r in hits.groupBy(F.substring_index(FILE, "/", 1).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}
         if not each:
             return None
-        n = sum(each.values())
         touched = [s for s in entry if s["at"] in each]
-        if n <= NAMED:
-            names = [r[0] for r in hits.collect()]
-            parts = [self._segment(table, s).where(self._file(s["at"]).isin([h.partition("/")[2] for h in names if h.startswith(f"{s['at']}/")])) for s in touched]
+        if names is not None:
+            parts = [self._segment(table, s).where(self._file(s).isin(names[s["at"]])) for s in touched]
         else:
+            n = sum(each.values())
             few = F.broadcast(hits) if n <= BROADCAST_FILES else hits
             parts = [self._segment(table, s).join(few, FILE, "left_semi") for s in touched]
-        found = reduce(DataFrame.unionByName, [p.drop(FILE, AGE) for p in parts])
-        kept = [self._replaced(table, s, hits, each[s["at"]]) if s["at"] in each else s for s in entry]
-        fresh = self._staged(table, change(view(found)), entry[0].get("age"))
+        rows = reduce(DataFrame.unionByName, [p.drop(FILE, AGE) for p in parts])
+        kept = [self._replaced(table, s, hits, each[s["at"]], names and names[s["at"]]) if s["at"] in each else s for s in entry]
+        fresh = self._staged(table, change(view(rows)), entry[0].get("age"))
         return self._merged(table, [*[s for s in kept if s], fresh])
 
     def aged_out(self, table: str, entry: list[dict], boundary_ms: int, gone: Column, keyed: Column) -> tuple[list[dict] | None, int]:
