@@ -72,6 +72,20 @@ def test_byte_strings_equal_brute_force(spark, seed, length, prime):
     assert all(sum(s.n_bytes for s in r.spans) == r.n_removed for r in rows)
 
 
+def test_passages_go_from_400_bytes_on(spark):
+    """Passages of 55 words in two documents each, with different bytes on both sides: by bytes, not by words, 399 stay and 400 go."""
+    rng, docs = random.Random(10), []
+    for i, size in enumerate([271, 330, 394, 399, 400, 401, 460]):
+        words = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(55)]
+        passage = " ".join([*words[:-1], words[-1] + "x" * (size - 55 * 4 + 1)])
+        assert len(passage) == size
+        around = ["".join(rng.choices("ijklmnop", k=rng.randint(50, 900))) for _ in range(4)]
+        docs += [(2 * i, around[0] + "\n" + passage + "\n" + around[1]), (2 * i + 1, around[2] + " " + passage + "\t" + around[3])]
+    rows = suffixes.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {d: n for i, n in enumerate([0, 0, 0, 0, 400, 401, 460]) for d in (2 * i, 2 * i + 1)}
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in rows) == brute_bytes(docs, 400)
+
+
 def test_edges_that_share_a_hash_are_told_apart(spark, monkeypatch):
     """Under the first hashes all edges share a few hundred; no word may be lost by that, and none may stay."""
     plain = substrings.Edges.__init__
